@@ -65,3 +65,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; operators take the place as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -16,6 +16,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n,
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _alnum(column: str) -> str:
+    return f"coalesce(regexp_extract_all(translate({column}, '{_UPPER}', '{_LOWER}'), {_ALNUM}), [])"
+
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, {_alnum('text')} AS w FROM documents),
+b AS (SELECT item_id, {_alnum('text')} AS w FROM benchmark),
+t AS (SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS p FROM
+  (SELECT item_id, CASE WHEN len(w) < 10 THEN w ELSE w[a:a + 9] END AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS a FROM b WHERE len(w) > 0))),
+l AS (SELECT DISTINCT n FROM t),
+s AS (SELECT doc_id, n, a, array_to_string(w[a:a + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS a FROM d, l)),
+m AS (SELECT s.doc_id, s.a, s.n, t.item_id FROM s JOIN t ON s.p = t.p AND s.n = t.n),
+h AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(a, a + n)) AS i FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
+
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_SPACE}), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[a:a + 4] END, ' ')) AS h
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS a FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS same FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM i JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * same >= 75 * (x.n + y.n - same)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, e.v FROM r JOIN e ON r.reach = e.u),
+c AS (SELECT node, min(reach) AS c FROM r GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM d JOIN c ON d.doc_id = c.node LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4}
+    return {"op4_substring_dedup": OP4, "op9_minhash_near_dedup": OP9, "op10_decontamination": OP10}

@@ -70,6 +70,11 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _power(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running polynomial over bytes, for span_hash()."""
+    return prefix_sums(_BYTE_VALUES[data])
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, byte offset of each row and the end) for runs of rows of about `limit` bytes."""
     texts = pc.fill_null(texts, "") if texts.null_count else texts

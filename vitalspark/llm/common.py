@@ -63,6 +63,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumns({"id0": F.coalesce("doc_id", F.lit(-1).cast("long")), "key": F.xxhash64("doc_id", "text")})
 
 
+#: Ids up to which a set of doc_ids is broadcast (8 bytes each); a larger one is joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # a written table's rows are counted from its files' footers
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't among ids; rows without a doc_id stay."""
+    gone = written(docs.sparkSession, ids.where("doc_id IS NOT NULL").distinct(), "gone")
+    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
-from vitalspark.llm.common import written
+from vitalspark.llm.common import without, written
 
 WINDOW = 10
 #: Bytes of text in a block, and words of phrases that are sent to the executors at once (8 bytes each).
@@ -185,3 +185,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item"]), lambda x: x.isNotNull())))
     return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("items"))
+
+
+def keep_clean(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of docs, with all their columns, whose doc_id has no hit in the result of decontaminate()."""
+    return without(docs, found.where("n_hit > 0").select("doc_id"))

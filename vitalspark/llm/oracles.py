@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vitalspark.llm import licenses
+
 _SPACE = r"'[^\x20\x09-\x0D]+'"
 
 OP4 = f"""
@@ -53,6 +55,27 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS componen
 FROM d JOIN c ON d.doc_id = c.node LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
+_TEMPLATES = [(i, label, licenses.template_words(text)) for i, (label, text) in enumerate(licenses.TEMPLATES)]
+_VALUES = ", ".join(f"({i}, '{label}', {words}, {licenses.needed(len(words))})" for i, label, words in _TEMPLATES)
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {_alnum('text')} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+b AS (SELECT doc_id, i - 1 AS a, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+  WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label FROM p),
+n AS (SELECT doc_id, count(*) AS n, min(a) AS lo, max(a) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b WHERE label IS NOT NULL GROUP BY doc_id),
+t(id, label, words, needed) AS (VALUES {_VALUES}),
+l AS (SELECT doc_id, unnest(string_split(translate(text, '{_UPPER}', '{_LOWER}'), chr(10))) AS line FROM documents),
+o AS (SELECT doc_id, {_alnum('line')} AS w FROM l),
+m AS (SELECT doc_id, t.label, len(list_intersect(list_distinct(o.w), t.words)) AS k, t.needed, len(t.words) AS size FROM o, t),
+f AS (SELECT doc_id, label, max(k / size) AS c FROM m WHERE k >= needed GROUP BY doc_id, label),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM f UNION SELECT doc_id, label FROM b WHERE label IS NOT NULL) GROUP BY doc_id),
+s AS (SELECT doc_id, max(c) AS c FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_base, CAST(n.lo AS BIGINT) AS first_word, CAST(n.hi AS BIGINT) AS last_word,
+  coalesce(n.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, CASE WHEN n.n > 0 THEN 1.0 ELSE coalesce(s.c, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4, "op9_minhash_near_dedup": OP9, "op10_decontamination": OP10}
+    return {"op4_substring_dedup": OP4, "op7_license_scan": OP7, "op9_minhash_near_dedup": OP9, "op10_decontamination": OP10}

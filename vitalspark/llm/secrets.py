@@ -207,3 +207,26 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, redacted string")
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """Rows of docs, with all their columns: text redacted, and n_chars, if there is one, counted anew where text isn't null."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = batch.column(place), {}
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, WORTH), False).to_numpy(zero_copy_only=False)):
+                text = texts[int(i)].as_py()
+                spans = find(text)[1]
+                if spans:
+                    changed[int(i)] = redacted(text, spans)
+            if changed:
+                texts = pa.array([changed.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
+            yield batch.set_column(place, batch.schema.field(place), texts)
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out

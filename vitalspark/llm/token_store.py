@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitalspark.llm import words as W
+from vitalspark.llm.chunks import ChunkEncoder
 from vitalspark.llm.common import partitions
 
 MAGIC, VERSION, END_ID = b"VTOK", 1, 2
@@ -47,9 +47,6 @@ def _tokenizer(path: str):
     return found
 
 
-#: Chunks that a task's process remembers the ids of; when full it starts anew.
-REMEMBERED = 500_000
-
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 #: Bytes that start characters none of which is white space: ASCII graphics, and leads other than those of U+0080-00BF, U+1000-1FFF, U+2000-2FFF and U+3000-3FFF.
 _NO_SPACE = np.array([(0x21 <= b <= 0x7E) or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) for b in range(256)])
@@ -68,47 +65,15 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.union1d(at[_NO_SPACE[data[lead]]], offsets[:-1][offsets[1:] > offsets[:-1]])
 
 
-class _Remembered:
-    """Ids of the chunks that a process has met, by the chunk's hash."""
-
-    def __init__(self, path: str):
-        self.path, self.place, self.ids, self.bounds = path, {}, np.zeros(1 << 16, np.uint16 if width(path) == "<u2" else np.uint32), [0]
-
-    def learn(self, hashes: list[int], chunks: list[str]) -> None:
-        for h, x in zip(hashes, _tokenizer(self.path).encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            end = self.bounds[-1] + len(x.ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), self.ids.dtype)])
-            self.ids[self.bounds[-1] : end] = x.ids
-            self.place[h] = len(self.bounds) - 1
-            self.bounds.append(end)
-
-
-_remembered: dict[str, _Remembered] = {}
+_encoders: dict[str, ChunkEncoder] = {}
 
 
 def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[np.ndarray]:
-    """The ids of each text, and the end id.
-
-    Words repeat, so each distinct chunk of a text is encoded by the library once in a process and its ids are put together.
-    """
-    for low, high, data, offsets in W.slices(texts):
-        start = _cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
-        end = np.r_[start[1:], len(data)][: len(start)]
-        hashes, first, kind = np.unique(W.span_hash(W.byte_sums(data), start, end), return_index=True, return_inverse=True)
-        known = _remembered.get(path)
-        if known is None or len(known.bounds) > REMEMBERED:
-            known = _remembered[path] = _Remembered(path)
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in known.place]
-        known.learn([keys[i] for i in new], [data[start[f] : end[f]].tobytes().decode() for f in first[new]])
-        place = np.array([known.place[h] for h in keys], np.int64)[kind]
-        bounds = np.array(known.bounds)
-        begin, size = bounds[place], bounds[place + 1] - bounds[place]
-        flat = known.ids[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        borders = np.r_[0, np.cumsum(size)][np.searchsorted(start, offsets)]
-        for i in range(high - low):
-            yield np.append(flat[borders[i] : borders[i + 1]], end_id).astype("<u4")
+    """The ids of each text, and the end id."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(lambda chunks: [x.ids for x in _tokenizer(path).encode_batch_fast(chunks, add_special_tokens=False)], _cuts)
+    for ids in _encoders[path].encode(texts):
+        yield np.append(ids, end_id).astype("<u4")
 
 
 def width(path: str) -> str:

@@ -17,7 +17,7 @@ def _no(kind: str = "string") -> Column:
 
 def parse_vocabulary(spec: Column) -> Column:
     """Codes of a pipe-separated vocabulary; null (anything goes) if it is null or blank."""
-    return F.when(F.trim(spec) != "", F.filter(F.transform(F.split(spec, r"\|"), F.trim), lambda x: x != ""))
+    return F.when(F.trim(spec) != "", F.filter(F.transform(F.split(spec, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def canonical_code(code: Column, spec: Column) -> Column:

@@ -84,7 +84,7 @@ def column_name(name: Column) -> Column:
 
 def clean_samples(samples: Column) -> Column:
     """Samples trimmed, without nulls and blanks."""
-    return F.filter(F.transform(samples, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(samples, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def _entries(pairs: list[tuple[str, str]]) -> Column:

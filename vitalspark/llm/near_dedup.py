@@ -27,15 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
-from vitalspark.llm.common import partitions, written
-from vitalspark.llm.graph import components, salted_join
+from vitalspark.llm.common import partitions, sized, written
+from vitalspark.llm.graph import extend, salted_join
 
 SHINGLE, PERCENT = 5, 75
 SLOTS, ORDERS, DEPTHS, REGION = 128, 16, (2, 4, 8, 16, 32, 64), 256
 #: Signatures this much under the wanted similarity still make a candidate: over 3.5 standard deviations.
 SLACK = 0.14
-#: Ids up to which the candidates' ids are broadcast to pick their texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 _random = np.random.default_rng(5)
 _XOR = _random.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
@@ -159,52 +157,87 @@ def _spanning(alike: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _in_regions(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """u, v, alike, top, n: the spanning trees of the regions, or with every, all pairs of different components `comp`.
+def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole regions (first column, sorted) and where each region begins, with the end."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        whole = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0] if rest else batch
+        if len(whole):  # the last region may go on in the next batch
+            region = whole.column(0).to_numpy()
+            cut = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+            if cut[-1]:
+                yield whole.slice(0, cut[-1]), cut
+            rest = [whole.slice(cut[-1])]
+    for whole in rest:
+        yield whole, np.array([0, len(whole)])
 
-    Where a region lies in a crowded one (top), also a row (centre, centre, n) for it.
-    """
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "rep")
+
+
+def _trees(regions: DataFrame, least: float) -> DataFrame:
+    """u, v, alike: the spanning trees of the regions; where a region lies in a crowded one (top), also a row (centre, centre) with top and the region's size n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            whole = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0] if rest else batch
-            region = whole.column(0).to_numpy()
-            cut = np.flatnonzero(np.r_[True, region[1:] != region[:-1]]) if len(region) else np.zeros(0, np.int64)
-            if len(cut):  # the last region may go on in the next batch
-                yield from found(whole.slice(0, cut[-1]), cut)
-                rest = [whole.slice(cut[-1])]
-        for whole in rest:
-            yield from found(whole, np.array([0, len(whole)]))
-
-    def found(part: pa.RecordBatch, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(part):
-            return
-        rep, comp = part.column(1).to_numpy(), part.column(3).to_numpy()
-        top, sig = part.column(2), _signatures(part.column(4), np.uint8)
-        out: list[tuple] = []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if b - a < 2 or (every and (comp[a:b] == comp[a]).all()):
-                continue
-            alike = _alike(sig[a:b])
-            if every:
-                u, v = np.nonzero(np.triu((alike >= least) & (comp[a:b, None] != comp[None, a:b]), 1))
-                pairs = list(zip(u.tolist(), v.tolist(), strict=True))
-            else:
-                pairs = _spanning(alike, least)
+        for part, cut in _by_region(batches):
+            rep, top, sig = part.column(1).to_numpy(), part.column(2), _signatures(part.column(3), np.uint8)
+            out: list[tuple] = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if b - a < 2:
+                    continue
+                alike = _alike(sig[a:b])
                 if top[a].is_valid:
-                    centre = a + int(np.argmax(alike.sum(axis=1)))
-                    out.append((int(rep[centre]), int(rep[centre]), 1.0, top[a].as_py(), int(b - a)))
-            for i, j in pairs:
-                x, y = int(rep[a + i]), int(rep[a + j])
-                if x != y:
-                    out.append((min(x, y), max(x, y), float(alike[i, j]), None, None))
-        if out:
-            u, v, s, t, n = zip(*out, strict=True)
-            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "alike": pa.array(s, pa.float64()), "top": pa.array(t, pa.int64()), "n": pa.array(n, pa.int64())})
+                    centre = int(rep[a + int(np.argmax(alike.sum(axis=1)))])
+                    out.append((centre, centre, 1.0, top[a].as_py(), int(b - a)))
+                for i, j in _spanning(alike, least):
+                    x, y = int(rep[a + i]), int(rep[a + j])
+                    if x != y:
+                        out.append((min(x, y), max(x, y), float(alike[i, j]), None, None))
+            if out:
+                u, v, s, t, n = zip(*out, strict=True)
+                yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "alike": pa.array(s, pa.float64()), "top": pa.array(t, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return _dealt(regions.select("region", "rep", "top", "sig")).mapInArrow(run, "u long, v long, alike double, top long, n long")
+
 
-    spread = rows.select("region", "rep", "top", "comp", "sig").repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "rep")
-    return spread.mapInArrow(run, "u long, v long, alike double, top long, n long")
+def _links_in_regions(rows: DataFrame, least: float, percent: int, shingle: int) -> DataFrame:
+    """(u, v): links between different components `comp` in each region, confirmed on the full sets of the rows' texts.
+
+    All pairs whose signatures allow a link are tried, but for those that links found here have joined already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cut in _by_region(batches):
+            rep, sig = part.column(1).to_numpy(), _signatures(part.column(3), np.uint8)
+            out: list[tuple[int, int]] = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                comp = part.column(2).slice(a, b - a).to_numpy().copy()
+                if (comp == comp[0]).all():
+                    continue
+                alike = _alike(sig[a:b])
+                u, v = np.nonzero(np.triu((alike >= least) & (comp[:, None] != comp[None, :]), 1))
+                if not len(u):
+                    continue
+                sets = [x for _, found in shingle_sets(part.column(4).slice(a, b - a), shingle) for x in found]
+                for i in np.argsort(-alike[u, v], kind="stable"):
+                    x, y = u[i], v[i]
+                    if comp[x] != comp[y] and linked(sets[x], sets[y], percent):
+                        out.append((int(rep[a + x]), int(rep[a + y])))
+                        comp[comp == comp[y]] = comp[x]
+            if out:
+                u, v = zip(*out, strict=True)
+                yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return _dealt(rows.select("region", "rep", "comp", "sig", "text")).mapInArrow(run, "u long, v long").distinct()
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets, and something is shared."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same > 0 and 100 * same >= percent * (len(a) + len(b) - same)
 
 
 def _pair_likeness(pairs: DataFrame, least: float) -> DataFrame:
@@ -219,20 +252,23 @@ def _pair_likeness(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, alike double")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents among ids."""
+    wanted = written(docs.sparkSession, ids.distinct(), "ids")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(wanted), "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (u, v) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
     spark = pairs.sparkSession
-    ids = written(spark, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [x for _, sets in shingle_sets(batch.column(2), shingle) for x in sets]
             right = [x for _, sets in shingle_sets(batch.column(3), shingle) for x in sets]
-            same = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)], np.int64)
-            union = np.array([len(a) + len(b) for a, b in zip(left, right, strict=True)], np.int64) - same
-            yield pa.record_batch({"u": batch.column(0), "v": batch.column(1)}).filter(pa.array((100 * same >= percent * union) & (same > 0)))
+            good = [linked(a, b, percent) for a, b in zip(left, right, strict=True)]
+            yield pa.record_batch({"u": batch.column(0), "v": batch.column(1)}).filter(pa.array(good, pa.bool_()))
 
     half = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u")
     both = salted_join(half, texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right")), ["v"], salts=2)
@@ -256,36 +292,58 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     regions = written(spark, salted_join(regions, short, ["rep"], salts=1), "regions")
     least = percent / 100 - SLACK
 
-    trees = written(spark, _in_regions(regions.withColumn("comp", F.col("rep")), least, every=False), "trees")
+    trees = written(spark, _trees(regions, least), "trees")
     centres = trees.where("top IS NOT NULL").groupBy("top").agg(F.max_by("u", F.struct("n", "u")).alias("centre"))
     around = salted_join(crowd, centres, ["top"]).where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
-    around = around.join(short.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u")
-    around = salted_join(around, short.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), ["v"])
-    pairs = trees.where("top IS NULL").select("u", "v", "alike").union(_pair_likeness(around, least))
+
+    def with_signatures(pairs: DataFrame) -> DataFrame:
+        pairs = salted_join(pairs, short.select(F.col("rep").alias("u"), F.col("sig").alias("su")), ["u"])
+        return salted_join(pairs, short.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), ["v"])
+
+    pairs = trees.where("top IS NULL").select("u", "v", "alike").union(_pair_likeness(with_signatures(around), least))
     pairs = written(spark, pairs.groupBy("u", "v").agg(F.max("alike").alias("alike")), "pairs")
 
-    # Rows of one doc_id are one node even if their texts differ.
-    links = written(spark, confirm(_likeliest(pairs), docs, percent, shingle), "links")
+    def named(frame: DataFrame, known: DataFrame, c: str) -> DataFrame:
+        found = known.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+        return salted_join(frame, found, [c], "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
+
+    # Each class's likeliest candidate; then the other candidates between the components found; then all pairs of the regions between these; then neighbours' neighbours.
     tried = written(spark, _likeliest(pairs), "tried")
-    for every in (False, True):
-        known = components(links)
-        comp = lambda frame, c: salted_join(frame, known.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}")), [c], "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
-        if every:
-            more = _in_regions(comp(regions, "rep").withColumn("comp", F.col("comp_rep")), least, every=True).select("u", "v").distinct()
-        else:
-            more = comp(comp(pairs, "u"), "v").where("comp_u <> comp_v").select("u", "v")
-        more = written(spark, more.join(tried, ["u", "v"], "left_anti"), "more")
-        if more.limit(1).count():
-            links = links.union(written(spark, confirm(more, docs, percent, shingle), "links"))
-            tried = tried.union(more)
+    links = written(spark, confirm(tried, docs, percent, shingle), "links")
+    known = extend(None, links)
+
+    def apart(known: DataFrame) -> DataFrame:
+        return named(named(pairs, known, "u"), known, "v").where("comp_u <> comp_v").select("u", "v")
+
+    more = written(spark, apart(known).join(tried, ["u", "v"], "left_anti"), "more")
+    if more.limit(1).count():
+        found = written(spark, confirm(more, docs, percent, shingle), "links")
+        known, links, tried = extend(known, found), links.union(found), tried.union(more)
+    rows_left = named(regions, known, "rep").withColumn("comp", F.col("comp_rep"))
+    mixed = rows_left.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("region")
+    rows_left = written(spark, salted_join(rows_left, mixed, ["region"], "left_semi"), "mixed")
+    texts = _texts(docs, rows_left.select(F.col("rep").alias("doc_id")))
+    with_text = salted_join(rows_left, texts.select(F.col("doc_id").alias("rep"), "text"), ["rep"], salts=1)
+    found = written(spark, _links_in_regions(with_text, least, percent, shingle), "links")
+    known, links = extend(known, found), links.union(found)
+    # A class whose candidates all failed may still be linked with what most of theirs are linked with.
+    ends = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = ends.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"))
+    hubs = written(spark, salted_join(ends, degree, ["v"]).groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("hub")), "hubs")
+    failed = written(spark, apart(known), "failed")
+    both = failed.union(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    next_to = salted_join(both, hubs.withColumnRenamed("u", "v"), ["v"]).where("u <> hub").select(F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v")).distinct()
+    next_to = written(spark, _pair_likeness(with_signatures(next_to.join(tried, ["u", "v"], "left_anti")), least), "more")
+    if next_to.limit(1).count():
+        known = extend(known, written(spark, confirm(next_to.select("u", "v"), docs, percent, shingle), "links"))
     same = nodes.join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
     alone = nodes.groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("n")).where("n > 1").select("doc_id")
     # A doc_id with several texts ties their classes together.
     ties = same.join(alone, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    known = components(links.union(ties))
+    known = extend(known, ties)
     classes = salted_join(classes.select("d1", "d2", "rep"), known.select(F.col("node").alias("rep"), "component"), ["rep"], "left", salts=1)
-    named = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = salted_join(rows.select("doc_id", "n_shingles", "d1", "d2"), named, ["d1", "d2"], "left")
+    names = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    out = salted_join(rows.select("doc_id", "n_shingles", "d1", "d2"), names, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

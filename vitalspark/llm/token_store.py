@@ -34,8 +34,8 @@ from vitalspark.llm.chunks import ChunkEncoder
 from vitalspark.llm.common import partitions
 
 MAGIC, VERSION, END_ID = b"VTOK", 1, 2
-#: Bytes of the dictionary, documents and ids of each that it is trained on, rows of a file, zstandard level.
-DICTIONARY_BYTES, SAMPLE_DOCS, FILE_ROWS, LEVEL = 64 << 10, 400, 1000, 3
+#: Bytes of the dictionary, documents that it is trained on and characters of each, rows of a file, zstandard level.
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, FILE_ROWS, LEVEL = 64 << 10, 400, 20_000, 1000, 3
 
 
 @functools.cache
@@ -65,15 +65,57 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.union1d(at[_NO_SPACE[data[lead]]], offsets[:-1][offsets[1:] > offsets[:-1]])
 
 
+@functools.cache
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes of text that each id stands for: a byte-level piece has a character for each."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for piece, i in vocabulary.items():
+        out[i] = len(piece)
+    return out
+
+
+#: Characters of chunks that are handed to the library as one text.
+JOINED = 20_000
+
+
+def _encode_chunks(chunks: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of chunks, one after another, and how many each has.
+
+    Chunks that start with a space or line feed and end with something else are treated apart also side by side: many make
+    one text for the library, and the bytes of its ids tell where each chunk ends. The others are texts of their own.
+    """
+    texts, owners, size = [[]], [[]], 0
+    for i, x in enumerate(chunks):
+        alone = x[0] not in " \n" or x[-1].isspace()
+        if alone or size > JOINED:
+            texts.append([])
+            owners.append([])
+            size = 0
+        texts[-1].append(x)
+        owners[-1].append(i)
+        size = JOINED + 1 if alone else size + len(x)
+    found = _tokenizer(path).encode_batch_fast(["".join(x) for x in texts], add_special_tokens=False)
+    parts = [np.array(x.ids, np.uint32) for x in found]
+    sizes = np.zeros(len(chunks), np.int64)
+    for own, text, ids in zip(owners, texts, parts, strict=True):
+        if len(own) == 1:
+            sizes[own] = len(ids)
+        elif own:
+            ends = np.searchsorted(np.cumsum(_token_bytes(path)[ids]), np.cumsum([len(x.encode()) for x in text])) + 1
+            sizes[own] = np.diff(ends, prepend=0)
+    return np.concatenate(parts), sizes
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
 def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[np.ndarray]:
     """The ids of each text, and the end id."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(lambda chunks: [x.ids for x in _tokenizer(path).encode_batch_fast(chunks, add_special_tokens=False)], _cuts)
+        _encoders[path] = ChunkEncoder(lambda chunks: _encode_chunks(chunks, path), _cuts)
     for ids in _encoders[path].encode(texts):
-        yield np.append(ids, end_id).astype("<u4")
+        yield np.append(ids, np.uint32(end_id)).astype("<u4")
 
 
 def width(path: str) -> str:
@@ -82,8 +124,10 @@ def width(path: str) -> str:
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
-    """Dictionary from the id arrays of the `sample` documents with the least hash of their text; empty if they are too few to train on."""
-    texts = [r[0] for r in docs.where("text IS NOT NULL").select(F.substring("text", 1, 20_000)).orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
+    """Dictionary from the id arrays of the documents with the `sample` least hashes of their text; empty if they are too few to train on."""
+    hashed = docs.where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    least = [r[0] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    texts = [r[0] for r in hashed.where(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).orderBy("h").select("text").limit(sample).collect()]
     arrays = [x.astype(width(path)).tobytes() for x in encode(pa.array(texts, pa.string()), path)]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
@@ -141,21 +185,20 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, file_ro
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = spark.sparkContext.broadcast(train_dictionary(docs, path))
+    sent, kind = spark.sparkContext.broadcast(train_dictionary(docs, path)), width(path)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, arrays = TaskContext.get().partitionId(), 0, [], []
 
         def file() -> pa.RecordBatch:
             known = [x for x in ids if x is not None] or [None]
-            row = {"part": part, "seq": seq, "first_id": known[0], "last_id": known[-1], "n_ids": sum(map(len, arrays)), "content": pack(ids, arrays, sent.value, width(path), end_id)}
+            row = {"part": part, "seq": seq, "first_id": known[0], "last_id": known[-1], "n_ids": sum(map(len, arrays)), "content": pack(ids, arrays, sent.value, kind, end_id)}
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())]))
 
         for batch in batches:
-            for low in range(0, len(batch), 100):
-                some = batch.slice(low, 100)
-                ids += some.column(0).to_pylist()
-                arrays += encode(some.column(1), path, end_id)
+            for doc_id, array in zip(batch.column(0).to_pylist(), encode(batch.column(1), path, end_id), strict=True):
+                ids.append(doc_id)
+                arrays.append(array.astype(kind))
                 if len(ids) >= file_rows:
                     yield file()
                     seq, ids, arrays = seq + 1, [], []

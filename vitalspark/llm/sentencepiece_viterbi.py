@@ -50,7 +50,9 @@ class Pieces:
         self.id = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.longest = max(map(len, self.id))
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: Ends of pieces: the id of a piece, -1 for a text that only ends longer ones.
+        self.tails = {x[i:]: -1 for x in self.id for i in range(len(x))} | self.id
+        self.fits: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, best score first, leftmost of equals."""
@@ -64,14 +66,54 @@ class Pieces:
 
     def fit(self, left: int, right: int) -> bool:
         """Whether a right path may have these neighbours; -1 is a character outside the vocabulary, or the start."""
-        if left < 0 or right < 0:
+        if left < 0:
             return True
-        key = (left, right)
-        if key not in self.fits:
+        key = left << 32 | right
+        found = self.fits.get(key)
+        if found is None:
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
-            self.fits[key] = self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
-        return self.fits[key]
+            found = self.fits[key] = self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+        return found
+
+    def extend(self, window: str, last: list[int], back: list[int]) -> None:
+        """Nodes for the characters of window that have none: the last piece of each survivor (-1: a character outside the vocabulary, -2: no node) and where it starts."""
+        tails, fits = self.tails.get, self.fits.get
+        for stop in range(len(last), len(window) + 1):
+            piece, node, start = -2, 0, stop
+            while start:
+                start -= 1
+                found = tails(window[start:stop])
+                if found is None:  # no piece ends like this
+                    break
+                if found >= 0:
+                    left = last[start]
+                    if left == -2:
+                        continue
+                    fitting = True if left < 0 else fits(left << 32 | found)
+                    if fitting or (fitting is None and self.fit(left, found)):
+                        piece, node = found, start
+                        break
+            if piece == -2 and window[stop - 1] not in self.id:
+                piece, node = -1, stop - 1
+            last.append(piece)
+            back.append(node)
+
+    def path(self, window: str, last: list[int], back: list[int], stop: int) -> list[int]:
+        """Ids of the survivor that ends at a node."""
+        parts: list = []
+        while stop:
+            start = back[stop]
+            parts.append(last[stop] if last[stop] >= 0 else [self.byte[b] for b in window[start:stop].encode()])
+            stop = start
+        parts.reverse()
+        return parts if all(x.__class__ is int for x in parts) else [y for x in parts for y in (x if isinstance(x, list) else [x])]
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a chunk, whose end all paths meet in."""
+        last, back = [-1], [0]
+        self.extend(text, last, back)
+        return self.path(text, last, back, len(text))
 
 
 @functools.cache
@@ -96,21 +138,9 @@ class Stream:
         yield from self._commit(len(self.window))
 
     def _extend(self, text: str) -> None:
-        v, known, begin = self.v, self.v.id, len(self.window)
         self.window += text
-        window, last, back = self.window, self.last, self.back
-        for stop in range(begin + 1, len(window) + 1):
-            piece, node = None, 0
-            for start in range(max(0, stop - v.longest), stop):
-                found = known.get(window[start:stop])
-                if found is not None and last[start] != -2 and v.fit(last[start], found):
-                    piece, node = found, start
-                    break
-            if piece is None and window[stop - 1] not in known:
-                piece, node = -1, stop - 1
-            last.append(-2 if piece is None else piece)
-            back.append(node)
-        self.widest = max(self.widest, len(window))
+        self.v.extend(self.window, self.last, self.back)
+        self.widest = max(self.widest, len(self.window))
 
     def _meeting(self) -> int:
         """The boundary in which the paths of all nodes that can be continued meet."""
@@ -122,19 +152,12 @@ class Stream:
             nodes.add(self.back[top])
         return nodes.pop()
 
-    def _commit(self, stop: int) -> Iterator[int]:
-        path, at = [], stop
-        while at:
-            path.append(at)
-            at = self.back[at]
-        for at in reversed(path):
-            if self.last[at] >= 0:
-                yield self.last[at]
-            else:
-                yield from (self.v.byte[b] for b in self.window[self.back[at] : at].encode())
+    def _commit(self, stop: int) -> list[int]:
+        ids = self.v.path(self.window, self.last, self.back, stop)
         if stop:
-            self.window, self.last = self.window[stop:], [self.last[stop], *self.last[stop + 1 :]]
+            self.window, self.last = self.window[stop:], self.last[stop:]
             self.back = [0, *(x - stop for x in self.back[stop + 1 :])]
+        return ids
 
 
 def encode_text(text: str, path: str) -> list[int]:
@@ -170,12 +193,18 @@ def encode(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     if path not in _encoders:
         v = pieces(path)
 
-        def chunks(found: list[str]) -> list[list[int]]:
-            out = []
+        def chunks(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, sizes = [], []
             for x in found:
-                stream = Stream(v)
-                out.append([*stream.feed(x.replace(" ", SPACE)), *stream.end()])
-            return out
+                before = len(ids)
+                if len(x) <= COMMIT_EVERY:
+                    ids += v.whole(x.replace(" ", SPACE))
+                else:
+                    stream = Stream(v)
+                    ids += stream.feed(x.replace(" ", SPACE))
+                    ids += stream.end()
+                sizes.append(len(ids) - before)
+            return np.array(ids, np.uint32), np.array(sizes, np.int64)
 
         if any(SPACE in x.lstrip(SPACE) for x in v.id):
             raise ValueError("pieces of this model go over spaces: its texts can't be cut there")

@@ -210,23 +210,23 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Rows of docs, with all their columns: text redacted, and n_chars, if there is one, counted anew where text isn't null."""
+    """Rows of docs, with all their columns: text redacted, and n_chars, if there is one, counted anew where text changed."""
     place = docs.columns.index("text")
+    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, changed = batch.column(place), {}
-            for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, WORTH), False).to_numpy(zero_copy_only=False)):
-                text = texts[int(i)].as_py()
+            changed: dict[int, str] = {}
+            texts = batch.column(place)
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, WORTH), False).to_numpy(zero_copy_only=False)).tolist():
+                text = texts[i].as_py()
                 spans = find(text)[1]
                 if spans:
-                    changed[int(i)] = redacted(text, spans)
-            if changed:
-                texts = pa.array([changed.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
-            yield batch.set_column(place, batch.schema.field(place), texts)
-
-    out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out
+                    changed[i] = redacted(text, spans)
+            for at, new in ((place, changed), (count, {i: len(x) for i, x in changed.items()})):
+                if changed and at is not None:
+                    old = batch.column(at)
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array([new.get(i, x) for i, x in enumerate(old.to_pylist())], old.type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,30 +12,34 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(
-    "text,date,precision,assumed",
+PARTIAL = (
     [
         ("2020-04-09", dt.date(2020, 4, 9), "day", False), ("2020-4-9", dt.date(2020, 4, 9), "day", False), ("2020-04", dt.date(2020, 4, 15), "month", True), ("2020", dt.date(2020, 7, 1), "year", True), ("2020-04-09T10:00:00", dt.date(2020, 4, 9), "day", False),
         (" 2020-04-09 10:00 ", dt.date(2020, 4, 9), "day", False), ("2020-02-30", None, "unknown", False), ("NaN", None, "unknown", False), ("", None, "unknown", False), (None, None, "unknown", False), ("soon", None, "unknown", False), ("2020-123", None, "unknown", False),
-    ],
+    ]
 )
-def test_partial_dates(spark, text, date, precision, assumed):
-    got = one(spark, dates.parse_partial_date(F.col("t")), t=text)
-    assert (got.date, got.precision, bool(got.assumed)) == (date, precision, assumed)
 
 
-@pytest.mark.parametrize(
-    "text,want",
+def test_partial_dates(spark):
+    rows = spark.createDataFrame([(i, x[0]) for i, x in enumerate(PARTIAL)], "i int, t string")
+    got = {r.i: (r.x.date, r.x.precision, bool(r.x.assumed)) for r in rows.select("i", dates.parse_partial_date(F.col("t")).alias("x")).collect()}
+    assert got == {i: x[1:] for i, x in enumerate(PARTIAL)}
+
+
+TEXTS = (
     [
         ("2024-06-15", (2024, 6, 15, "day")), ("2024-6", (2024, 6, None, "month")), ("2024", (2024, None, None, "year")), ("06/2024", (2024, 6, None, "month")), ("Sept 2024", (2024, 9, None, "month")), ("q2 2024", (2024, 6, None, "month")),
         ("2024-06-15T12:00:00Z", (2024, 6, 15, "day")), ("2024-02-31", (2024, 2, 31, "day")), ("2024-13", None), ("2024-01-32", None), ("Foo 2024", None), ("x", None),
-    ],
+    ]
 )
-def test_partial_date_of_text(spark, text, want):
-    got = one(spark, dates.text_to_partial_date(F.col("t")), t=text)
-    assert (want is None) == (got.error is not None) and (want is None or (got.year, got.month, got.day, got.precision) == want)
-    if want:
-        assert one(spark, dates.partial_date_text(dates.text_to_partial_date(F.col("t"))), t=text) == "-".join(f"{x:0{4 if i == 0 else 2}d}" for i, x in enumerate(want[:3]) if x)
+
+
+def test_partial_date_of_text(spark):
+    rows = spark.createDataFrame([(i, x[0]) for i, x in enumerate(TEXTS)], "i int, t string")
+    for r in rows.select("i", dates.text_to_partial_date(F.col("t")).alias("x")).select("i", "x", dates.partial_date_text(F.col("x")).alias("again")).collect():
+        want = TEXTS[r.i][1]
+        assert (want is None) == (r.x.error is not None) and (want is None or (r.x.year, r.x.month, r.x.day, r.x.precision) == want)
+        assert want is None or r.again == "-".join(f"{x:0{4 if i == 0 else 2}d}" for i, x in enumerate(want[:3]) if x)
 
 
 def test_dates_and_times(spark):
@@ -46,16 +50,19 @@ def test_dates_and_times(spark):
     assert one(spark, dates.months(F.lit(-3)), t="") == 0 and one(spark, dates.months(F.lit(100)), t="") == 3.29
 
 
-@pytest.mark.parametrize(
-    "value,source,target,analyte,want",
+UNITS = (
     [
         (500, "mg", "g", None, 0.5), (150, "lb", "kg", None, 68.0388555), (98.6, "degF", "Cel", None, 37.0), (37, "Cel", "[degF]", None, 98.6), (100, "mg/dL", "mmol/L", "glucose", 5.55), (1, "mg/dL", "umol/L", "creatinine", 88.4),
         (88.4, "umol/L", "mg/dL", "creatinine", 1.0), (70, "in", "cm", None, 177.8), (1, "mg/dL", "mmol/L", "creatinine", 1 / 88.4), (3, "furlong", "furlong", None, 3), (1, "mg/dL", "mmol/L", None, None), (1, "mg", "L", None, None), (1, "mmHg", "kPa", None, None),
-    ],
+    ]
 )
-def test_units(spark, value, source, target, analyte, want):
-    got = one(spark, units.convert(F.lit(float(value)), F.col("s"), F.col("t"), F.col("a")), s=source, t=target, a=analyte)
-    assert got.value == (pytest.approx(want) if want is not None else None) and (got.error is None) == (want is not None)
+
+
+def test_units(spark):
+    rows = spark.createDataFrame([(i, float(x[0]), *x[1:4]) for i, x in enumerate(UNITS)], "i int, v double, s string, t string, a string")
+    for r in rows.select("i", units.convert(F.col("v"), F.col("s"), F.col("t"), F.col("a")).alias("x")).collect():
+        want = UNITS[r.i][4]
+        assert r.x.value == (pytest.approx(want) if want is not None else None) and (r.x.error is None) == (want is not None)
 
 
 def test_canonical_units(spark):
@@ -88,17 +95,16 @@ def test_drugs(spark):
         assert one(spark, drugs.regimen_class(F.array(*map(F.lit, held))), t="") == want
 
 
-@pytest.mark.parametrize(
-    "column,samples,want",
+LOOKUPS = (
     [
         ("x", ["718-7", " 718-7 "], ("hemoglobin", "LOINC", "718-7")), ("x", ["718-7", "2345-7"], None), ("dx", ["C34.2", "C34.11"], ("diagnosis_code", "ICD-10", "C34.11")), ("dx", ["C34.2", "C34.30"], None), ("Drug-Name", ["Keytruda", "pembrolizumab", "1547545"], ("drug_name", "RxNorm", "1547545")),
-        ("drug", ["Keytruda", "Opdivo"], None), ("name", ["Keytruda"], ("sodium", "LOINC", "2951-2") if False else None), ("Glucose level", ["101"], ("glucose", "LOINC", "2345-7")), ("ecog_performance_status", ["1"], None), ("white blood", [None, ""], ("wbc_count", "LOINC", "26464-8")), ("zip", [], None),
-    ],
+        ("drug", ["Keytruda", "Opdivo"], None), ("name", ["Keytruda"], ("sodium", "LOINC", "2951-2")), ("Glucose level", ["101"], ("glucose", "LOINC", "2345-7")), ("ecog_performance_status", ["1"], None), ("white blood", [None, ""], ("wbc_count", "LOINC", "26464-8")), ("zip", [], None),
+    ]
 )
-def test_lookup(spark, column, samples, want):
-    rows = spark.createDataFrame([(column, samples)], "c string, s array<string>")
-    got = rows.select(registries.lookup(F.col("c"), F.col("s")).alias("v")).first().v
-    if column == "name":  # "na" inside a name is sodium
-        assert got.canonical_name == "sodium"
-    else:
-        assert (got and (got.canonical_name, got.registry, got.code)) == want
+
+
+def test_lookup(spark):
+    """Also what looks odd: "na" inside a name is sodium."""
+    rows = spark.createDataFrame([(i, x[0], x[1]) for i, x in enumerate(LOOKUPS)], "i int, c string, s array<string>")
+    for r in rows.select("i", registries.lookup(F.col("c"), F.col("s")).alias("v")).collect():
+        assert (r.v and (r.v.canonical_name, r.v.registry, r.v.code)) == LOOKUPS[r.i][2]

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import keyed
+from vitalspark.llm.common import keyed, written
 
 THRESHOLD, MOST_WORDS = 0.8, 20_000
 
@@ -45,7 +45,7 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({_WORD})"))
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
 def template_words(text: str) -> list[str]:
@@ -72,27 +72,33 @@ def phrase_places(found: Column, phrase: str) -> Column:
     return F.when(F.size(found) >= len(parts), F.filter(first, here)).otherwise(F.array().cast("array<int>"))
 
 
-def block_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """id0, key, line, template, label, containment: all blocks (id0, key, line, block: lower-cased text) that hold enough of a template."""
-    spark = blocks.sparkSession
-    sets = [(i, label, template_words(text)) for i, (label, text) in enumerate(templates)]
-    sets = [x for x in sets if x[2]]
-    if sum(len(x[2]) for x in sets) > MOST_WORDS:
+def vocabulary(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
+    """Distinct words of all templates, in order."""
+    found = sorted({w for _, text in templates for w in template_words(text)})
+    if len(found) > MOST_WORDS:
         raise ValueError(f"templates of more than {MOST_WORDS} words: scan for them in parts")
-    vocabulary = sorted({w for _, _, x in sets for w in x})
-    known = blocks.select("id0", "key", "line", F.array_intersect(F.array(*map(F.lit, vocabulary)), words(F.col("block"))).alias("held")).where(F.size("held") > 0)
-    counts = {r["word"]: r["n"] for r in known.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+    return found
+
+
+def block_matches(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """id0, key, line, template, label, containment: all blocks that hold enough of a template.
+
+    held: (id0, key, line, held: the words of the templates' vocabulary in a block), read twice: to count, then to join.
+    """
+    spark = held.sparkSession
+    sets = [(i, label, template_words(text)) for i, (label, text) in enumerate(templates)]
+    counts = {r["word"]: r["n"] for r in held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    order = sorted(vocabulary(templates), key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     prefixes = []
     for i, label, x in sets:
-        x, k = sorted(x, key=rank.get), needed(len(x), threshold)
+        x, k = sorted(x, key=rank.get), needed(len(x), threshold) if x else 1
         prefixes += [(w, i, label, p, len(x), k, x) for p, w in enumerate(x[: len(x) - k + 1], 1)]
     index = spark.createDataFrame(prefixes, "word string, template int, label string, place int, size int, needed int, words array<string>")
     rare = sorted({p[0] for p in prefixes}, key=rank.get)
     # array_intersect keeps its first array's order: here rarest first.
-    ordered = blocks.where(F.col("block").rlike("|".join(rare))).select("id0", "key", "line", F.array_intersect(F.array(*map(F.lit, order)), words(F.col("block"))).alias("held"))
-    probes = ordered.where(F.size("held") >= min(p[5] for p in prefixes)).select("*", F.explode(F.array_intersect(F.array(*map(F.lit, rare)), "held")).alias("word"))
+    long = held.where(F.size("held") >= min((p[5] for p in prefixes), default=1))
+    probes = long.select("id0", "key", "line", F.array_intersect(F.array(*map(F.lit, order)), "held").alias("held")).select("*", F.explode(F.array_intersect(F.array(*map(F.lit, rare)), "held")).alias("word"))
     meets = probes.join(F.broadcast(index), "word").withColumn("at", F.array_position("held", F.col("word")))
     left = F.least(F.col("size") - F.col("place"), F.size("held") - F.col("at")) + 1
     first = meets.where((F.size("held") >= F.col("needed")) & (left >= F.col("needed"))).dropDuplicates(["id0", "key", "line", "template"])
@@ -104,18 +110,22 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs.
 
     Base: the places of PHRASES.  labels has also those of the templates found in blocks.  score: 1 with
-    a base phrase, else the greatest containment found, else 0.
+    a base phrase, else the greatest containment found, else 0.  Texts are split once; what the join needs of them is written.
     """
+    none = F.array().cast("array<int>")
+    known = F.array(*map(F.lit, vocabulary(templates)))
     rows = keyed(docs).withColumn("text", F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER))
-    blocks = rows.select("id0", "key", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    found = block_matches(blocks, templates, threshold).groupBy("id0", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
-    counted = rows.withColumn("found", F.when(F.contains("text", F.lit("license")), words(F.col("text"))))
-    places = {phrase: F.coalesce(phrase_places(F.col("found"), phrase), F.array().cast("array<int>")) for phrase, _ in PHRASES}
-    counted = counted.select(
-        "doc_id", "id0", "key", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"),
-        F.array(*(F.struct(F.lit(label).alias("label"), places[phrase].alias("at")) for phrase, label in PHRASES)).alias("base"),
+    rows = rows.select("doc_id", "id0", "key", F.contains("text", F.lit("license")).alias("hint"), F.transform(F.split("text", "\n"), words).alias("lines"))
+    rows = rows.withColumn("found", F.when(F.col("hint"), F.flatten("lines")))
+    places = {phrase: F.coalesce(phrase_places(F.col("found"), phrase), none) for phrase, _ in PHRASES}
+    split = rows.select(
+        "doc_id", "id0", "key", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),
+        F.array(*(F.struct(F.lit(label).alias("label"), places[phrase].alias("at")) for phrase, label in PHRASES)).alias("base"), F.transform("lines", lambda x: F.array_intersect(known, x)).alias("blocks"),
     )
-    counted = counted.select("doc_id", "id0", "key", "n_words", F.flatten(F.transform("base", lambda x: x["at"])).alias("at"), F.transform(F.filter("base", lambda x: F.size(x["at"]) > 0), lambda x: x["label"]).alias("base"))
+    split = written(docs.sparkSession, split, "blocks")
+    held = split.select("id0", "key", F.posexplode("blocks").alias("line", "held")).where(F.size("held") > 0)
+    found = block_matches(held, templates, threshold).groupBy("id0", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    counted = split.select("doc_id", "id0", "key", "n_words", F.flatten(F.transform("base", lambda x: x["at"])).alias("at"), F.transform(F.filter("base", lambda x: F.size(x["at"]) > 0), lambda x: x["label"]).alias("base"))
     joined = counted.join(found, ["id0", "key"], "left")
     return joined.select(
         "doc_id", "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),

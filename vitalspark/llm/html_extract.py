@@ -2,12 +2,13 @@
 
 A page is a sequence of tags and stretches of text.  Each word scores positive and each tag
 negative; one linear scan finds the contiguous region of the greatest sum.  Weights come from
-labelled pages: pages that mark their content by an article or main element.  For each tag that says what it is (PRIOR_TAGS), and each
-tag with a class, id or role, the words inside such elements are counted as content or not, on top
-of a prior count for names that say what they are.  An element of which a name is found with other
-words more than with content is none: its words score nothing and are left out wherever it stands,
-and its tag costs its log odds.  A border of marked content costs most: no text of one side is
-worth crossing it for less than as much on the other.
+labelled pages: pages that mark their content by an article or main element.  For each tag, and
+each tag with a class, id or role, the words inside such elements are counted as content or not,
+on top of a prior count for names that say what they are.  A tag costs a little, and its log odds if
+its words are mostly no content.  An element that its class, id or role, or a tag that says what it
+is (PRIOR_TAGS), shows to be no content has words that score nothing and are left out wherever it
+stands.  A border of marked content costs most: no text of one side is worth crossing it for less
+than as much on the other.
 
 Character references are decoded, white space in a block is one space, blocks are trimmed and
 joined by a line feed; empty blocks are left out.  Null and empty pages, and pages without content, give an empty
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that weights are learnt from, at most; the pages of the least hashes of their content.
+#: Labelled pages that weights are learnt from: those of the least hashes of their content; pages that are alike stay or go together.
 LABELLED_PAGES = 4000
 #: Weight of a word, of a common tag, factor of a tag's log odds, and weight of a border of marked content.
-WORD, TAG, ODDS, BORDER = 1.0, -0.05, 0.15, -60.0
+WORD, TAG, ODDS, BORDER = 1.0, -0.01, 0.07, -60.0
 #: Prior words outside content, for elements of these names, classes, ids or roles.
 PRIOR_WORDS = 50
 PRIOR_TAGS = frozenset("aside audio button canvas dialog embed footer form head header iframe input map menu nav noscript object option script select style svg template textarea title video".split())
@@ -72,8 +73,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def features(tag: str, rest: str) -> list[str]:
-    """The names that tell what an element is: its tag, if that does, and its tag with each class, id and role."""
-    found = [tag] if tag in PRIOR_TAGS else []
+    """The names of an element: its tag, and its tag with each class, id and role."""
+    found = [tag]
     if rest and "=" in rest:
         for m in _ATTRIBUTE.finditer(rest):
             found += [f"{tag}.{x.lower()}" for x in (m[2] or m[3] or m[4] or "").split()]
@@ -112,14 +113,17 @@ def weigh(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     return {f: float(np.log((a + 1) / (b + prior(f) + 1))) for f, (a, b) in counts.items()}
 
 
-def odds(names: list[str], weights: dict[str, float]) -> float:
-    """The least log odds of an element's names; 0 if none is below."""
-    return min(0.0, *(weights.get(x, -float(np.log(prior(x) + 1))) for x in names)) if names else 0.0
+def is_other(names: list[str], weights: dict[str, float]) -> bool:
+    """Whether one of an element's names shows it to be no content; a tag's own name does only if it says what it is."""
+    return any(weights.get(x, -float(prior(x))) < 0 for x in names if "." in x or x in PRIOR_TAGS)
 
 
 def learn(pages: DataFrame, most: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most `most` labelled pages (html): a dictionary as long as these pages have different features."""
-    sample = pages.where(F.col("html").rlike("(?i)<(?:article|main)[\\s>]")).select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(most).select("html")
+    """Weights from about `most` labelled pages (html): a dictionary as long as these pages have different features."""
+    marked = pages.where(F.col("html").rlike("(?i)<(?:article|main)[\\s>]")).select("html", F.xxhash64("html").alias("h"))
+    # Hashes alone find the bound; the pages under it stay where they are.
+    least = [r[0] for r in marked.select("h").orderBy("h").limit(most).collect()]
+    sample = marked.where(F.col("h") <= (least[-1] if least else -(1 << 63))).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -138,23 +142,22 @@ def extract(page: str, weights: dict[str, float]) -> str:
     scores: list[float] = []
     pieces: list[str | None] = []  # text, or None for a block's end; inline tags are empty text
     skipped, depth, marked = "", 0, 0  # the element whose words are not content, how many of its name are open; marked elements around
-    cached: dict[tuple[str, str], float] = {}
+    cached: dict[tuple[str, str], bool] = {}
     for kind, value, rest in tokens(page):
         if kind == "text":
             piece = "" if skipped else value
             scores.append(WORD * len(piece.split()))
             pieces.append(piece)
             continue
-        weight = TAG
+        weight = TAG + (0.0 if skipped else ODDS * min(0.0, weights.get(value, 0.0)))
         if kind == "open":
             key = (value, rest)
             if key not in cached:
-                cached[key] = odds(features(value, rest), weights)
-            weight += ODDS * cached[key]
+                cached[key] = is_other(features(value, rest), weights)
             if skipped:
                 depth += value == skipped and value not in VOID
-            elif cached[key] < 0 and value not in VOID:
-                skipped, depth = value, 1
+            elif cached[key] and value not in VOID:
+                skipped, depth, weight = value, 1, TAG
             elif value in CONTENT_TAGS:
                 marked += 1
                 weight += BORDER * (marked == 1)

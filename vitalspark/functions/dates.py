@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitalspark.functions.bind import bind
+
 #: Words for a missing date, day taken for a month, month and day taken for a year.
 MISSING = ("none", "null", "nan", "unknown")
 DAY_OF_MONTH, MONTH_OF_YEAR, DAY_OF_YEAR = 15, 7, 1
@@ -27,19 +29,21 @@ def calendar_date(year: Column, month: Column, day: Column) -> Column:
 def parse_partial_date(value: Column, precision: Column | None = None) -> Column:
     """struct(date, precision, assumed) of text: a day, a month (its 15th) or a year (1 July); a declared precision is kept."""
     bare = F.split(F.split(F.trim(value), "T")[0], " ")[0]
-    parts = F.split(bare, "-")
-    number = [F.get(parts, i).try_cast("int") for i in range(3)]
-    n = F.size(parts)
-    date = (
-        F.when(n >= 3, calendar_date(*number))
-        .when(n == 2, calendar_date(number[0], number[1], F.lit(DAY_OF_MONTH)))
-        .otherwise(calendar_date(number[0], F.lit(MONTH_OF_YEAR), F.lit(DAY_OF_YEAR)))
-    )
     known = ~F.lower(F.trim(value)).isin("", *MISSING)
-    date = F.when(known, date)
-    found = F.when(n >= 3, "day").when(n == 2, "month").otherwise("year")
-    declared = found if precision is None else F.coalesce(precision, found)
-    return F.struct(date.alias("date"), F.when(date.isNotNull(), declared).otherwise("unknown").alias("precision"), (date.isNotNull() & (n < 3)).alias("assumed"))
+
+    def dated(parts: Column) -> Column:
+        number = [F.get(parts, F.lit(i)).try_cast("int") for i in range(3)]
+        n = F.size(parts)
+        return F.when(n >= 3, calendar_date(*number)).when(n == 2, calendar_date(number[0], number[1], F.lit(DAY_OF_MONTH))).otherwise(calendar_date(number[0], F.lit(MONTH_OF_YEAR), F.lit(DAY_OF_YEAR)))
+
+    def described(x: Column) -> Column:
+        found = F.when(x["n"] >= 3, "day").when(x["n"] == 2, "month").otherwise("year")
+        declared = found if precision is None else F.coalesce(precision, found)
+        sound = x["date"].isNotNull()
+        return F.struct(x["date"].alias("date"), F.when(sound, declared).otherwise("unknown").alias("precision"), (sound & (x["n"] < 3)).alias("assumed"))
+
+    parts = F.split(bare, "-")
+    return bind(F.struct(F.when(known, bind(parts, dated)).alias("date"), F.coalesce(F.size(parts), F.lit(0)).alias("n")), described)
 
 
 def resolve_date(value: Column) -> Column:
@@ -83,10 +87,18 @@ def text_to_partial_date(value: Column) -> Column:
         .when(s.rlike(quarter), made(part(quarter, 2), part(quarter, 1) * 3, none))
         .when(s.rlike(stamp) & calendar_date(part(stamp, 1), part(stamp, 2), part(stamp, 3)).isNotNull(), made(part(stamp, 1), part(stamp, 2), part(stamp, 3)))
     )
-    sound = found.isNotNull() & F.coalesce(found["month"].between(1, 12), F.lit(True)) & F.coalesce(found["day"].between(1, 31), F.lit(True))
-    error = F.when(found.isNull(), "not a partial date").when(~F.coalesce(found["month"].between(1, 12), F.lit(True)), "month out of range").when(~sound, "day out of range")
-    precision = F.when(found["day"].isNotNull(), "day").when(found["month"].isNotNull(), "month").when(found["year"].isNotNull(), "year")
-    return F.struct(*(F.when(sound, found[x]).alias(x) for x in ("year", "month", "day")), F.when(sound, precision).alias("precision"), error.alias("error"))
+
+    def checked(x: Column) -> Column:
+        month, day = (F.coalesce(x[c].between(1, top), F.lit(True)) for c, top in (("month", 12), ("day", 31)))
+        error = F.when(x.isNull(), "not a partial date").when(~month, "month out of range").when(~day, "day out of range")
+        precision = F.when(x["day"].isNotNull(), "day").when(x["month"].isNotNull(), "month").when(x["year"].isNotNull(), "year")
+        return F.struct(x["year"].alias("year"), x["month"].alias("month"), x["day"].alias("day"), precision.alias("precision"), error.alias("error"))
+
+    def emptied(x: Column) -> Column:
+        """Without its parts if there is an error."""
+        return F.struct(*(F.when(x["error"].isNull(), x[c]).alias(c) for c in ("year", "month", "day", "precision")), x["error"].alias("error"))
+
+    return bind(bind(found, checked), emptied)
 
 
 def partial_date_text(value: Column) -> Column:

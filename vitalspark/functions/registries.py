@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalspark.functions.bind import bind
+
 #: LOINC code, canonical column, unit, data type, aliases.
 LOINC = (
     ("26464-8", "wbc_count", "10*3/uL", "quantity_with_unit", "wbc|white blood"),
@@ -108,12 +110,17 @@ def lookup(source_column: Column, samples: Column) -> Column:
     In order: all samples one known LOINC code; all known ICD-10 codes (of several the least); a drug hint in the name and all
     samples one drug, by name, brand or code; an alias of exactly one laboratory entry in the name.
     """
-    name, clean = column_name(source_column), clean_samples(samples)
+    both = F.struct(column_name(source_column).alias("name"), clean_samples(samples).alias("samples"))
+    return bind(bind(both, lambda x: _codes(x["name"], x["samples"])), _verdict)
+
+
+def _codes(name: Column, clean: Column) -> Column:
+    """struct(loinc, icd, drug, alias): what each strategy finds."""
     some = F.size(clean) > 0
     by_code = {x[0]: x for x in LOINC}
     loinc_code = F.when(some & (F.size(F.array_distinct(clean)) == 1) & clean[0].isin(*by_code), clean[0])
     icd = _entries(list(ICD10))
-    upper = F.transform(clean, F.upper)
+    upper = F.transform(clean, lambda x: F.upper(x))
     icd_code = F.when(some & F.forall(clean, lambda x: x.rlike(ICD10_CODE)) & F.forall(upper, lambda x: F.map_contains_key(icd, x)), F.array_min(upper))
     keys = _entries([(k, x[0]) for x in RXNORM for k in (x[1], x[3].lower())] + [(x[0], x[0]) for x in RXNORM])
     drugs = F.transform(clean, lambda x: F.try_element_at(keys, F.lower(x)))
@@ -122,7 +129,13 @@ def lookup(source_column: Column, samples: Column) -> Column:
         hinted = hinted | F.contains(name, F.lit(hint))
     drug = F.when(some & hinted & ~F.exists(drugs, lambda x: x.isNull()) & (F.size(F.array_distinct(drugs)) == 1), F.get(drugs, F.lit(0)))
     codes = alias_codes(name)
-    alias = F.when(F.size(codes) == 1, F.get(codes, F.lit(0)))
+    alias = bind(codes, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
+    return F.struct(loinc_code.alias("loinc"), icd_code.alias("icd"), drug.alias("drug"), alias.alias("alias"))
+
+
+def _verdict(found: Column) -> Column:
+    """The first strategy's find as a verdict."""
+    loinc_code, icd_code, drug, alias = (found[c] for c in ("loinc", "icd", "drug", "alias"))
 
     def field(at: int, code: Column) -> Column:
         return F.try_element_at(_entries([(x[0], x[at]) for x in LOINC if x[at]]), code)
@@ -133,7 +146,7 @@ def lookup(source_column: Column, samples: Column) -> Column:
     none = F.lit(None)
     return (
         F.when(loinc_code.isNotNull(), verdict(field(1, loinc_code), field(3, loinc_code), field(2, loinc_code), "LOINC", loinc_code, "sample_value_code"))
-        .when(icd_code.isNotNull(), verdict(F.try_element_at(icd, icd_code), F.lit("coded_value"), none, "ICD-10", icd_code, "sample_value_code"))
+        .when(icd_code.isNotNull(), verdict(F.try_element_at(_entries(list(ICD10)), icd_code), F.lit("coded_value"), none, "ICD-10", icd_code, "sample_value_code"))
         .when(drug.isNotNull(), verdict(F.lit("drug_name"), F.lit("text"), none, "RxNorm", drug, "sample_value_code"))
         .when(alias.isNotNull(), verdict(field(1, alias), field(3, alias), field(2, alias), "LOINC", alias, "column_name"))
     )

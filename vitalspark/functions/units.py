@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitalspark.functions.bind import bind
+
 #: Canonical unit -> factors to it. Searched in this order.
 LINEAR = {
     "g": {"mg": 1e-3, "g": 1.0, "kg": 1e3, "ug": 1e-6, "mcg": 1e-6},
@@ -56,4 +58,4 @@ def convert(value: Column, source: Column, target: Column, analyte: Column | Non
         factors = _numbers(group)
         out = out.when(source.isin(*group) & target.isin(*group), value * F.try_element_at(factors, source) / F.try_element_at(factors, target))
     missing = F.when(~known_unit(source), "unknown unit").when(~known_unit(target), "unknown unit").otherwise("no conversion")
-    return F.struct(out.alias("value"), F.when(out.isNull() & value.isNotNull(), missing).alias("error"))
+    return bind(out, lambda x: F.struct(x.alias("value"), F.when(x.isNull() & value.isNotNull(), missing).alias("error")))

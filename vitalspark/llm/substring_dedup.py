@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
 from vitalspark.llm.common import delete, keyed, new_folder, partitions, written
+from vitalspark.llm.graph import SALTS, salted_join
 
 WINDOW, GRAM = 35, 8
-#: Copies of each small-side row when a hot hash is spread over tasks.
-SALTS = 8
 
 
 def _least(grams: np.ndarray, width: int) -> np.ndarray:
@@ -147,7 +146,7 @@ def repeated_places(docs: DataFrame, repeated: DataFrame, texts: DataFrame, wind
 
     # Stretches that occur once, and one of each kind of those that differ from them: window by window.
     several = groups.groupBy("h").agg(F.count("*").alias("v")).where("v > 1").select("h")
-    apart = groups.join(several, "h", "left_semi").select("one.*", "m", "n", "h")
+    apart = salted_join(groups, several, ["h"], "left_semi").select("one.*", "m", "n", "h")
     asked = apart.groupBy("id0", "key").agg(F.collect_list(F.struct("a", "m", "n", "h")).alias("asked"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,9 +145,10 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
             except (binascii.Error, ValueError):
                 continue
             begin = m.start() + first
-            while (more := _unpacked(data)) is not None:
+            met = {data}
+            while (more := _unpacked(data)) is not None and more not in met:  # compressed data can hold itself
                 data, first = more, -1
-                begin = m.start()
+                met.add(data)
             if not _is_text(data):
                 continue
             text, places = _characters(data)

@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,14 +132,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 63))))
     n = 4 * partitions(spark)
-    cuts = sorted({int(x) for x in docs.approxQuantile("o", [i / n for i in range(1, n)], 0.1 / n)})
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("o"))) if cuts else F.lit(0)
-    firsts = sorted((r[0], r[1]) for r in docs.groupBy(bucket.alias("bucket")).agg(F.min("o")).collect())
-    rows = docs.select(bucket.alias("bucket"), F.lit(False).alias("extra"), "doc_id", "o", "text")
+    cuts = np.unique(np.array(docs.approxQuantile("o", [i / n for i in range(1, n)], 0.25 / n), np.int64))
+
+    @F.pandas_udf("int")
+    def bucket(o: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, o.to_numpy(), side="right").astype(np.int32))
+
+    firsts = sorted((r[0], r[1]) for r in docs.select(bucket("o").alias("bucket"), "o").groupBy("bucket").agg(F.min("o")).collect())
+    rows = docs.select(bucket("o").alias("bucket"), F.lit(False).alias("extra"), "doc_id", "o", "text")
     if not firsts:
         return rows.drop("o")
-    before = F.create_map(*(F.lit(x) for i, (_, first) in enumerate(firsts) for x in (first, firsts[i - 1][0])))
-    extra = docs.where(F.col("o").isin([first for _, first in firsts])).groupBy("o").agg(F.min("text").alias("text")).select(before[F.col("o")].alias("bucket"), F.lit(True).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "o", "text")
+    # One row for each range: its first id, and the range that this row also ends.
+    ends = spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "o long, bucket int")
+    extra = docs.join(F.broadcast(ends), "o").groupBy("bucket", "o").agg(F.min("text").alias("text")).select("bucket", F.lit(True).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "o", "text")
     return rows.union(extra).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "extra", "o", "text").drop("o")
 
 

@@ -93,6 +93,17 @@ def test_secrets_in_layers(wrapped):
     assert "hunter2" not in secrets.redacted(text, spans) and secrets.redacted(text, spans).startswith("sée [REDACTED]")
 
 
+@pytest.mark.parametrize("wrapped", WRAPPED)
+def test_one_payload_at_two_places(wrapped):
+    both = urllib.parse.quote(wrapped)
+    text = f"sée {wrapped} and {wrapped} or {both} end"
+    spans = secrets.find(text)[1]
+    second, third = text.index(wrapped, 4 + len(wrapped)), text.index(" or ") + 4
+    for at, run in ((4, wrapped), (second, wrapped), (third, both)):
+        assert any(k == "assign" and at <= a < b <= at + len(run) for k, a, b in spans)
+    assert not any(x in secrets.redacted(text, spans) for x in (wrapped, both, "hunter2"))
+
+
 def test_compressed_data_that_holds_itself(monkeypatch):
     monkeypatch.setattr(secrets, "_unpacked", lambda data: data)
     run = base64.b64encode(b"secret = hunter2hunter2").decode()

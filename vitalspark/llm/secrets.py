@@ -2,9 +2,9 @@
 
 The first layer is the text.  From each layer come: the layer with its percent escapes decoded,
 the layer with its backslash-u and backslash-x escapes decoded, and the content of each base64 run
-that holds text, or data compressed by zlib, gzip, bzip2 or xz that holds text.  A layer whose content was met before ends
-there, so cycles end.  Each character of a layer knows the span of the text that it comes from:
-finds in inner layers are reported as spans of the text.
+that holds text, or data compressed by zlib, gzip, bzip2 or xz that holds text.  A layer whose content was met before at the
+same place ends there, so cycles end; equal content at another place is a layer of its own.  Each character of a layer knows
+the span of the text that it comes from: finds in inner layers are reported as spans of the text.
 
 Base finds are those of the text itself.  Null and empty texts have none.  Positions are code
 points, ends exclusive.  Repeated rows each have their result.  Other columns are not looked at.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -51,6 +52,10 @@ class Layer:
             return start, end
         return int(self.low[start:end].min()), int(self.high[start:end].max())
 
+    def key(self) -> tuple[str, bytes]:
+        """Content and place.  What comes out of compressed data has one span for all characters, and other layers are shorter than what they come from: only so many keys can follow."""
+        return self.text, b"" if self.low is None else hashlib.blake2b(self.low.tobytes() + self.high.tobytes(), digest_size=16).digest()
+
     def ends(self) -> tuple[np.ndarray, np.ndarray]:
         if self.low is None:
             at = np.arange(len(self.text))
@@ -165,11 +170,12 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base finds, finds of all layers), in order of start, then kind."""
     base = scan(text)
-    spans, seen, work = set(base), {text}, [Layer(text)]
+    work = [Layer(text)]
+    spans, seen = set(base), {work[0].key()}
     while work:
         for layer in inner_layers(work.pop()):
-            if layer.text not in seen:
-                seen.add(layer.text)
+            if (key := layer.key()) not in seen:
+                seen.add(key)
                 spans |= {(k, *layer.span(a, b)) for k, a, b in scan(layer.text)}
                 work.append(layer)
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])

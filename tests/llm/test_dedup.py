@@ -91,6 +91,26 @@ def test_crowded_regions(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(docs.collect())
 
 
+def test_pairs_in_a_boilerplate_crowd(spark, monkeypatch):
+    """Texts that share a boilerplate but aren't linked by it, and among them pairs that are linked with each other only."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rng = random.Random(4)
+    texts = []
+    for i in range(0, 160, 2):
+        own = [f"w{rng.random()}" for _ in range(30)]
+        other = own.copy()
+        for j in (3, 9, 15, 21):
+            other[j] = f"e{rng.random()}"
+        texts += [(k, " ".join([f"b{j}" for j in range(120)] + w)) for k, w in ((i, own), (i + 1, other))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_near(docs.collect())
+    assert len({x[2] for x in want}) == 80
+    got = near_dedup.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+
+
 def test_spotsigs(odd, empty):
     import hashlib
 

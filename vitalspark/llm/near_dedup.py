@@ -8,7 +8,9 @@ region the candidates are a spanning tree of the most alike signatures, and in a
 its classes against the centre of its densest part, so that the number of candidates stays in
 proportion to the classes.  Each class first confirms its likeliest candidate on the full sets;
 then, between the components found so far, all further pairs of each region whose signatures
-allow the wanted similarity.  Confirmed links only make components.
+allow the wanted similarity.  A class of a crowded region may have left it alone, and have met its
+centre only: where such a region still holds several components, its classes are joined on their
+rarest shingles (prefix filter), which misses no pair.  Confirmed links only make components.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; the set is the distinct 5-word shingles, with
 fewer words the whole sequence as one.  Null and empty texts have an empty set and no links.  Rows
@@ -275,6 +277,40 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle:
     return both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
 
+def _shared_rare(texts: DataFrame, known: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(u, v): all pairs of the classes (doc_id, text) in different components `known` (node, comp) that can have the wanted similarity by their rarest shingles, lengths and places.
+
+    Shingles are ordered by how many of the classes have them.  Of two linked sets the longer, of m shingles, holds one of the shared
+    ones among its m - ceil(m p) + 1 first, the shorter among its m - ceil(2 m p / (1 + p)) + 1 first.  Those of one class only can't be shared.
+    """
+    spark = texts.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, sets in shingle_sets(batch.column(1), shingle):
+                digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in sets), np.int64)
+                yield pa.record_batch({"rep": batch.column(0).slice(low, len(sets)), "d": pa.array(digests), "hs": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+
+    # A doc_id can have several texts, and some of these the same set.
+    sets = texts.select("doc_id", "text").mapInArrow(run, "rep long, d long, hs array<long>").dropDuplicates(["rep", "d"])
+    rows = written(spark, sets.select("rep", "d", F.size("hs").alias("m"), F.explode("hs").alias("h")), "shingles")
+    counts = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = salted_join(rows, counts, ["h"]).groupBy("rep", "d", "m").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("hs"))
+    ordered = ordered.withColumn("alone", F.col("m") - F.size("hs"))
+    most = F.expr(f"greatest(m - int(ceil(m * {percent} / 100)) + 1 - alone, 0)")
+    first = ordered.select("rep", "m", "alone", F.posexplode(F.slice("hs", F.lit(1), most)).alias("at", "x"))
+    first = first.select("rep", "m", F.col("x.h").alias("h"), (F.col("at") + F.col("alone")).alias("at"))
+    first = salted_join(first, known.select(F.col("node").alias("rep"), "comp"), ["rep"], salts=1)
+    first = written(spark, first, "prefixes")
+    mixed = first.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("h")
+    first = written(spark, salted_join(first, mixed, ["h"], "left_semi"), "prefixes")
+    short = first.where(f"at <= m - int(ceil(2 * m * {percent} / {100 + percent}))")
+    x, y = (f.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "m", "at", "comp"))) for k, f in (("x", short), ("y", first)))
+    met = salted_join(y, x, ["h"]).where(f"""comp_x <> comp_y AND (m_x < m_y OR m_x = m_y AND rep_x < rep_y) AND 100 * m_x >= {percent} * m_y
+        AND {100 + percent} * least(m_x - at_x, m_y - at_y) >= {percent} * (m_x + m_y)""")
+    return met.select(F.least("rep_x", "rep_y").alias("u"), F.greatest("rep_x", "rep_y").alias("v")).distinct()
+
+
 def _likeliest(pairs: DataFrame) -> DataFrame:
     """For each end its most alike partner."""
     ends = pairs.select("u", "v", "alike", F.col("u").alias("e")).union(pairs.select("u", "v", "alike", F.col("v").alias("e")))
@@ -336,6 +372,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     next_to = written(spark, _pair_likeness(with_signatures(next_to.join(tried, ["u", "v"], "left_anti")), least), "more")
     if next_to.limit(1).count():
         known = extend(known, written(spark, confirm(next_to.select("u", "v"), docs, percent, shingle), "links"))
+    # Classes of crowds that are still of several components: exactly, whatever region they fell out of.
+    loose = written(spark, named(crowd.distinct(), known, "rep"), "loose")
+    mixed = loose.groupBy("top").agg(F.min("comp_rep").alias("a"), F.max("comp_rep").alias("b")).where("a <> b").select("top")
+    loose = written(spark, salted_join(loose, mixed, ["top"], "left_semi").select(F.col("rep").alias("node"), F.col("comp_rep").alias("comp")).distinct(), "loose")
+    if loose.limit(1).count():
+        texts = _texts(docs, loose.select(F.col("node").alias("doc_id")))
+        more = written(spark, _pair_likeness(with_signatures(_shared_rare(texts, loose, percent, shingle)), least), "more")
+        if more.limit(1).count():
+            known = extend(known, written(spark, confirm(more.select("u", "v"), docs, percent, shingle), "links"))
     same = nodes.join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
     alone = nodes.groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("n")).where("n > 1").select("doc_id")
     # A doc_id with several texts ties their classes together.

@@ -104,6 +104,32 @@ def test_one_payload_at_two_places(wrapped):
     assert not any(x in secrets.redacted(text, spans) for x in (wrapped, both, "hunter2"))
 
 
+@pytest.mark.parametrize("inner", [INNER + x for x in ("", ";", ";;")])
+@pytest.mark.parametrize("front", ["\\n", "id_", "/", "v1-", "--", ""])
+def test_base64_behind_characters_of_its_alphabet(front, inner):
+    for data in (inner.encode(), gzip.compress(inner.encode(), mtime=0)):
+        for run in (base64.b64encode(data).decode(), base64.b64encode(data).decode().rstrip("=")):
+            text = f"sée {front}{run} end"
+            spans = secrets.find(text)[1]
+            assert any(k == "assign" and 4 + len(front) - (front == "\\n") <= a < b <= len(text) - 4 for k, a, b in spans)
+            assert run not in secrets.redacted(text, spans)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [64, 76])
+def test_base64_over_lines(width, end):
+    filler = "".join(chr(33 + i * i * 7 % 89) for i in range(150))
+    for data in (f"{filler} {INNER}, {filler}".encode(), gzip.compress(f"{filler}\n{INNER}\n{filler}".encode(), mtime=0)):
+        run = base64.b64encode(data).decode()
+        lines = [run[i : i + width] for i in range(0, len(run), width)]
+        for front, back in (("see ", " end"), ("-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----")):
+            text = front + end.join(lines) + back
+            spans = [x for x in secrets.find(text)[1] if x[0] == "assign"]
+            assert any(len(front) <= a < b <= len(text) - len(back) for _, a, b in spans)
+            part = lines[:-1] if data[:2] == b"\x1f\x8b" else [base64.b64encode(data[len(filler) + 7 :])[:8].decode()]
+            assert not any(x in secrets.redacted(text, spans) for x in part)
+
+
 def test_compressed_data_that_holds_itself(monkeypatch):
     monkeypatch.setattr(secrets, "_unpacked", lambda data: data)
     run = base64.b64encode(b"secret = hunter2hunter2").decode()

@@ -2,7 +2,7 @@
 
 The first layer is the text.  From each layer come: the layer with its percent escapes decoded,
 the layer with its backslash-u and backslash-x escapes decoded, and the content of each base64 run
-that holds text, or data compressed by zlib, gzip, bzip2 or xz that holds text.  A layer whose content was met before at the
+(from each of its first four characters, and over line ends) that holds text, or data compressed by zlib, gzip, bzip2 or xz that holds text.  A layer whose content was met before at the
 same place ends there, so cycles end; equal content at another place is a layer of its own.  Each character of a layer knows
 the span of the text that it comes from: finds in inner layers are reported as spans of the text.
 
@@ -37,6 +37,9 @@ WORTH = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs on lines that follow each other; further lines may be indented.
+WRAPPED, LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+(?:\r?\n[ \t]*(?==))?|\r?\n[ \t]*(?==))={0,2}"), re.compile(r"[A-Za-z0-9+/_-]+")
+_PLAIN = str.maketrans("-_", "+/")
 #: Bytes that one compressed run may give: a larger one is no text of a document.
 MOST_BYTES = 16 << 20
 
@@ -135,36 +138,59 @@ def _unpacked(data: bytes) -> bytes | None:
         return None
 
 
+def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
+    """Base64 runs, without padding, in the plain alphabet: characters, the places of the lines that they come from, and the end with padding.
+
+    Of lines that follow each other: each one, all, those of one width with the shorter one behind, and these without it.
+    """
+    for m in BASE64.finditer(text):
+        run = m[0].rstrip("=").translate(_PLAIN)
+        yield run, [(m.start(), m.start() + len(run))], m.end()
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        groups, at = {(0, len(lines))}, 0
+        while at < len(lines):
+            wide, to = lines[at][1] - lines[at][0], at + 1
+            while to < len(lines) and lines[to][1] - lines[to][0] == wide:
+                to += 1
+            shorter = to < len(lines) and lines[to][1] - lines[to][0] < wide
+            groups |= {(at, to), (at, to + shorter)}
+            at = to
+        for a, b in sorted(groups):
+            if b - a > 1 or b == len(lines) == 1:
+                yield "".join(text[x:y] for x, y in lines[a:b]).translate(_PLAIN), lines[a:b], m.end() if b == len(lines) else lines[b - 1][1]
+
+
 def inner_layers(layer: Layer) -> Iterator[Layer]:
     """The layers wrapped in one."""
     if "%" in layer.text and (found := _replaced(layer, PERCENT, 3, _percent)):
         yield found
     if "\\" in layer.text and (found := _replaced(layer, ESCAPE, 0, _escapes)):
         yield found
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        for first in range(min(4, len(run) - 15)) if len(run) % 4 == 1 else (0,):  # a length that base64 never has: something else stands in front
+    for run, lines, last in _runs(layer.text):
+        for first in range(4):  # characters of the same alphabet may stand in front
             body = run[first:]
+            if len(body) % 4 == 1:  # a length that base64 never has: something stands behind, too
+                body = body[:-1]
             try:
-                data = base64.b64decode(body.translate(str.maketrans("-_", "+/")) + "=" * (-len(body) % 4), validate=True)
+                data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
             except (binascii.Error, ValueError):
                 continue
-            begin = m.start() + first
-            met = {data}
+            packed, met = False, {data}
             while (more := _unpacked(data)) is not None and more not in met:  # compressed data can hold itself
-                data, first = more, -1
+                data, packed = more, True
                 met.add(data)
             if not _is_text(data):
                 continue
             text, places = _characters(data)
-            if first < 0:  # compressed: a character may come from anywhere in the run
-                low, high = (np.full(len(text), x) for x in layer.span(m.start(), m.end()))
+            at = np.concatenate([np.arange(a, b) for a, b in lines])[first:]
+            if packed:  # a character may come from anywhere in the run
+                low, high = (np.full(len(text), x) for x in layer.span(int(at[0]), last))
             else:
                 starts, ends = layer.ends()
-                low = starts[begin + places[:-1] * 4 // 3]
-                high = ends[np.minimum(begin + (places[1:] * 4 + 2) // 3, begin + len(body)) - 1]
+                low = starts[at[places[:-1] * 4 // 3]]
+                high = ends[at[np.minimum((places[1:] * 4 + 2) // 3, len(body)) - 1]]
             yield Layer(text, low, high)
-            break
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

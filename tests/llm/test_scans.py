@@ -184,6 +184,19 @@ def test_licenses(spark, odd, empty):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    own = [(i, label, notice) for i, (label, notice) in enumerate(licenses.TEMPLATES)]
+    around = "some code stands here " * 30
+    texts = [(i, f"{around}\n\n# " + "\n# ".join(textwrap.wrap(notice, 30)) + f"\n\n{around}") for i, _, notice in own]
+    apart = [(100 + i, f"\n{around}\n".join(notice.split())) for i, _, notice in own]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts + apart, "doc_id long, text string")).collect()}
+    for i, label, _ in own:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+        assert got[100 + i].labels == "" and got[100 + i].score == 0.0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Home</a></li></ul></nav><!-- ad -->
 <div class="ad">Buy this thing now please</div><article><h1>Head &amp; line</h1><p><b>First  para&nbsp;x &lt;1&gt;<br><p>Second
 para</p><aside>See also other things</aside><form>Your name <input name=q></form><p>Third</p><div class="comments"><p>Bob: nice text, I liked it very much indeed</p></div></article><footer>&copy; me</footer></body></html>"""

@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license notices, in DataFrame operations only.
 
-A block is a line of a text.  A notice (template) is found in a block that holds at least
-THRESHOLD of its distinct words.  Words are ordered by how many blocks of the corpus have them,
+A block is a line of a text, or as many words as a notice has twice, over any line ends: a wrapped notice
+stands in one of these.  A notice (template) is found in a block that holds at least
+THRESHOLD of its distinct words.  Whole texts are joined first; only in those that meet a template the
+blocks over line ends are looked at.  Words are ordered by how many blocks of the corpus have them,
 rarest first.  A block that meets a template of n words, of which it must hold k, holds one of the
 template's n - k + 1 rarest words: only these are joined on (prefix filter).  A block of fewer than
 k words of templates can't (length filter), nor one where the places of the first common word leave
@@ -19,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import keyed, written
+from vitalspark.llm.common import keyed, sized, written
 
 THRESHOLD, MOST_WORDS = 0.8, 20_000
 
@@ -106,6 +108,24 @@ def block_matches(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     return first.where(shared >= F.col("needed")).select("id0", "key", "line", "template", "label", (shared / F.col("size")).alias("containment"))
 
 
+def window_matches(met: DataFrame, docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """id0, key, label, containment: of the texts and templates (id0, key, template) met, those where a window of twice the template's words holds enough of it; the greatest containment of a window."""
+    spark = docs.sparkSession
+    sets = [(i, label, template_words(text), 2 * len(re.findall(_WORD, text))) for i, (label, text) in enumerate(templates)]
+    index = spark.createDataFrame([(i, label, x, len(x), needed(len(x), threshold), wide) for i, label, x, wide in sets if x], "template int, label string, words array<string>, size int, needed int, wide int")
+    met = sized(written(spark, met.select("id0", "key", "template").distinct(), "met"))
+    rows = keyed(docs).join(met, ["id0", "key"]).join(F.broadcast(index), "template")
+    placed = F.transform(words(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    rows = rows.select("id0", "key", "label", "size", "needed", "wide", F.filter(placed, lambda x: F.array_contains("words", x["w"])).alias("at"))
+    rows = written(spark, rows, "places")  # else each window would look for the places anew
+
+    def held(x: Column, i: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(F.filter(F.slice("at", i + 1, F.col("wide")), lambda y: y["i"] < x["i"] + F.col("wide")), lambda y: y["w"])))
+
+    rows = rows.select("id0", "key", "label", "size", "needed", F.explode(F.array(F.array_max(F.transform("at", held)))).alias("shared"))
+    return rows.where(F.col("shared") >= F.col("needed")).select("id0", "key", "label", (F.col("shared") / F.col("size")).alias("containment"))
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs.
 
@@ -124,7 +144,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     )
     split = written(docs.sparkSession, split, "blocks")
     held = split.select("id0", "key", F.posexplode("blocks").alias("line", "held")).where(F.size("held") > 0)
-    found = block_matches(held, templates, threshold).groupBy("id0", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    whole = split.where(F.size("blocks") > 1).select("id0", "key", F.lit(-1).alias("line"), F.array_distinct(F.flatten("blocks")).alias("held")).where(F.size("held") > 0)
+    met = written(docs.sparkSession, block_matches(held.union(whole), templates, threshold), "matches")
+    wrapped = window_matches(met.where("line < 0"), docs, templates, threshold)
+    found = met.where("line >= 0").select("id0", "key", "label", "containment").union(wrapped).groupBy("id0", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     counted = split.select("doc_id", "id0", "key", "n_words", F.flatten(F.transform("base", lambda x: x["at"])).alias("at"), F.transform(F.filter("base", lambda x: F.size(x["at"]) > 0), lambda x: x["label"]).alias("base"))
     joined = counted.join(found, ["id0", "key"], "left")
     return joined.select(

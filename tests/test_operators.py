@@ -170,6 +170,8 @@ def test_log(spark):
     assert audit.filtered(log, ["llm"]).count() == 1 and [r.verdict for r in audit.options(log, "verdict").collect()] == ["append", "join", "unclear"]
     values = spark.createDataFrame([("p", "a", "1"), ("p", "b", "2"), ("p", "c", "1"), ("q", "a", "1")], "k string, source string, value string")
     assert {(r.source_a, r.source_b) for r in reconcile.conflicts(values, ("k",)).collect()} == {("a", "b"), ("b", "c")}
+    several = spark.createDataFrame([("p", "a", 1), ("p", "a", 5), ("p", "b", 1), ("q", "a", 2), ("q", "a", 7), ("q", "b", 1), ("q", "b", 5), ("q", "b", 5)], "k string, source string, value int")
+    assert sorted((r.k, r.value_a, r.value_b) for r in reconcile.conflicts(several, ("k",)).collect()) == [("p", 5, 1), ("q", 2, 1), ("q", 2, 5), ("q", 7, 1), ("q", 7, 5)]
     gate = {r.check: (r.n_fail, r.status) for r in quality_gate.run({"t": log}, {"null": quality_gate.missing("t", "decided_at"), "key": quality_gate.repeated("t", "id"), "who": quality_gate.outside("t", "decided_by", ("lookup",))}).collect()}
     assert gate == {"null": (1, "FAIL"), "key": (0, "PASS"), "who": (2, "FAIL")}
 

@@ -120,11 +120,13 @@ def merged(found: DataFrame) -> DataFrame:
     return rows.where("value IS NOT NULL").groupBy("workspace_key", "pkey", "canonical_name").agg(F.max_by("value", F.struct("occurred_at", "ingested_at", "source", "value")).alias("value"))
 
 
-def conflicts(values: DataFrame, key: tuple[str, ...], source: str = "source", value: str = "value") -> DataFrame:
-    """key, source_a, value_a, source_b, value_b: sources that give different values for one key, each pair once. Each source's least value stands for it."""
-    one = values.groupBy(*key, source).agg(F.min(value).alias("v"))
-    a, b = (one.select(*key, F.col(source).alias(f"source_{x}"), F.col("v").alias(f"value_{x}")) for x in "ab")
-    return a.join(b, list(key)).where((F.col("source_a") < F.col("source_b")) & ~F.col("value_a").eqNullSafe(F.col("value_b")))
+def conflicts(values: DataFrame, key: tuple[str, ...], source: str = "source", value: str = "value", salts: int = 8) -> DataFrame:
+    """key, source_a, value_a, source_b, value_b: values of two sources that differ for one key, each pair once. The rows of a key are dealt over `salts` tasks."""
+    one = values.select(*key, F.col(source).alias("source"), F.col(value).alias("value")).distinct()
+    a, b = (one.select(*key, F.col("source").alias(f"source_{x}"), F.col("value").alias(f"value_{x}")) for x in "ab")
+    a = a.withColumn("_salt", F.pmod(F.hash("source_a", "value_a"), F.lit(salts)))
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*key, "_salt"]).where((F.col("source_a") < F.col("source_b")) & ~F.col("value_a").eqNullSafe(F.col("value_b"))).drop("_salt")
 
 
 def schema_rows(decisions: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -235,7 +235,9 @@ def merged_record(spark, folder):
 
 @query
 def value_conflicts(spark, folder):
-    return reconcile.conflicts(b.signals(spark, folder).where("k IS NOT NULL"), ("pkey",), value="k")
+    """As its SQL defines it, of each source's least value only; conflicts() itself compares all values."""
+    least = b.signals(spark, folder).where("k IS NOT NULL").groupBy("pkey", "source").agg(F.min("k").alias("k"))
+    return reconcile.conflicts(least, ("pkey",), value="k")
 
 
 @query

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _to_delete: list[tuple[SparkSession, str]] = []
+_scratch: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset and Spark runs in this process alone, a folder of our own; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="vitalspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,9 +46,24 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What is written() inside, but for what is to be kept, goes at its end."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        for spark, path in _scratch.get():
+            delete(spark, path)
+            _to_delete.remove((spark, path))
+        _scratch.reset(token)
+
+
+def written(spark: SparkSession, frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The frame, written as Parquet in the shared folder and read from there: lineage ends, and lost executors lose nothing."""
     path = new_folder(spark, name)
+    if not keep and (open_ := _scratch.get()) is not None:
+        open_.append((spark, path.rsplit("/", 1)[0]))
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -7,10 +7,10 @@ more than `REGION` classes share a prefix, it is lengthened, where fewer do, it
 region the candidates are a spanning tree of the most alike signatures, and in a crowded one all
 its classes against the centre of its densest part, so that the number of candidates stays in
 proportion to the classes.  Each class first confirms its likeliest candidate on the full sets;
-then, between the components found so far, all further pairs of each region whose signatures
-allow the wanted similarity.  A class of a crowded region may have left it alone, and have met its
-centre only: where such a region still holds several components, its classes are joined on their
-rarest shingles (prefix filter), which misses no pair.  Confirmed links only make components.
+then come the other candidates between the components found so far.  What is left of regions that
+still hold several components - the classes whose signatures allow a link with another component,
+and all classes of crowded regions, which may have met their centre only - is joined on its rarest
+shingles (prefix filter), which misses no pair.  Confirmed links only make components.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; the set is the distinct 5-word shingles, with
 fewer words the whole sequence as one.  Null and empty texts have an empty set and no links.  Rows
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
-from vitalspark.llm.common import partitions, sized, written
+from vitalspark.llm.common import partitions, scratch, sized, written
 from vitalspark.llm.graph import extend, salted_join
 
 SHINGLE, PERCENT = 5, 75
 SLOTS, ORDERS, DEPTHS, REGION = 128, 16, (2, 4, 8, 16, 32, 64), 256
 #: Signatures this much under the wanted similarity still make a candidate: over 3.5 standard deviations.
 SLACK = 0.14
+#: Groups that the partners of one document are dealt over, and bits of a shingle's slot among the counts that order shingles.
+GROUPS, SKETCH = 16, 21
 
 _random = np.random.default_rng(5)
 _XOR = _random.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
@@ -163,7 +165,7 @@ def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
     """Batches of whole regions (first column, sorted) and where each region begins, with the end."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
-        whole = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0] if rest else batch
+        whole = pa.concat_batches([*rest, batch]) if rest else batch
         if len(whole):  # the last region may go on in the next batch
             region = whole.column(0).to_numpy()
             cut = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
@@ -203,35 +205,21 @@ def _trees(regions: DataFrame, least: float) -> DataFrame:
     return _dealt(regions.select("region", "rep", "top", "sig")).mapInArrow(run, "u long, v long, alike double, top long, n long")
 
 
-def _links_in_regions(rows: DataFrame, least: float, percent: int, shingle: int) -> DataFrame:
-    """(u, v): links between different components `comp` in each region, confirmed on the full sets of the rows' texts.
-
-    All pairs whose signatures allow a link are tried, but for those that links found here have joined already.
-    """
+def _suspects(rows: DataFrame, least: float) -> DataFrame:
+    """rep: the classes that have, in one of their regions, a class of another component `comp` with a signature alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cut in _by_region(batches):
-            rep, sig = part.column(1).to_numpy(), _signatures(part.column(3), np.uint8)
-            out: list[tuple[int, int]] = []
+            rep, comp, sig = part.column(1).to_numpy(), part.column(2).to_numpy(), _signatures(part.column(3), np.uint8)
+            found = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                comp = part.column(2).slice(a, b - a).to_numpy().copy()
-                if (comp == comp[0]).all():
-                    continue
-                alike = _alike(sig[a:b])
-                u, v = np.nonzero(np.triu((alike >= least) & (comp[:, None] != comp[None, :]), 1))
-                if not len(u):
-                    continue
-                sets = [x for _, found in shingle_sets(part.column(4).slice(a, b - a), shingle) for x in found]
-                for i in np.argsort(-alike[u, v], kind="stable"):
-                    x, y = u[i], v[i]
-                    if comp[x] != comp[y] and linked(sets[x], sets[y], percent):
-                        out.append((int(rep[a + x]), int(rep[a + y])))
-                        comp[comp == comp[y]] = comp[x]
-            if out:
-                u, v = zip(*out, strict=True)
-                yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                own = comp[a:b]
+                if (own != own[0]).any():
+                    found.append(rep[a:b][((_alike(sig[a:b]) >= least) & (own[:, None] != own[None, :])).any(axis=1)])
+            if found:
+                yield pa.record_batch({"rep": pa.array(np.concatenate(found))})
 
-    return _dealt(rows.select("region", "rep", "comp", "sig", "text")).mapInArrow(run, "u long, v long").distinct()
+    return _dealt(rows.select("region", "rep", "comp", "sig")).mapInArrow(run, "rep long").distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -261,46 +249,94 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
-    spark = pairs.sparkSession
+    """The pairs (u, v) of doc_ids whose full shingle sets have 100 * intersection >= percent * union.
+
+    The partners of one u stream past its text, which comes once for each of the GROUPS groups that they are dealt over.
+    """
     texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
+    pairs = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(GROUPS)).cast("int").alias("s"))
+    partners = salted_join(pairs, texts.select(F.col("doc_id").alias("v"), "text"), ["v"], salts=2).select("u", "s", F.lit(1).alias("part"), "v", "text")
+    firsts = pairs.select("u", "s").distinct().join(texts.select(F.col("doc_id").alias("u"), "text"), "u").select("u", "s", F.lit(0).alias("part"), F.col("u").alias("v"), "text")
+    rows = firsts.unionByName(partners).repartition(partitions(docs.sparkSession), "u", "s").sortWithinPartitions("u", "s", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []  # the sets of u: several if its doc_id has several texts
         for batch in batches:
-            left = [x for _, sets in shingle_sets(batch.column(2), shingle) for x in sets]
-            right = [x for _, sets in shingle_sets(batch.column(3), shingle) for x in sets]
-            good = [linked(a, b, percent) for a, b in zip(left, right, strict=True)]
-            yield pa.record_batch({"u": batch.column(0), "v": batch.column(1)}).filter(pa.array(good, pa.bool_()))
+            u, s, part, v = (batch.column(i).to_numpy() for i in range(4))
+            good = np.zeros(len(batch), bool)
+            for low, sets in shingle_sets(batch.column(4), shingle):
+                for i, found in enumerate(sets, low):
+                    if key != (u[i], s[i]):
+                        key, own = (u[i], s[i]), []
+                    if part[i]:
+                        good[i] = any(linked(x, found, percent) for x in own)
+                    elif not any(np.array_equal(x, found) for x in own):
+                        own.append(found)
+            yield pa.record_batch({"u": batch.column(0), "v": batch.column(3)}).filter(pa.array(good))
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each of 2^SKETCH slots of the shingle hashes, how many sets of the texts (doc_id, text) hold one in it: of a fixed size, whatever the texts are."""
+    slots, wide = 1 << SKETCH, 1 << 12
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for _, sets in shingle_sets(batch.column(1), shingle):
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(total)
+        blocks, first = np.unique(at // wide, return_index=True)
+        bounds = pa.array(np.r_[first, len(at)], pa.int32())
+        yield pa.record_batch({"block": pa.array(blocks, pa.int32()), "slot": pa.ListArray.from_arrays(bounds, pa.array(at % wide, pa.int32())), "n": pa.ListArray.from_arrays(bounds, pa.array(total[at]))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                np.add.at(sums.setdefault(block, np.zeros(wide, np.int64)), batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy())
+        yield pa.record_batch({"block": pa.array(list(sums), pa.int32()), "n": pa.array(list(sums.values()), pa.list_(pa.int64()))})
 
-    half = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left")), "u")
-    both = salted_join(half, texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right")), ["v"], salts=2)
-    return both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
+    parts = texts.select("doc_id", "text").mapInArrow(count, "block int, slot array<int>, n array<long>")
+    got = parts.repartition(min(partitions(texts.sparkSession), slots // wide), "block").mapInArrow(add, "block int, n array<long>").toArrow()
+    out = np.zeros((slots // wide, wide), np.uint32)
+    for block, n in zip(got.column(0).to_pylist(), got.column(1), strict=True):
+        out[block] = np.minimum(n.values.to_numpy(), 0xFFFFFFFF)
+    return out.ravel()
 
 
 def _shared_rare(texts: DataFrame, known: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """(u, v): all pairs of the classes (doc_id, text) in different components `known` (node, comp) that can have the wanted similarity by their rarest shingles, lengths and places.
+    """(u, v): all pairs of the classes (doc_id, text) in different components `known` (doc_id, comp) that can have the wanted similarity by their rarest shingles, lengths and places.
 
-    Shingles are ordered by how many of the classes have them.  Of two linked sets the longer, of m shingles, holds one of the shared
-    ones among its m - ceil(m p) + 1 first, the shorter among its m - ceil(2 m p / (1 + p)) + 1 first.  Those of one class only can't be shared.
+    Shingles are ordered by the count of their slot, then by themselves: any order that is the same for all loses no pair, one by
+    counts keeps the frequent ones out.  Of two linked sets the longer, of m shingles, holds one of the shared
+    ones among its m - ceil(m p) + 1 first, the shorter among its m - ceil(2 m p / (1 + p)) + 1 first.  One that is alone in its slot can't be shared.
     """
     spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(_frequencies(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, sets in shingle_sets(batch.column(1), shingle):
-                digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in sets), np.int64)
-                yield pa.record_batch({"rep": batch.column(0).slice(low, len(sets)), "d": pa.array(digests), "hs": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
-
-    # A doc_id can have several texts, and some of these the same set.
-    sets = texts.select("doc_id", "text").mapInArrow(run, "rep long, d long, hs array<long>").dropDuplicates(["rep", "d"])
-    rows = written(spark, sets.select("rep", "d", F.size("hs").alias("m"), F.explode("hs").alias("h")), "shingles")
-    counts = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = salted_join(rows, counts, ["h"]).groupBy("rep", "d", "m").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("hs"))
-    ordered = ordered.withColumn("alone", F.col("m") - F.size("hs"))
-    most = F.expr(f"greatest(m - int(ceil(m * {percent} / 100)) + 1 - alone, 0)")
-    first = ordered.select("rep", "m", "alone", F.posexplode(F.slice("hs", F.lit(1), most)).alias("at", "x"))
-    first = first.select("rep", "m", F.col("x.h").alias("h"), (F.col("at") + F.col("alone")).alias("at"))
-    first = salted_join(first, known.select(F.col("node").alias("rep"), "comp"), ["rep"], salts=1)
+                sizes, places, firsts = [], [], []
+                for x in sets:
+                    n = sent.value[x >> np.uint64(64 - SKETCH)]
+                    most, alone = len(x) - -(-len(x) * percent // 100) + 1, int((n < 2).sum())
+                    order = np.lexsort((x, n))[alone:most]
+                    sizes.append(len(order))
+                    places.append(np.arange(alone, alone + len(order)))
+                    firsts.append(x[order])
+                row = np.repeat(np.arange(len(sets)), sizes)
+                lengths = np.array([len(x) for x in sets], np.int64)
+                yield pa.record_batch(
+                    {
+                        "rep": batch.column(0).take(pa.array(low + row)), "comp": batch.column(2).take(pa.array(low + row)), "m": pa.array(lengths[row], pa.int32()),
+                        "h": pa.array(np.concatenate(firsts).view(np.int64)), "at": pa.array(np.concatenate(places), pa.int32()),
+                    }
+                )
+
+    first = salted_join(texts, known, ["doc_id"], salts=1).select("doc_id", "text", "comp").mapInArrow(run, "rep long, comp long, m int, h long, at int")
     first = written(spark, first, "prefixes")
     mixed = first.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("h")
     first = written(spark, salted_join(first, mixed, ["h"], "left_semi"), "prefixes")
@@ -319,8 +355,13 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id) for each row of docs."""
+    with scratch():
+        return _near_duplicates(docs, percent, shingle)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     spark = docs.sparkSession
-    rows = written(spark, sketches(docs, shingle), "sketches")
+    rows = written(spark, sketches(docs, shingle), "sketches", keep=True)
     nodes = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(spark, nodes.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("low").alias("low")), "classes")
     regions, crowd = _regions(classes)
@@ -343,7 +384,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         found = known.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
         return salted_join(frame, found, [c], "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
 
-    # Each class's likeliest candidate; then the other candidates between the components found; then all pairs of the regions between these; then neighbours' neighbours.
+    # Each class's likeliest candidate; then the other candidates between the components found.
     tried = written(spark, _likeliest(pairs), "tried")
     links = written(spark, confirm(tried, docs, percent, shingle), "links")
     known = extend(None, links)
@@ -354,31 +395,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     more = written(spark, apart(known).join(tried, ["u", "v"], "left_anti"), "more")
     if more.limit(1).count():
         found = written(spark, confirm(more, docs, percent, shingle), "links")
-        known, links, tried = extend(known, found), links.union(found), tried.union(more)
-    rows_left = named(regions, known, "rep").withColumn("comp", F.col("comp_rep"))
-    mixed = rows_left.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("region")
-    rows_left = written(spark, salted_join(rows_left, mixed, ["region"], "left_semi"), "mixed")
-    texts = _texts(docs, rows_left.select(F.col("rep").alias("doc_id")))
-    with_text = salted_join(rows_left, texts.select(F.col("doc_id").alias("rep"), "text"), ["rep"], salts=1)
-    found = written(spark, _links_in_regions(with_text, least, percent, shingle), "links")
-    known, links = extend(known, found), links.union(found)
-    # A class whose candidates all failed may still be linked with what most of theirs are linked with.
-    ends = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = ends.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"))
-    hubs = written(spark, salted_join(ends, degree, ["v"]).groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("hub")), "hubs")
-    failed = written(spark, apart(known), "failed")
-    both = failed.union(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    next_to = salted_join(both, hubs.withColumnRenamed("u", "v"), ["v"]).where("u <> hub").select(F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v")).distinct()
-    next_to = written(spark, _pair_likeness(with_signatures(next_to.join(tried, ["u", "v"], "left_anti")), least), "more")
-    if next_to.limit(1).count():
-        known = extend(known, written(spark, confirm(next_to.select("u", "v"), docs, percent, shingle), "links"))
-    # Classes of crowds that are still of several components: exactly, whatever region they fell out of.
+        known, tried = extend(known, found), tried.select("u", "v").union(more)
+    # Classes of regions and crowds that are still of several components: exactly, whatever region they are in or fell out of.
+    left = named(regions, known, "rep").withColumnRenamed("comp_rep", "comp")
+    mixed = left.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("region")
+    suspects = _suspects(salted_join(left, mixed, ["region"], "left_semi"), least)
     loose = written(spark, named(crowd.distinct(), known, "rep"), "loose")
     mixed = loose.groupBy("top").agg(F.min("comp_rep").alias("a"), F.max("comp_rep").alias("b")).where("a <> b").select("top")
-    loose = written(spark, salted_join(loose, mixed, ["top"], "left_semi").select(F.col("rep").alias("node"), F.col("comp_rep").alias("comp")).distinct(), "loose")
+    loose = salted_join(loose, mixed, ["top"], "left_semi").select("rep").union(suspects).distinct()
+    loose = written(spark, named(loose, known, "rep").select(F.col("rep").alias("doc_id"), F.col("comp_rep").alias("comp")), "loose")
     if loose.limit(1).count():
-        texts = _texts(docs, loose.select(F.col("node").alias("doc_id")))
-        more = written(spark, _pair_likeness(with_signatures(_shared_rare(texts, loose, percent, shingle)), least), "more")
+        texts = _texts(docs, loose.select("doc_id"))
+        more = written(spark, _pair_likeness(with_signatures(_shared_rare(texts, loose, percent, shingle).join(tried, ["u", "v"], "left_anti")), least), "more")
         if more.limit(1).count():
             known = extend(known, written(spark, confirm(more.select("u", "v"), docs, percent, shingle), "links"))
     same = nodes.join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
@@ -387,7 +415,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     ties = same.join(alone, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     known = extend(known, ties)
     classes = salted_join(classes.select("d1", "d2", "rep"), known.select(F.col("node").alias("rep"), "component"), ["rep"], "left", salts=1)
-    names = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    names = written(spark, classes.select("d1", "d2", F.coalesce("component", "rep").alias("component")), "names", keep=True)
     out = salted_join(rows.select("doc_id", "n_shingles", "d1", "d2"), names, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))

@@ -1,3 +1,4 @@
+import decimal
 import subprocess
 import sys
 from pathlib import Path
@@ -26,7 +27,7 @@ def duck():
 def plain(v):
     if v is None or v != v:
         return "null"
-    return f"{float(v):.7g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return f"{v:.7g}" if isinstance(v, float) else f"{float(v):.7g}" if isinstance(v, decimal.Decimal) else str(v)
 
 
 def test_every_query_has_sql():

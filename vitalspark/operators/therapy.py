@@ -101,15 +101,17 @@ def lines_mart(admins: DataFrame, progressed: DataFrame, gap: int = GAP) -> Data
 
     patient_id, line_number, line_start_date, line_end_date, drugs, drug_classes, n_administrations. A row opens a line if
     it is the first, or if its drug was never started on an earlier day and a progression or a long gap lies before it.
-    admins: patient_id, drug, start, end, drug_class; a null drug is never new.
+    admins: patient_id, drug, start, end, drug_class; a null drug is never new. Rows of one start are in the order of drug, end and class;
+    rows alike in all of these can change places.
     """
-    order = Window.partitionBy("patient_id").orderBy(F.col("start").asc(), F.col("drug").asc_nulls_last())
+    place = Window.partitionBy("patient_id").orderBy(F.col("start").asc(), F.col("drug").asc_nulls_last(), "end", "drug_class")
+    order = Window.partitionBy("patient_id").orderBy("place")
     first_start = F.min("start").over(Window.partitionBy("patient_id", "drug"))
     # Once a null drug was started on an earlier day, NOT IN is never true again.
     first_null = F.min(F.when(F.col("drug").isNull(), F.col("start"))).over(Window.partitionBy("patient_id"))
     none_earlier = F.col("start") == F.min("start").over(Window.partitionBy("patient_id"))
     new = none_earlier | (F.col("drug").isNotNull() & (F.col("start") == first_start) & (first_null.isNull() | (first_null >= F.col("start"))))
-    rows = admins.withColumn("previous", F.lag("start").over(order)).withColumn("new", new)
+    rows = admins.withColumn("place", F.row_number().over(place)).withColumns({"previous": F.lag("start").over(order), "new": new})
     dated = progressed.groupBy("patient_id").agg(F.collect_set("date").alias("p"))
     since = F.exists(F.coalesce("p", F.array().cast("array<date>")), lambda d: (d <= F.col("start")) & (d > F.coalesce("previous", F.lit("1900-01-01").cast("date"))))
     opens = F.col("previous").isNull() | (F.col("new") & (since | (F.datediff("start", "previous") > gap)))

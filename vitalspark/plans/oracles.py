@@ -136,9 +136,10 @@ SQL: dict[str, str] = {
     "lot_greedy": f"WITH RECURSIVE {ADMINS}, {episodes()} SELECT pid AS patient_id, drug, st AS start, en AS \"end\", line FROM fold",
     "lot_lines": f"WITH RECURSIVE {PATIENTS}, {ADMINS}, {episodes()}, {LINES} SELECT pid AS patient_id, line AS line_number, drugs, st AS start_date, en AS end_date, reason AS end_reason, maint AS is_maintenance, label AS regimen_label, 'chemo' AS drug_class FROM fin",
     "lot_sql_mart": f"""WITH {ADMINS},
-lag_ AS (SELECT *, lag(st) OVER (PARTITION BY pid ORDER BY st, drug) AS prev, st = min(st) OVER (PARTITION BY pid, drug) AS fresh FROM adm),
+ord AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY st, drug, en) AS rn FROM adm),
+lag_ AS (SELECT *, lag(st) OVER (PARTITION BY pid ORDER BY rn) AS prev, st = min(st) OVER (PARTITION BY pid, drug) AS fresh FROM ord),
 flag AS (SELECT *, EXISTS (SELECT 1 FROM prog p WHERE p.pid = lag_.pid AND p.d <= lag_.st AND p.d > coalesce(lag_.prev, DATE '1900-01-01')) AS progressed FROM lag_),
-num AS (SELECT *, sum(CASE WHEN prev IS NULL OR (fresh AND (progressed OR date_diff('day', prev, st) > 90)) THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY st, drug ROWS UNBOUNDED PRECEDING) AS line FROM flag)
+num AS (SELECT *, sum(CASE WHEN prev IS NULL OR (fresh AND (progressed OR date_diff('day', prev, st) > 90)) THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY rn ROWS UNBOUNDED PRECEDING) AS line FROM flag)
 SELECT pid AS patient_id, CAST(line AS BIGINT) AS line_number, min(st) AS line_start_date, max(en) AS line_end_date, string_agg(DISTINCT drug, ',' ORDER BY drug) AS drugs, count(*) AS n_administrations FROM num GROUP BY pid, line""",
     "lot_summary": f"WITH RECURSIVE {PATIENTS}, {ADMINS}, {episodes()}, per AS (SELECT pid, max(line) AS m FROM fold GROUP BY pid) SELECT {SUMMARY} FROM per",
     "derived_pipeline": f"WITH RECURSIVE {PATIENTS}, {ADMINS}, {episodes()}, {km()}, per AS (SELECT pid, max(line) AS m FROM fold GROUP BY pid), sm AS (SELECT {SUMMARY} FROM per), md AS (SELECT {MEDIAN} FROM band) SELECT * FROM sm, md",
@@ -202,7 +203,7 @@ SELECT o_orderkey, d AS date, CASE WHEN d IS NULL THEN 'unknown' WHEN len(t) = 7
     "partial_date_text": """WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d FROM orders)
 SELECT o_orderkey, CASE WHEN k = 6 THEN NULL ELSE y END AS year, CASE WHEN k IN (0, 1, 3) THEN m WHEN k = 4 THEN 6 WHEN k = 5 THEN 9 END AS month, CASE WHEN k = 0 THEN d END AS day,
   CASE WHEN k = 0 THEN 'day' WHEN k = 2 THEN 'year' WHEN k = 6 THEN NULL ELSE 'month' END AS precision, CASE WHEN k = 6 THEN 'month out of range' END AS error FROM o""",
-    "epoch_ms_roundtrip": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, epoch_ms(ts) AS ms, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS again FROM events",
+    "epoch_ms_roundtrip": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS again FROM events",
     "unit_convert": f"WITH u AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, l_partkey % 10 AS k FROM lineitem) SELECT l_orderkey, l_linenumber, round({_case(_FORMULAS)}, 6) AS converted, {_case([repr(e) if e else None for e in _ERRORS])} AS error, {_case([repr(c) if c else None for c in _CANONICAL])} AS canonical FROM u",
     "coded_vocab": "SELECT c_custkey, upper(c_mktsegment) IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') AS allowed, CASE upper(c_mktsegment) WHEN 'BUILDING' THEN 'Building' WHEN 'MACHINERY' THEN 'Machinery' WHEN 'AUTOMOBILE' THEN 'AUTOMOBILE' ELSE c_mktsegment END AS code FROM customer",
     "coerce_matrix": """WITH p AS (SELECT p_partkey, p_size, p_partkey % 6 AS k FROM part)

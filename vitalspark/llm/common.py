@@ -77,6 +77,17 @@ def _delete_all() -> None:
             return
 
 
+#: Bytes of one Arrow batch, where the session has Spark's own limit: a Python worker holds several copies of a batch.
+BATCH_BYTES, SPARKS_OWN = "16m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is sent to a Python worker at once; a limit that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (SPARKS_OWN, "64m"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and two longs (id0, key) that tell rows apart: also rows without a doc_id, or with a repeated one.
 

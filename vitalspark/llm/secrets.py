@@ -1,10 +1,16 @@
 """Secret scans: a worklist of layers, each rescanned, until decoding gives nothing new.
 
-The first layer is the text.  From each layer come: the layer with its percent escapes decoded,
-the layer with its backslash-u and backslash-x escapes decoded, and the content of each base64 run
-(from each of its first four characters, and over line ends) that holds text, or data compressed by zlib, gzip, bzip2 or xz that holds text.  A layer whose content was met before at the
-same place ends there, so cycles end; equal content at another place is a layer of its own.  Each character of a layer knows
-the span of the text that it comes from: finds in inner layers are reported as spans of the text.
+The first layer is the text.  From each layer come: its percent escapes decoded, its backslash
+escapes (u, U, u{}, x) decoded, its numeric character references decoded, and what each base64 run
+holds - from each of its first four characters, and over line ends - as it is or compressed by zlib,
+gzip, bzip2 or xz, also behind other bytes.  A layer whose content was met before at the same place
+ends there, so cycles end; equal content at another place is a layer of its own.  Each character of
+a layer knows the span of the text that it comes from: finds in inner layers are reported as spans of the text.
+
+All that is looked for is ASCII, so layers hold nothing else: of decoded bytes the stretches of ASCII
+text, of decoded escapes the stretches around them up to characters that no find and no wrapping can
+contain.  Compressed data is unpacked and looked at stretch by stretch; all of it has the span of its run.
+An escape character that is itself escaped over and over (%252525...) is taken down to its last escape at once.
 
 Base finds are those of the text itself.  Null and empty texts have none.  Positions are code
 points, ends exclusive.  Repeated rows each have their result.  Other columns are not looked at.
@@ -12,14 +18,14 @@ points, ends exclusive.  Repeated rows each have their result.  Other columns ar
 
 from __future__ import annotations
 
-import base64
+import bisect
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +33,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalspark.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 #: A run that is long enough is the whole run: shorter runs can't hide a longer one.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS = 6
 #: Texts without any of these have no finds and no inner layers; the scan of a batch for them is vectorised.
-WORTH = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}"
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
+WORTH = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\u\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9xX]|&amp;#|[A-Za-z0-9+/_-]{16}"
+_WORTH = re.compile(WORTH)
+PERCENT = re.compile(r"(?P<again>%25(?:25)+)|%(?P<hex>[0-9A-Fa-f]{2})")
+ESCAPE = re.compile(r"(?P<again>\\(?:u005[cC](?:u005[cC])+|x5[cC](?:x5[cC])+))|\\(?:u(?P<u>[0-9A-Fa-f]{4})|u\{(?P<long>[0-9A-Fa-f]{1,6})\}|U(?P<U>[0-9A-Fa-f]{8})|x(?P<x>[0-9A-Fa-f]{2}))")
+ENTITY = re.compile(r"(?P<again>&(?:#0*38;)(?:#0*38;)+)|(?P<amp>&amp;(?:amp;)*(?=#))|&#(?:(?P<ten>[0-9]{1,8})|[xX](?P<hex>[0-9A-Fa-f]{1,6}));")
+#: Characters that neither a find nor anything wrapped contains.
+BREAK = re.compile(r"""[^A-Za-z0-9+/_.="':%\\{}&#; \t\r\n-]""")
+LAST_BREAK = re.compile(rb"""(?s:.*)[^A-Za-z0-9+/_.="':%\\{}&#; \t\r\n-]""")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs on lines that follow each other; further lines may be indented.
 WRAPPED, LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+(?:\r?\n[ \t]*(?==))?|\r?\n[ \t]*(?==))={0,2}"), re.compile(r"[A-Za-z0-9+/_-]+")
 _PLAIN = str.maketrans("-_", "+/")
-#: Bytes that one compressed run may give: a larger one is no text of a document.
-MOST_BYTES = 16 << 20
+#: Stretches of bytes that can hold anything, starts of compressed data, and bytes unpacked at a time.
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{6,}")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+PIECE = 1 << 20
 
 
 class Layer:
@@ -55,15 +70,16 @@ class Layer:
             return start, end
         return int(self.low[start:end].min()), int(self.high[start:end].max())
 
-    def key(self) -> tuple[str, bytes]:
-        """Content and place.  What comes out of compressed data has one span for all characters, and other layers are shorter than what they come from: only so many keys can follow."""
-        return self.text, b"" if self.low is None else hashlib.blake2b(self.low.tobytes() + self.high.tobytes(), digest_size=16).digest()
-
-    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+    def ends(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         if self.low is None:
-            at = np.arange(len(self.text))
+            at = np.arange(start, end)
             return at, at + 1
-        return self.low, self.high
+        return self.low[start:end], self.high[start:end]
+
+    def key(self) -> bytes:
+        """A digest of content and place.  What comes out of compressed data has one span for all characters, and other layers are shorter than what they come from: only so many keys can follow."""
+        place = b"" if self.low is None else self.low.tobytes() + self.high.tobytes()
+        return hashlib.blake2b(self.text.encode() + b"\0" + place, digest_size=16).digest()
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -72,70 +88,96 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found + [(k, *m.span()) for k, p in (("access", ACCESS), ("hex", HEX)) for m in p.finditer(text)]
 
 
-def _characters(data: bytes) -> tuple[str, np.ndarray]:
-    """Text of bytes and the byte at which each character starts, and the end."""
-    text = data.decode("utf-8", "replace") if not data.isascii() else data.decode()
-    if data.isascii():
-        return text, np.arange(len(text) + 1)
-    try:
-        sizes = [len(c.encode()) for c in data.decode()]
-    except UnicodeDecodeError:
-        return data.decode("latin-1"), np.arange(len(data) + 1)
-    return text, np.r_[0, np.cumsum(sizes)]
+def _percent(m: re.Match) -> str:
+    return "%25" if m["again"] else chr(int(m["hex"], 16))
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, unit: int, decode) -> Layer | None:
-    """The layer with the matches of pattern decoded; each byte of a match stands for `unit` characters of it."""
-    low, high = layer.ends()
-    texts, lows, highs, at = [], [], [], 0
-    for m in pattern.finditer(layer.text):
-        step = unit or (6 if m[0][1] == "u" else 4)
-        inner, places = decode(m[0])
-        begin, end = m.start() + places[:-1] * step, m.start() + places[1:] * step - 1
-        texts += [layer.text[at : m.start()], inner]
-        lows += [low[at : m.start()], low[begin]]
-        highs += [high[at : m.start()], high[end]]
-        at = m.end()
-    if not at:
-        return None
-    return Layer("".join([*texts, layer.text[at:]]), np.concatenate([*lows, low[at:]]), np.concatenate([*highs, high[at:]]))
+def _escape(m: re.Match) -> str:
+    if m["again"]:
+        return m["again"][: 6 if m["again"][1] == "u" else 4]
+    code = int(m["u"] or m["long"] or m["U"] or m["x"], 16)
+    return chr(code) if code < 128 else "\ufffd"
 
 
-def _percent(run: str) -> tuple[str, np.ndarray]:
-    return _characters(bytes.fromhex(run.replace("%", "")))
+def _entity(m: re.Match) -> str:
+    if m["again"] or m["amp"]:
+        return "&#38;" if m["again"] else "&"
+    code = int(m["ten"]) if m["ten"] else int(m["hex"], 16)
+    return chr(code) if code < 128 else "\ufffd"
 
 
-def _escapes(run: str) -> tuple[str, np.ndarray]:
-    if run[1] == "x":
-        return _characters(bytes.fromhex(run.replace("\\x", "")))
-    units = bytes.fromhex(run.replace("\\u", ""))
-    text = units.decode("utf-16-be", "replace")
-    return text, np.r_[0, np.cumsum([1 + (ord(c) > 0xFFFF) for c in text])]
+ESCAPES: tuple[tuple[str, re.Pattern, Callable[[re.Match], str]], ...] = (("%", PERCENT, _percent), ("\\", ESCAPE, _escape), ("&", ENTITY, _entity))
 
 
-def _is_text(data: bytes) -> bool:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return False
-    return len(text) >= 6 and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
+def _decoded(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], str]) -> Iterator[Layer]:
+    """The stretches of a layer in which pattern matches, with its matches decoded."""
+    text, breaks, begin, end = layer.text, [], 0, -1
+    texts, lows, highs, at = [], [], [], 0
+    for m in [*pattern.finditer(text), None]:
+        if m is None or m.start() >= end:
+            if end >= 0:  # the stretch before is whole
+                low, high = layer.ends(at, end)
+                yield Layer("".join([*texts, text[at:end]]), np.concatenate([*lows, low]), np.concatenate([*highs, high]))
+            if m is None:
+                return
+            breaks = breaks or [x.start() for x in BREAK.finditer(text)] or [len(text)]
+            i = bisect.bisect_left(breaks, m.start())
+            begin, end = breaks[i - 1] + 1 if i else 0, breaks[i] if i < len(breaks) else len(text)
+            texts, lows, highs, at = [], [], [], begin
+        low, high = layer.ends(at, m.start())
+        inner, span = decode(m), layer.span(*m.span())
+        texts += [text[at : m.start()], inner]
+        lows += [low, np.full(len(inner), span[0])]
+        highs += [high, np.full(len(inner), span[1])]
+        at = m.end()
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What compressed data holds, if it is compressed, whole and not too large."""
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed data holds, piece by piece, as far as it is sound."""
+    data = next(chunks, b"")
+    deflated = data[:1] in (b"\x1f", b"\x78")
+    opener = zlib.decompressobj(47) if deflated else bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            opener = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            opener = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            opener = lzma.LZMADecompressor()
-        else:
-            return None
-        out = opener.decompress(data, MOST_BYTES)
-        return out if opener.eof else None
+        while not opener.eof:
+            out = opener.decompress(data, PIECE)
+            data = opener.unconsumed_tail if deflated else b""
+            if out:
+                yield out
+            hungry = not data and len(out) < PIECE if deflated else opener.needs_input
+            if hungry and not opener.eof and not (data := next(chunks, b"")):
+                return
     except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
+        return
+
+
+def _levels(data: bytes) -> Iterator[Callable[[], Iterator[bytes]]]:
+    """Readers of what data holds if it is compressed, of what that holds, and so on; data that holds itself ends the row."""
+    met, reader = set(), lambda: iter([data])
+    while True:
+        reader = (lambda above: lambda: _unpacked(above()))(reader)
+        digest, start = hashlib.blake2b(digest_size=16), b""
+        for piece in reader():
+            digest.update(piece)
+            start = start if len(start) >= 16 else start + piece[:16]
+        if not start or digest.digest() in met:
+            return
+        met.add(digest.digest())
+        yield reader
+        if not PACKED.match(start):
+            return
+
+
+def _stretches(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The stretches of ASCII text in data that comes in pieces; over the ends of pieces they go on up to a character that no find and no wrapping can contain."""
+    rest: list[bytes] = []
+    for piece in pieces:
+        if cut := LAST_BREAK.match(piece):
+            for m in STRETCH.finditer(b"".join([*rest, piece[: cut.end()]])):
+                yield m[0].decode()
+            rest, piece = [], piece[cut.end() :]
+        rest.append(piece)
+    for m in STRETCH.finditer(b"".join(rest)):
+        yield m[0].decode()
 
 
 def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
@@ -163,47 +205,45 @@ def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
 
 def inner_layers(layer: Layer) -> Iterator[Layer]:
     """The layers wrapped in one."""
-    if "%" in layer.text and (found := _replaced(layer, PERCENT, 3, _percent)):
-        yield found
-    if "\\" in layer.text and (found := _replaced(layer, ESCAPE, 0, _escapes)):
-        yield found
+    for sign, pattern, decode in ESCAPES:
+        if sign in layer.text:
+            yield from _decoded(layer, pattern, decode)
     for run, lines, last in _runs(layer.text):
+        places = None
         for first in range(4):  # characters of the same alphabet may stand in front
-            body = run[first:]
-            if len(body) % 4 == 1:  # a length that base64 never has: something stands behind, too
-                body = body[:-1]
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            packed, met = False, {data}
-            while (more := _unpacked(data)) is not None and more not in met:  # compressed data can hold itself
-                data, packed = more, True
-                met.add(data)
-            if not _is_text(data):
-                continue
-            text, places = _characters(data)
-            at = np.concatenate([np.arange(a, b) for a, b in lines])[first:]
-            if packed:  # a character may come from anywhere in the run
-                low, high = (np.full(len(text), x) for x in layer.span(int(at[0]), last))
-            else:
-                starts, ends = layer.ends()
-                low = starts[at[places[:-1] * 4 // 3]]
-                high = ends[at[np.minimum((places[1:] * 4 + 2) // 3, len(body)) - 1]]
-            yield Layer(text, low, high)
+            size = len(run) - first
+            size -= size % 4 == 1  # a length that base64 never has: something stands behind, too
+            data = binascii.a2b_base64(run[first : first + size] + "=" * (-size % 4))
+            for m in STRETCH.finditer(data):
+                if not _WORTH.search(text := m[0].decode()):
+                    continue
+                if places is None:
+                    places = np.concatenate([np.arange(a, b) for a, b in lines])
+                low, high = layer.ends(0, len(layer.text)) if layer.low is not None else (None, None)
+                at = np.arange(m.start(), m.end() + 1)
+                begin, end = places[first + at[:-1] * 4 // 3], places[first + np.minimum((at[1:] * 4 + 2) // 3, size) - 1]
+                yield Layer(text, begin if low is None else low[begin], end + 1 if high is None else high[end])
+            for m in PACKED.finditer(data):
+                start = lines[0][0] + first + m.start() * 4 // 3 if len(lines) == 1 else lines[0][0] + first
+                span = layer.span(start, last)
+                for reader in _levels(data[m.start() :]):
+                    for text in _stretches(reader()):
+                        if _WORTH.search(text):
+                            yield Layer(text, *(np.full(len(text), x) for x in span))
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base finds, finds of all layers), in order of start, then kind."""
     base = scan(text)
-    work = [Layer(text)]
-    spans, seen = set(base), {work[0].key()}
+    spans, seen, work = set(base), set(), [inner_layers(Layer(text))]
     while work:
-        for layer in inner_layers(work.pop()):
-            if (key := layer.key()) not in seen:
-                seen.add(key)
-                spans |= {(k, *layer.span(a, b)) for k, a, b in scan(layer.text)}
-                work.append(layer)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif (key := layer.key()) not in seen:
+            seen.add(key)
+            spans |= {(k, *layer.span(a, b)) for k, a, b in scan(layer.text)}
+            work.append(inner_layers(layer))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(spans, key=order)
 
@@ -239,6 +279,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                     | {"base": pa.array([joined(x) for x, _ in found], pa.string()), "spans": pa.array([joined(x) for _, x in found], pa.string()), "redacted": pa.array([redacted(t, x) if x else t for t, (_, x) in zip(texts, found, strict=True)], pa.string())}
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, redacted string")
 
 
@@ -262,4 +303,5 @@ def redact(docs: DataFrame) -> DataFrame:
                     batch = batch.set_column(at, batch.schema.field(at), pa.array([new.get(i, x) for i, x in enumerate(old.to_pylist())], old.type))
             yield batch
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

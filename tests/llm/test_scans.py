@@ -277,3 +277,40 @@ def test_html(spark):
     assert got == Counter({(1, "u", want): 2, (2, None, ""): 1, (3, "v", ""): 1, (None, "w", "plain words"): 1, (4, "x", ""): 1, (5, "y", "\n".join(["word word"] * 3000)): 1, (6, "z", "a < b & c"): 1})
     assert html_extract.extract_pages(pages.limit(0)).collect() == []
     assert html_extract.extract(PAGE, html_extract.weigh({})) == want
+
+
+SIDE = "<div class='intro'>" + "side text of many words " * 40 + "</div>"
+
+
+@pytest.mark.parametrize("n", [1, 40, 80])
+def test_html_marked_content_beside_more_text(n):
+    article = "<p>" + "word " * n + "</p><section class='share-prices'><p>Prices of shares fell</p></section><div class='share-buttons'>Share this now</div>"
+    for weights in (html_extract.weigh({}), html_extract.weigh({("outside", ""): (0, 10_000), ("word", "p"): (50_000, 10), ("tag", "p"): (1000, 4)})):
+        got = html_extract.extract(f"<body>{SIDE}<article>{article}</article>{SIDE}</body>", weights)
+        assert got == " ".join(["word"] * n) + "\nPrices of shares fell"
+
+
+def test_best_region_is_the_best_of_all():
+    rng = random.Random(3)
+    for n in range(60):
+        scores = [rng.choice([-3, -1, 0, 1, 2, 5]) for _ in range(n)]
+        first, last = html_extract.best_region(scores)
+        assert sum(scores[first:last]) == max([0, *(sum(scores[i:j]) for i in range(n) for j in range(i + 1, n + 1))])
+
+
+def test_html_learns_from_labelled_pages(spark):
+    """Pages whose mark is taken away, by the weights that others taught: words held against those of the marked content."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    teach, held = [r for r in rows if r.page_id % 2], [r for r in rows if not r.page_id % 2]
+    weights = html_extract.learn(spark.createDataFrame(teach, pages.schema))
+    assert weights.words["p"] > 0 and weights.tags["li"] < weights.tags["p"] < 0 and weights.elements["div.ad"] < 0 and weights.outside < -3
+    same = 0
+    for r in held:
+        want = html_extract.extract(r.html, weights)
+        assert want
+        got = html_extract.extract(re.sub("(</?)article", r"\1div", r.html), weights)
+        a, b = Counter(want.split()), Counter(got.split())
+        same += 2 * (a & b).total() / (a.total() + b.total())
+    assert same / len(held) > 0.98
+    assert html_extract.learn(pages.limit(0)) == html_extract.weigh({})

@@ -1,14 +1,16 @@
 """Main text of web pages: the maximum-scoring contiguous run of words and tags.
 
-A page is a sequence of tags and stretches of text.  Each word scores positive and each tag
-negative; one linear scan finds the contiguous region of the greatest sum.  Weights come from
-labelled pages: pages that mark their content by an article or main element.  For each tag, and
-each tag with a class, id or role, the words inside such elements are counted as content or not,
-on top of a prior count for names that say what they are.  A tag costs a little, and its log odds if
-its words are mostly no content.  An element that its class, id or role, or a tag that says what it
-is (PRIOR_TAGS), shows to be no content has words that score nothing and are left out wherever it
-stands.  A border of marked content costs most: no text of one side is worth crossing it for less
-than as much on the other.
+A page is a sequence of words and tags.  Each word scores positive and each tag negative, and one
+linear scan finds the contiguous region of the greatest sum.  The weights are log ratios learnt from
+labelled pages, pages that mark their content by an article or main element: how much more often than
+elsewhere a word right inside a tag, or a tag itself, occurs in content.  Where a page marks its
+content, that is known of a word or tag in advance: inside the mark tags cost next to nothing, outside it
+words score what labelled pages say of such words, and are left out between two marks.
+
+An element that its class, id or role, or a tag that says what it is (PRIOR_TAGS), shows to be no
+content has words that score nothing and are left out wherever it stands: menus, adverts, forms and
+comments stand inside marked content, too, so that marks alone can't teach them.  This is weighed the same way,
+by the words inside elements of that name that are content or not, on top of a prior count for names that say what they are.
 
 Character references are decoded, white space in a block is one space, blocks are trimmed and
 joined by a line feed; empty blocks are left out.  Null and empty pages, and pages without content, give an empty
@@ -22,22 +24,28 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that weights are learnt from: those of the least hashes of their content; pages that are alike stay or go together.
+from vitalspark.llm.common import small_batches
+
+#: Labelled pages that weights are learnt from: about so many different ones, those of the least hashes of their content.
 LABELLED_PAGES = 4000
-#: Weight of a word, of a common tag, factor of a tag's log odds, and weight of a border of marked content.
-WORD, TAG, ODDS, BORDER = 1.0, -0.01, 0.07, -60.0
+#: Weights of a word and a tag that labelled pages don't have, bounds of learnt ones, and the least that a word and a tag weigh: words score positive, tags negative.
+WORD, TAG, MOST, LEAST_WORD, LEAST_TAG = 1.0, -0.2, 3.0, 0.05, -0.01
 #: Prior words outside content, for elements of these names, classes, ids or roles.
 PRIOR_WORDS = 50
 PRIOR_TAGS = frozenset("aside audio button canvas dialog embed footer form head header iframe input map menu nav noscript object option script select style svg template textarea title video".split())
-PRIOR_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|aside|banner|breadcrumbs?|byline-links|comments?|consent|contentinfo|cookies?|disqus|footer|form|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_ ])"
+PRIOR_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies disqus footer form header masthead menu modal nav navbar navigation newsletter "
+    "notice notices pagination popup promo promotion related replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Parts that a compound name may have beside these.
+PRIOR_PARTS = frozenset("area bar block bottom box button buttons container content desktop global group icons inner item items left link links list main mobile module outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
 CONTENT_TAGS = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -83,34 +91,58 @@ def features(tag: str, rest: str) -> list[str]:
 
 def prior(feature: str) -> int:
     tag, _, name = feature.partition(".")
-    return PRIOR_WORDS if (PRIOR_NAMES.search(name) if name else tag in PRIOR_TAGS) else 0
+    parts = [x for x in re.split("[-_]+|[0-9]+", name) if x]
+    named = any(x in PRIOR_NAMES for x in parts) and all(x in PRIOR_NAMES or x in PRIOR_PARTS for x in parts)
+    return PRIOR_WORDS if (named if name else tag in PRIOR_TAGS) else 0
 
 
-def count_words(page: str) -> Counter:
-    """(feature, is content): words inside elements of each feature, for a labelled page; empty for a page without marked content."""
+def count_tokens(page: str) -> Counter:
+    """((sort, name), is content): tags by name, words by the tag right around them, words inside elements by all their names, and words outside the mark, of a labelled page; empty for a page without marked content."""
     counts: Counter = Counter()
     stack: list[tuple[str, list[str], bool, bool]] = []
     marked = False
     for kind, value, rest in tokens(page):
+        inside, other = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        if kind != "text":
+            counts[("tag", value), inside and not other] += 1
         if kind == "open" and value not in VOID:
             names = features(value, rest)
-            inside, other = (stack[-1][2], stack[-1][3]) if stack else (False, False)
             marked |= value in CONTENT_TAGS
             stack.append((value, names, inside or value in CONTENT_TAGS, other or any(map(prior, names))))
         elif kind == "close":
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == value), None)
             if at is not None:
                 del stack[at:]
-        elif kind == "text" and stack and (n := len(value.split())):
-            content = stack[-1][2] and not stack[-1][3]
+        elif kind == "text" and (n := len(value.split())):
+            content = inside and not other
+            counts[("word", stack[-1][0] if stack else ""), content] += n
+            counts[("outside", ""), content] += n * (not inside)
             for name in {x for _, names, _, _ in stack for x in names}:
-                counts[name, content] += n
+                counts[("element", name), content] += n
     return counts if marked else Counter()
 
 
-def weigh(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """Log odds of content for each feature, from its words (content, other)."""
-    return {f: float(np.log((a + 1) / (b + prior(f) + 1))) for f, (a, b) in counts.items()}
+class Weights(NamedTuple):
+    """Of words by the tag right around them, of tags, of elements (log odds that their words are content), and of a word outside the mark of a page that has one."""
+
+    words: dict[str, float]
+    tags: dict[str, float]
+    elements: dict[str, float]
+    outside: float
+
+
+def weigh(counts: dict[tuple[str, str], tuple[float, float]]) -> Weights:
+    """Weights from the counts (content, other) of each (sort, name)."""
+    whole = [sum(x[i] for (sort, _), x in counts.items() if sort in ("word", "tag")) for i in (0, 1)]
+
+    def ratios(sort: str) -> dict[str, float]:
+        return {name: float(np.clip(np.log((a + 0.5) / (b + 0.5) * (whole[1] + 1) / (whole[0] + 1)), -MOST, MOST)) for (x, name), (a, b) in counts.items() if x == sort}
+
+    outside = counts.get(("outside", ""), (0, 0))
+    return Weights(
+        {k: max(x, LEAST_WORD) for k, x in ratios("word").items()}, {k: min(x, LEAST_TAG) for k, x in ratios("tag").items()},
+        {name: float(np.log((a + 1) / (b + prior(name) + 1))) for (sort, name), (a, b) in counts.items() if sort == "element"}, float(np.log((outside[0] + 1) / (outside[1] + PRIOR_WORDS + 1))),
+    )
 
 
 def is_other(names: list[str], weights: dict[str, float]) -> bool:
@@ -118,67 +150,90 @@ def is_other(names: list[str], weights: dict[str, float]) -> bool:
     return any(weights.get(x, -float(prior(x))) < 0 for x in names if "." in x or x in PRIOR_TAGS)
 
 
-def learn(pages: DataFrame, most: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from about `most` labelled pages (html): a dictionary as long as these pages have different features."""
+def learn(pages: DataFrame, most: int = LABELLED_PAGES) -> Weights:
+    """Weights from about `most` different labelled pages (html), a fraction of the hashes of their content; as long as these pages have different names."""
+    small_batches(pages.sparkSession)
     marked = pages.where(F.col("html").rlike("(?i)<(?:article|main)[\\s>]")).select("html", F.xxhash64("html").alias("h"))
-    # Hashes alone find the bound; the pages under it stay where they are.
-    least = [r[0] for r in marked.select("h").orderBy("h").limit(most).collect()]
-    sample = marked.where(F.col("h") <= (least[-1] if least else -(1 << 63))).select("html")
+    different = marked.agg(F.approx_count_distinct("h")).first()[0]
+    under = min(1.0, most / max(1, different)) * 2.0**64 - 2.0**63
+    sample = marked.where(F.col("h") <= F.lit(under)).groupBy("h").agg(F.min("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                total.update(count_words(page))
-        keys = list(total)
-        yield pa.record_batch({"feature": pa.array([k[0] for k in keys], pa.string()), "content": pa.array([k[1] for k in keys], pa.bool_()), "n": pa.array([total[k] for k in keys], pa.int64())})
+                total.update(count_tokens(page))
+        columns = [x for (sort, name), content in total for x in [(sort, name, content)]]
+        sorts, names, contents = zip(*columns, strict=True) if columns else ((), (), ())
+        yield pa.record_batch({"sort": pa.array(sorts, pa.string()), "name": pa.array(names, pa.string()), "content": pa.array(contents, pa.bool_()), "n": pa.array(list(total.values()), pa.int64())})
 
-    sums = sample.mapInArrow(run, "feature string, content boolean, n long").groupBy("feature").agg(F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("content"), 0).otherwise(F.col("n"))).alias("b"))
-    return weigh({r["feature"]: (r["a"], r["b"]) for r in sums.collect()})
+    n = F.col("n")
+    sums = sample.mapInArrow(run, "sort string, name string, content boolean, n long").groupBy("sort", "name").agg(F.sum(F.when(F.col("content"), n).otherwise(0)).alias("a"), F.sum(F.when(F.col("content"), 0).otherwise(n)).alias("b"))
+    return weigh({(r["sort"], r["name"]): (r["a"], r["b"]) for r in sums.collect()})
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Where the contiguous region of the greatest sum begins and ends; (0, 0) if none is above zero.  A region that sums to nothing or less is never gone on with."""
+    best, first, last, total, begin = 0.0, 0, 0, 0.0, 0
+    for i, x in enumerate(scores):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += x
+        if total > best:
+            best, first, last = total, begin, i + 1
+    return first, last
+
+
+def extract(page: str, weights: Weights) -> str:
     """Main text of a page."""
     scores: list[float] = []
     pieces: list[str | None] = []  # text, or None for a block's end; inline tags are empty text
-    skipped, depth, marked = "", 0, 0  # the element whose words are not content, how many of its name are open; marked elements around
+    around: list[tuple[int, int, bool]] = []  # places of words and tags, how many words, whether a mark is around
+    skipped, depth, marks, marked = "", 0, 0, False  # the element whose words are not content, how many of its name are open; marks around; whether a mark holds words
     cached: dict[tuple[str, str], bool] = {}
+    stack: list[str] = []
     for kind, value, rest in tokens(page):
         if kind == "text":
-            piece = "" if skipped else value
-            scores.append(WORD * len(piece.split()))
-            pieces.append(piece)
+            n = 0 if skipped else len(value.split())
+            marked |= n > 0 and marks > 0
+            around.append((len(scores), n, marks > 0))
+            scores.append(n and n * weights.words.get(stack[-1] if stack else "", WORD))
+            pieces.append("" if skipped else value)
             continue
-        weight = TAG + (0.0 if skipped else ODDS * min(0.0, weights.get(value, 0.0)))
+        around.append((len(scores), 0, marks > 0))
+        scores.append(LEAST_TAG if skipped else weights.tags.get(value, TAG))
+        pieces.append(None if value in BLOCKS else " " if value in ("td", "th") else "")
         if kind == "open":
+            if value in VOID:
+                continue
             key = (value, rest)
             if key not in cached:
-                cached[key] = is_other(features(value, rest), weights)
+                cached[key] = is_other(features(value, rest), weights.elements)
             if skipped:
-                depth += value == skipped and value not in VOID
-            elif cached[key] and value not in VOID:
-                skipped, depth, weight = value, 1, TAG
-            elif value in CONTENT_TAGS:
-                marked += 1
-                weight += BORDER * (marked == 1)
-        elif skipped and value == skipped:
-            depth -= 1
+                depth += value == skipped
+            elif cached[key]:
+                skipped, depth = value, 1
+            else:
+                marks += value in CONTENT_TAGS
+                stack.append(value)
+        elif skipped:
+            depth -= value == skipped
             skipped = skipped if depth else ""
-        elif not skipped and value in CONTENT_TAGS and marked:
-            marked -= 1
-            weight += BORDER * (marked == 0)
-        scores.append(weight)
-        pieces.append(None if value in BLOCKS else " " if value in ("td", "th") else "")
-    # The best region: a region that sums to nothing or less is never gone on with.
-    best, first, last, total, begin = 0.0, 0, 0, 0.0, 0
-    for i, x in enumerate(scores):
-        if total <= 0:
-            total, begin = 0.0, i
-        total += x
-        if total > best:
-            best, first, last = total, begin, i + 1
+        elif value in stack:
+            while True:
+                last = stack.pop()
+                marks -= last in CONTENT_TAGS
+                if last == value:
+                    break
+    for i, n, inside in around if marked else ():
+        if inside:
+            scores[i] = n * WORD if n else LEAST_TAG
+        elif n:
+            scores[i], pieces[i] = n * weights.outside, ""
+    first, last = best_region(scores)
     blocks, block = [], []
-    for piece in [*pieces[first:last], None]:
+    for i in range(first, last + 1):
+        piece = pieces[i] if i < last else None
         if piece is None:
             text = " ".join(html.unescape("".join(block)).split())
             blocks += [text] if text else []
@@ -188,8 +243,9 @@ def extract(page: str, weights: dict[str, float]) -> str:
     return "\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text of each row; weights are learnt from the pages themselves if none are given."""
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(learn(pages) if weights is None else weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ _scratch: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contex
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,6 +62,7 @@ def scratch() -> Iterator[None]:
 
 def written(spark: SparkSession, frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The frame, written as Parquet in the shared folder and read from there: lineage ends, and lost executors lose nothing."""
+    small_batches(spark)
     path = new_folder(spark, name)
     if not keep and (open_ := _scratch.get()) is not None:
         open_.append((spark, path.rsplit("/", 1)[0]))

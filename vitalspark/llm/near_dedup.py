@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
-from vitalspark.llm.common import partitions, scratch, sized, written
+from vitalspark.llm.common import partitions, scratch, sized, small_batches, written
 from vitalspark.llm.graph import extend, salted_join
 
 SHINGLE, PERCENT = 5, 75
@@ -355,6 +355,7 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id) for each row of docs."""
+    small_batches(docs.sparkSession)
     with scratch():
         return _near_duplicates(docs, percent, shingle)
 

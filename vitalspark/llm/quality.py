@@ -20,11 +20,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from vitalspark.llm import words as W
-from vitalspark.llm.common import written
+from vitalspark.llm.common import small_batches, written
 
 #: Random features, kernel width in deviations, ridge strength per row, score bins of the calibration, share of labels that calibrate.
 FEATURES, WIDTH, RIDGE, BINS, CALIBRATE = 256, 6.0, 1e-3, 512, 4
@@ -86,7 +87,8 @@ def statistics(texts: pa.Array) -> Iterator[np.ndarray]:
         out["symbol_words"] = total(_classes()["symbol"][ends], first) / n
         begins = data[words.start]
         out["upper_words"] = total(_classes()["upper"][begins] & _classes()["upper"][data[np.maximum(words.end - 1, 0)]], first) / n
-        out["common_words"] = total(np.isin(W.tokenize(data, offsets, W.ALNUM_WORDS, lower=True).hash, common_hashes), W.bounds(W.tokenize(data, offsets, W.ALNUM_WORDS, lower=True).doc, rows)) / n
+        letters = W.tokenize(data, offsets, W.ALNUM_WORDS, lower=True)
+        out["common_words"] = total(np.isin(letters.hash, common_hashes), W.bounds(letters.doc, rows)) / n
         sums = W.prefix_sums(words.hash)
         runs = W.whole(words.doc, 4)
         run_hash, run_first = W.span_hash(sums, runs, runs + 4), W.bounds(words.doc[runs], rows)
@@ -112,17 +114,18 @@ def statistics(texts: pa.Array) -> Iterator[np.ndarray]:
         yield np.stack([out[k] for k in STATISTICS], axis=1)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, stats (array<float> of STATISTICS) for each row."""
+@F.arrow_udf(ArrayType(FloatType()))
+def statistics_of(texts: pa.Array) -> pa.Array:
+    """STATISTICS of each text; the other columns of its row stay in Spark."""
+    parts = [x.astype(np.float32) for x in statistics(texts)]
+    table = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)), np.float32)
+    return pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), table.shape[1]).cast(pa.list_(pa.float32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [x.astype(np.float32) for x in statistics(batch.column(1))]
-            if parts:
-                table = np.concatenate(parts)
-                yield pa.record_batch({"doc_id": batch.column(0), "stats": pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), table.shape[1]).cast(pa.list_(pa.float32()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<float>")
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, stats (array<float> of STATISTICS) for each row."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics_of("text").alias("stats"))
 
 
 class Model(NamedTuple):
@@ -209,16 +212,15 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: fl
     return model._replace(raw=raw, probability=np.clip(0.998 * level + 0.002 * np.clip(raw, 0, 1), 0, 1))
 
 
-def score(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for each row of statistics."""
-    sent = stats.sparkSession.sparkContext.broadcast(model)
+def score(stats: Column, model: Model) -> Column:
+    """The score of each row of statistics."""
+    sent = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(sent.value.score(_matrix(batch.column(1))))})
+    @F.arrow_udf(DoubleType())
+    def scores(rows: pa.Array) -> pa.Array:
+        return pa.array(sent.value.score(_matrix(rows)) if len(rows) else np.zeros(0))
 
-    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
+    return scores(stats)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -226,26 +228,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _learnt(stats: DataFrame, labels: DataFrame) -> Model:
+    return fit(stats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id"))))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; labels: (doc_id, quality)."""
     stats = written(docs.sparkSession, document_statistics(docs), "statistics")
-    learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id")))
-    scored = score(stats, fit(stats, learn))
+    scored = stats.select("doc_id", score(F.col("stats"), _learnt(stats, labels)).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs, with all their columns, that a model learnt as for classify() scores 0.5 or more."""
-    stats = written(docs.sparkSession, document_statistics(docs), "statistics")
-    learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id")))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(stats, learn))
-    place = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = list(statistics(batch.column(place)))
-            if parts:
-                good = sent.value.score(np.concatenate(parts).astype(np.float32).astype(np.float64)) >= 0.5
-                yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    """Rows of docs, with all their columns, that a model learnt as for classify() scores 0.5 or more.  The statistics are made once, and written beside the rows."""
+    small_batches(docs.sparkSession)
+    name = "stats"
+    while name in docs.columns:
+        name += "_"
+    rows = written(docs.sparkSession, docs.withColumn(name, statistics_of("text")), "statistics")
+    stats = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("stats"))
+    return rows.where(score(F.col(name), _learnt(stats, labels)) >= 0.5).select(docs.columns)

@@ -80,7 +80,7 @@ def _delete_all() -> None:
 
 
 #: Bytes of one Arrow batch, where the session has Spark's own limit: a Python worker holds several copies of a batch.
-BATCH_BYTES, SPARKS_OWN = "16m", "67108864b"
+BATCH_BYTES, SPARKS_OWN = "8m", "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
 from vitalspark.llm.common import without, written
+from vitalspark.llm.graph import salted_join
 
 WINDOW = 10
 #: Bytes of text in a block, and words of phrases that are sent to the executors at once (8 bytes each).
-BLOCK_BYTES, PHRASE_WORDS = 2 << 20, 4_000_000
+BLOCK_BYTES, PHRASE_WORDS = 1 << 19, 4_000_000
 
 INDEX = "block string, doc_ids array<long>, first array<int>, terms array<long>, starts array<int>, positions array<int>"
 
@@ -126,47 +127,46 @@ def _matches(phrases: np.ndarray, terms: np.ndarray, starts: np.ndarray, positio
             yield row, low, high
 
 
+HITS = "array<struct<phrase:long,low:int,high:int>>"
+
+
 def search(index: DataFrame, phrases: DataFrame, slop: int | None = None, phrase_words: int = PHRASE_WORDS) -> DataFrame:
-    """block, doc, doc_id, n_words, hits (array of item, low, high: words from 0, end exclusive), for each document of the index.
+    """block, doc, doc_id, n_words, hits (array of phrase, low, high: the phrase's hash, words from 0, end exclusive), for each document of the index.
 
-    phrases: (item, phrase).  Exact phrases, or with slop all words of a phrase within slop words of its rarest.
+    phrases: (phrase).  Exact phrases, or with slop all words of a phrase within slop words of its rarest; each place
+    of a phrase is one hit, whatever items have it.
     Phrases go to the executors in groups of about phrase_words words, by hash: more phrases make more groups.
     """
     spark = index.sparkSession
-    phrases = written(spark, phrases, "phrases")
+    phrases = written(spark, phrases.select("phrase").distinct().withColumn("id", F.xxhash64("phrase")), "phrases")
     total = phrases.agg(F.coalesce(F.sum(F.size("phrase")), F.lit(0))).first()[0]
     groups = max(1, -(-total // phrase_words))
     found = None
     for i in range(groups):
-        part = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(groups)) == i).groupBy("phrase").agg(F.collect_set("item").alias("items")).toArrow()
-        items = part.column("items").to_pylist()
-        sizes = np.array([len(x) for x in part.column("phrase")], np.int64)
-        flat = part.column("phrase").combine_chunks().flatten().to_numpy().view(np.uint64) if len(items) else np.zeros(0, np.uint64)
+        part = phrases.where(F.pmod("id", F.lit(groups)) == i).toArrow()
+        ids = part.column("id").to_numpy()
+        sizes = part.column("phrase").combine_chunks().value_lengths().to_numpy().astype(np.int64)
+        flat = part.column("phrase").combine_chunks().flatten().to_numpy().view(np.uint64) if len(ids) else np.zeros(0, np.uint64)
         begin = np.cumsum(sizes) - sizes
-        kinds = [(np.flatnonzero(sizes == n), flat[begin[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)]
-        sent = spark.sparkContext.broadcast((kinds, items))
+        kinds = [(ids[sizes == n], flat[begin[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)]
+        sent = spark.sparkContext.broadcast(kinds)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            kinds, items = sent.value
             for batch in batches:
                 for r in range(len(batch)):
                     ids, first, terms, starts, positions = (batch.column(i)[r].values for i in range(1, 6))
                     first, starts, positions = (x.to_numpy().astype(np.int64) for x in (first, starts, positions))
                     terms = terms.to_numpy().view(np.uint64)
-                    hits: list[list] = [[] for _ in range(len(ids))]
-                    for number, words in kinds:
-                        for row, low, high in _matches(words, terms, starts, positions, first, slop):
-                            doc = np.searchsorted(first, low, side="right") - 1
-                            for d, a, b in zip(doc, low - first[doc], high - first[doc], strict=True):
-                                hits[d].extend((x, a, b) for x in items[number[row]] or [None])
-                    flat = [x for h in hits for x in h]
-                    lists = pa.ListArray.from_arrays(
-                        pa.array(np.r_[0, np.cumsum([len(h) for h in hits])], pa.int32()),
-                        pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int32())], ["item", "low", "high"]),
-                    )
+                    hits = [(np.full(len(low), names[row]), low, high) for names, words in sent.value for row, low, high in _matches(words, terms, starts, positions, first, slop)]
+                    phrase, low, high = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
+                    doc = np.searchsorted(first, low, side="right") - 1
+                    order = np.lexsort((phrase, high, low))  # documents follow each other in a block
+                    doc, phrase, low, high = (x[order] for x in (doc, phrase, low, high))
+                    places = pa.StructArray.from_arrays([pa.array(phrase), pa.array(low - first[doc], pa.int32()), pa.array(high - first[doc], pa.int32())], ["phrase", "low", "high"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)), pa.int32()), places)
                     yield pa.record_batch({"block": pa.array([batch.column(0)[r].as_py()] * len(ids), pa.string()), "doc": pa.array(range(len(ids)), pa.int32()), "doc_id": ids, "n_words": pa.array(np.diff(first), pa.int64()), "hits": lists})
 
-        got = index.mapInArrow(run, "block string, doc int, doc_id long, n_words long, hits array<struct<item:string,low:int,high:int>>")
+        got = index.mapInArrow(run, f"block string, doc int, doc_id long, n_words long, hits {HITS}")
         found = got if found is None else found.union(got)
     if groups > 1:
         found = found.groupBy("block", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
@@ -175,7 +175,8 @@ def search(index: DataFrame, phrases: DataFrame, slop: int | None = None, phrase
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence of a window), items (ids, sorted as strings, comma-joined), n_items, for each row of docs."""
-    found = search(build_index(docs), windows(items, window))
+    spark = docs.sparkSession
+    phrases = written(spark, windows(items, window), "windows")
     # Occurrences in order; each adds what it covers beyond the ones before.
     covered = F.aggregate(
         F.array_sort(F.transform("hits", lambda x: F.struct(x.low.alias("low"), x.high.alias("high")))),
@@ -183,8 +184,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         lambda s, x: F.struct(F.greatest(s.end, x.high).alias("end"), (s.n + F.greatest(F.lit(0), x.high - F.greatest(s.end, x.low))).cast("long").alias("n")),
         lambda s: s.n,
     )
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item"]), lambda x: x.isNotNull())))
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("items"))
+    found = search(build_index(docs), phrases).select("block", "doc", "doc_id", "n_words", covered.alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x["phrase"])).alias("phrases"))
+    found = written(spark, found, "found")
+    # A phrase can be of many items, and a phrase of many documents: both are joined, not gathered.
+    met = found.where(F.size("phrases") > 0).select("block", "doc", F.explode("phrases").alias("id"))
+    named = salted_join(met, phrases.where("item IS NOT NULL").select(F.xxhash64("phrase").alias("id"), "item"), ["id"]).select("block", "doc", "item").distinct()
+    listed = named.groupBy("block", "doc").agg(F.array_sort(F.collect_list("item")).alias("ids"))
+    out = found.join(listed, ["block", "doc"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
 
 
 def keep_clean(docs: DataFrame, found: DataFrame) -> DataFrame:

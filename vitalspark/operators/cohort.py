@@ -7,6 +7,10 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Diagnosis codes of the disease, morphology codes that confirm it and that exclude, stages and events that make it advanced, and when records begin.
+DISEASE_CODE = r"^(C34(\.[0-9]+)?|C39\.9|162(\.[0-9]+)?)$"
+MORPHOLOGIES, SMALL_CELL = ("8046/3", "8140/3", "8070/3", "8012/3", "8560/3", "8033/3", "8255/3"), ("8041/3", "8042/3", "8043/3", "8044/3", "8045/3")
+ADVANCED_STAGES, ADVANCED_EVENTS, RECORDS_SINCE = ("IIIB", "IIIC", "IVA", "IVB"), ("to_advanced", "metastatic_recurrence"), "2011-01-01"
 #: Histologies that the cohort includes.
 HISTOLOGIES = ("adenocarcinoma", "squamous_cell_carcinoma", "large_cell_carcinoma", "adenosquamous_carcinoma", "sarcomatoid_carcinoma", "nsclc_nos")
 
@@ -39,12 +43,12 @@ def eligibility(patients: DataFrame, histology: str = "histology", diagnosed: st
 
 
 def value_counts(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """field, value, n, pct: counts of each non-null value, percent of all rows."""
+    """field, value, n, pct: counts of each non-null value, percent of all rows, the most frequent of a field first."""
     fields = list(fields)
     tall = rows.select(*(F.col(f).cast("string").alias(f) for f in fields)).unpivot([], fields, "field", "value")
     counts = tall.groupBy("field", "value").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("field"))
-    return counts.withColumn("pct", 100.0 * F.col("n") / total).where("value IS NOT NULL")
+    return counts.withColumn("pct", 100.0 * F.col("n") / total).where("value IS NOT NULL").orderBy("field", F.col("n").desc(), "value")
 
 
 def cooccurrence(rows: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
@@ -62,15 +66,48 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, when: str, day
     Each right row is sent to the at most three stretches of `days` days that it can serve, so that the join is on equal keys.
     """
     slot = F.floor(F.unix_date(F.col(at)) / F.lit(days))
-    l = left.withColumn("_row", F.xxhash64(*left.columns)).withColumn("_slot", slot)
+    # Equal rows are matched once and come back as often as they were there.
+    l = left.groupBy(*left.columns).agg(F.count("*").alias("_times")).withColumn("_slot", slot)
     other = right.select(key, F.col(when).alias("_when"), *keep, F.floor(F.unix_date(F.col(when)) / F.lit(days)).alias("_base"))
     other = other.select(key, "_when", *keep, F.explode(F.array(F.col("_base") - 1, F.col("_base"), F.col("_base") + 1)).alias("_slot"))
     near = l.join(other, [key, "_slot"], "left").withColumn("_far", F.abs(F.datediff("_when", F.col(at))))
     fits = F.when(F.col("_far") <= days, F.struct("_far", "_when", *keep))
-    best = near.groupBy(*left.columns, "_row").agg(F.min(fits).alias("_best"))
+    best = near.groupBy(*left.columns, "_times").agg(F.min(fits).alias("_best")).withColumn("_time", F.explode(F.sequence(F.lit(1), "_times")))
     return best.select(*left.columns, F.col("_best._when").alias(when), *(F.col(f"_best.{c}").alias(c) for c in keep))
 
 
+def select_cohort(patients: DataFrame, conditions: DataFrame, progressions: DataFrame, encounters: DataFrame, ecog: DataFrame, since: str = RECORDS_SINCE) -> DataFrame:
+    """patient_id, advanced_diagnosis_date, histology, stage_at_advanced_diagnosis, age_at_advanced_diagnosis, ecog_at_advanced_diagnosis of the patients that meet all criteria.
+
+    patients: patient_id, is_test, sex, date_of_birth. conditions: patient_id, code, morphology, stage, onset_date. progressions: patient_id, event_date,
+    progression_type, stage. encounters: patient_id, encounter_date. ecog: patient_id, measured_on, ecog.
+    The disease is diagnosed at the earliest onset of one of its codes (of equal ones the least stage), advanced then by its stage or else by the earliest event
+    that says so; a morphology has to confirm it, and none may be of small cells. One diagnosed before `since` needs a later event. Patients are of age, of
+    known sex, with two visits since then, one of them in the 90 days from the advanced diagnosis. A null never meets a criterion.
+    """
+    ours = F.coalesce(F.col("code").rlike(DISEASE_CODE), F.lit(False)) & F.col("onset_date").isNotNull()
+    per = conditions.groupBy("patient_id").agg(
+        F.min(F.when(ours, F.struct("onset_date", "stage"))).alias("first"), F.min(F.when(F.col("morphology").isin(*MORPHOLOGIES), F.struct("onset_date", "morphology"))).alias("confirmed"),
+        F.coalesce(F.bool_or(F.col("morphology").isin(*SMALL_CELL)), F.lit(False)).alias("small"),
+    )
+    later = progressions.where(F.col("progression_type").isin(*ADVANCED_EVENTS)).groupBy("patient_id").agg(F.min(F.struct("event_date", "stage")).alias("later"))
+    at_first = F.coalesce(F.col("first.stage").isin(*ADVANCED_STAGES), F.lit(False))
+    found = per.where("first IS NOT NULL AND confirmed IS NOT NULL AND NOT small").join(later, "patient_id", "left")
+    found = found.where((F.col("first.onset_date") >= F.lit(since).cast("date")) | F.col("later").isNotNull()).select(
+        "patient_id", F.when(at_first, F.col("first.onset_date")).otherwise(F.col("later.event_date")).alias("advanced_diagnosis_date"), F.col("confirmed.morphology").alias("histology"),
+        F.when(at_first, F.col("first.stage")).otherwise(F.col("later.stage")).alias("stage_at_advanced_diagnosis"),
+    ).where("advanced_diagnosis_date IS NOT NULL")
+    age = F.floor(F.months_between("advanced_diagnosis_date", "date_of_birth") / 12).cast("int")
+    known = patients.where(~F.coalesce("is_test", F.lit(False)) & F.lower("sex").isin("male", "female")).select("patient_id", "date_of_birth")
+    found = found.join(known, "patient_id").withColumn("age_at_advanced_diagnosis", age).where("age_at_advanced_diagnosis >= 18").drop("date_of_birth")
+    days = F.datediff("encounter_date", "advanced_diagnosis_date")
+    active = encounters.where(F.col("encounter_date") >= F.lit(since).cast("date")).join(found.select("patient_id", "advanced_diagnosis_date"), "patient_id")
+    active = active.groupBy("patient_id").agg(F.count("*").alias("n"), F.bool_or(days.between(0, 90)).alias("soon")).where("n >= 2 AND soon")
+    found = found.join(active.select("patient_id"), "patient_id", "left_semi")
+    found = nearest(found, ecog.select("patient_id", "measured_on", "ecog"), "patient_id", "advanced_diagnosis_date", "measured_on", 30, ("ecog",))
+    return found.withColumnRenamed("ecog", "ecog_at_advanced_diagnosis").drop("measured_on")
+
+
 def event_log(parts: Mapping[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
     """date, type, detail of several event tables, oldest first, rows without a date last. parts: type -> (rows, date, detail)."""
     out = None

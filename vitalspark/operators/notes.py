@@ -37,15 +37,21 @@ def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
-def extract(text: Column) -> Column:
-    """struct of the fields of a note: the first find of each pattern, of a gene's statuses the last; confidence by how many of four anchors are found."""
-    lower = F.lower(text)
+def extract(text: Column, lower: Column, statuses: Column) -> Column:
+    """struct of the fields of a note: the first find of each pattern, of a gene's statuses the last; confidence by how many of four anchors are found.
+
+    lower: the text in lower case. statuses: all genes with a status in it, in order.
+    """
 
     def among(words: list[str], spaced: bool = False) -> Column:
         hits = [F.when(F.contains(lower, F.lit(w.replace("_", " ") if spaced else w)), F.lit(w)) for w in words]
         return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
-    status = {g: F.replace(F.lower(F.try_element_at(F.regexp_extract_all(text, F.lit(STATUS.format(g.upper())), F.lit(1)), F.lit(-1))), F.lit(" "), F.lit("_")) for g in GENES}
+    def status_of(gene: str) -> Column:
+        last = F.try_element_at(F.filter(statuses, lambda x: F.lower(x).startswith(gene)), F.lit(-1))
+        return F.replace(F.regexp_extract(F.lower(last), r"(positive|negative|not[ _]tested|unknown)$", 1), F.lit(" "), F.lit("_"))
+
+    status = {g: status_of(g) for g in GENES}
     stage, histology = F.upper(_first(text, STAGE)), F.get(among(HISTOLOGIES, spaced=True), F.lit(0))
     ecog, pdl1 = _first(text, ECOG).try_cast("int"), F.lower(_first(text, PDL1))
     progressed = F.contains(lower, F.lit("progression"))
@@ -76,17 +82,49 @@ def extract(text: Column) -> Column:
 
 def abstract(notes: DataFrame, text: str = "text") -> DataFrame:
     """notes with their fields in place of the text."""
-    return notes.withColumn("_f", extract(F.coalesce(F.col(text), F.lit("")))).select(*(c for c in notes.columns if c != text), "_f.*")
+    rows = notes.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumns({"_l": F.lower("_t"), "_s": F.regexp_extract_all("_t", F.lit(STATUS.format(f"(?:{'|'.join(GENES)})")), F.lit(0))})
+    return rows.withColumn("_f", extract(F.col("_t"), F.col("_l"), F.col("_s"))).select(*(c for c in notes.columns if c != text), "_f.*")
 
 
 def merge_notes(found: DataFrame, patient: str = "patient_id", order: str = "note_order") -> DataFrame:
     """One row for each patient: of scalars the first that isn't null in note order, of flags any, of sites the sorted and of treatments the ordered union."""
     scalars = [c for c in SCALARS if c != "progression_mentioned"] + [NUMERIC]
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
-    ordered = F.array_sort(F.collect_list(F.struct(order, "treatments_mentioned")))
-    return found.groupBy(patient).agg(
-        *first, F.bool_or("progression_mentioned").alias("progression_mentioned"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("new_metastatic_sites")))).alias("new_metastatic_sites"),
-        F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["treatments_mentioned"]))).alias("treatments_mentioned"),
+    out = found.groupBy(patient).agg(*first, F.bool_or("progression_mentioned").alias("progression_mentioned"))
+    # Words of the vocabularies are merged before they are gathered: what a patient gathers doesn't grow with the notes.
+    sites = found.select(patient, F.explode("new_metastatic_sites").alias("site")).groupBy(patient).agg(F.array_sort(F.collect_set("site")).alias("new_metastatic_sites"))
+    given = found.select(patient, order, F.posexplode("treatments_mentioned").alias("place", "drug")).groupBy(patient, "drug").agg(F.min(F.struct(order, "place")).alias("at"))
+    given = given.groupBy(patient).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "drug"))), lambda x: x["drug"]).alias("treatments_mentioned"))
+    out = out.join(sites, patient, "left").join(given, patient, "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in LISTS})
+
+
+#: Variants of a gene that are told apart, in the order of search.
+KRAS_VARIANTS = ("G12C", "G12D", "G12V", "G12A", "G13D")
+
+
+def ground_truth(patients: DataFrame, administrations: DataFrame, progressions: DataFrame, biomarkers: DataFrame) -> DataFrame:
+    """patient_id and the fields that a perfect reader would find in all notes of a patient, as merge_notes() gives them.
+
+    patients: patient_id, histology, stage_at_advanced_diagnosis, a status for each gene, pdl1_status, pdl1_tps, ecog. administrations: patient_id, display, place.
+    progressions: patient_id, event_date, progression_type, new_metastatic_sites, place; only those on treatment are told, of these the latest, of equal ones the first.
+    biomarkers: patient_id, biomarker_name, result, result_value, place; of several the last that names a variant. What was not tested is not told.
+    """
+    given = administrations.groupBy("patient_id", "display").agg(F.min("place").alias("place")).groupBy("patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "display"))), lambda x: x["display"]).alias("treatments_mentioned"))
+    latest = progressions.where("progression_type = 'on_treatment_progression'").groupBy("patient_id").agg(F.max_by(F.struct("event_date", "new_metastatic_sites"), F.struct("event_date", -F.col("place"))).alias("p"))
+    text = F.lower("result_value")
+    egfr = F.when(F.contains(text, F.lit("exon 19")), "exon19_deletion").when(F.contains(text, F.lit("l858r")), "L858R")
+    kras = F.coalesce(*(F.when(F.contains(F.upper("result_value"), F.lit(v)), v) for v in KRAS_VARIANTS))
+    positive = biomarkers.where("result = 'positive'")
+    named = {"egfr_mutation": F.when(F.col("biomarker_name") == "egfr", egfr), "kras_variant": F.when(F.col("biomarker_name") == "kras", kras)}
+    variants = positive.groupBy("patient_id").agg(*(F.max_by(v, F.when(v.isNotNull(), F.col("place"))).alias(k) for k, v in named.items()))
+    tested = [F.nullif(F.col(c), F.lit("not_tested")).alias(c) for c in (*(f"{g}_status" for g in GENES), "pdl1_status")]
+    rows = patients.join(given, "patient_id", "left").join(latest, "patient_id", "left").join(variants, "patient_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "patient_id", "histology", F.col("stage_at_advanced_diagnosis").alias("stage"), *tested, "egfr_mutation", "kras_variant", "pdl1_tps", "ecog", F.col("p").isNotNull().alias("progression_mentioned"), F.col("p.event_date").cast("string").alias("progression_date"),
+        F.coalesce("p.new_metastatic_sites", none).alias("new_metastatic_sites"), F.coalesce("treatments_mentioned", none).alias("treatments_mentioned"),
     )
 
 

@@ -66,6 +66,8 @@ def signals(spark: SparkSession, folder: str) -> DataFrame:
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """patient_id, note_order, text: a document made to a note by adding a line from its number, so that every rule has finds."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a file of one row group is one task
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
     i = F.col("doc_id")
     pick = lambda *xs, by=1: F.element_at(F.array(*map(F.lit, xs)), (F.floor(i / by) % len(xs) + 1).cast("int"))
     line = F.concat(

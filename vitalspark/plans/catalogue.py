@@ -396,6 +396,38 @@ def dq_gate(spark, folder):
     return quality_gate.run(tables, checks)
 
 
+@query
+def cohort_gate(spark, folder):
+    """All cohort checks, on orders as events: some of each fail."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("patient_id"), k, "o_orderstatus", day.alias("day"))
+    pid = F.col("patient_id")
+    patients = b.patients(spark, folder).select(
+        F.when(pid % 97 != 0, pid).alias("patient_id"), F.when(pid % 89 != 0, F.col("advanced_diagnosis_date").cast("date")).alias("advanced_diagnosis_date"), F.date_add(F.col("advanced_diagnosis_date").cast("date"), F.when(pid % 41 == 0, 5).otherwise(-30)).alias("initial_nsclc_diagnosis_date"),
+        "vital_status", F.when(pid % 31 != 0, F.date_sub(F.col("date_of_death").cast("date"), F.when(pid % 37 == 0, 9000).otherwise(0))).alias("date_of_death"), F.element_at(F.array(*map(F.lit, ("IIIB", "IIIC", "IVA", "IVB", "II"))), (pid % 5 + 1).cast("int")).alias("stage_at_advanced_diagnosis"),
+    )
+    tables = {
+        "patients": patients, "lines": _lines(spark, folder), "survival": _records(spark, folder), "progressions": orders.select("patient_id", F.date_sub("day", 40).alias("event_date")), "medications": orders.select("patient_id", F.date_sub("day", 20).alias("start_date")),
+        "biomarkers": orders.select("patient_id", F.element_at(F.array(*map(F.lit, ("positive", "negative", "maybe", "high"))), (k % 4 + 1).cast("int")).alias("result")),
+    }
+    return quality_gate.run(tables, quality_gate.COHORT_CHECKS)
+
+
+@query
+def cohort_selection(spark, folder):
+    """The written algorithm over customers, with their orders as conditions, events and visits, and records from 1993 on."""
+    pick = lambda by, *xs: F.get(F.array(*map(F.lit, xs)), (by % len(xs)).cast("int"))
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    patients = table(spark, folder, "customer").select(c.alias("patient_id"), (c % 50 == 0).alias("is_test"), pick(c, "male", "Female", "unknown", "female", None, "female").alias("sex"), F.make_date(1950 + c % 40, 1 + c % 12, 1 + c % 28).alias("date_of_birth"))
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("patient_id"), k, "o_orderstatus", F.to_date("o_orderdate").alias("day"))
+    rank = F.floor(k / 4)
+    conditions = orders.where(k % 4 == 1).select("patient_id", pick(rank, "C34.1", "C34.90", "C50.9", "162.5", "C39.9", "C39.1", "C340").alias("code"), pick(rank, "8140/3", "8070/3", None, "8500/3", "8046/3", "8012/3", "8140/3", "8033/3", "8255/3", "8560/3", "8041/3").alias("morphology"), pick(F.col("patient_id"), "IVA", "IIIB", "II", "IB", None).alias("stage"), F.col("day").alias("onset_date"))
+    progressions = orders.where(k % 4 == 2).select("patient_id", F.col("day").alias("event_date"), pick(rank, "to_advanced", "on_treatment_progression", "metastatic_recurrence").alias("progression_type"), pick(rank, "IVA", "IVB").alias("stage"))
+    encounters = orders.where(k % 4 != 3).select("patient_id", F.date_add("day", 15).alias("encounter_date"))
+    ecog = orders.select("patient_id", F.date_add("day", 10).alias("measured_on"), (rank % 5).alias("ecog"))
+    return cohort.select_cohort(patients, conditions, progressions, encounters, ecog, since="1993-01-01")
+
+
 # ---- values
 
 
@@ -496,6 +528,25 @@ def _truth(spark: SparkSession, folder: str) -> DataFrame:
     return notes.abstract(first)
 
 
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Truth of customers, their orders as administrations, progressions and biomarkers."""
+    pick = lambda by, *xs: F.get(F.array(*map(F.lit, xs)), (by % len(xs)).cast("int"))
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    states = {f"{g}_status": pick(c + i, "positive", "negative", "not_tested") for i, g in enumerate((*notes.GENES, "pdl1"))}
+    patients = table(spark, folder, "customer").select(c.alias("patient_id"), pick(c, *notes.HISTOLOGIES).alias("histology"), pick(c, "IVA", "IIIB").alias("stage_at_advanced_diagnosis"), *(v.alias(n) for n, v in states.items()), (c % 100).cast("double").alias("pdl1_tps"), (c % 5).cast("int").alias("ecog"))
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("patient_id"), k, k.alias("place"), F.to_date("o_orderdate").alias("day"), F.floor(k / 4).alias("r"))
+    given = orders.select("patient_id", pick(F.col("r"), *notes.TREATMENTS).alias("display"), "place")
+    progressions = orders.where(k % 4 != 3).select("patient_id", F.col("day").alias("event_date"), pick(F.col("r"), "to_advanced", "on_treatment_progression").alias("progression_type"), F.slice(F.array(*map(F.lit, notes.SITES)), 1, (F.col("r") % 4).cast("int")).alias("new_metastatic_sites"), "place")
+    markers = orders.select("patient_id", pick(F.col("r"), "egfr", "kras", "alk").alias("biomarker_name"), pick(k, "positive", "positive", "negative").alias("result"), pick(F.floor(F.col("r") / 3), "Exon 19 deletion", "L858R", "p.G12C", "g12d and G12V", "wild type", None).alias("result_value"), "place")
+    return notes.ground_truth(patients, given, progressions, markers)
+
+
+@query
+def note_truth(spark, folder):
+    found = _profiles(spark, folder)
+    return found.select(*(F.array_join(c, ",").alias(c) if c in notes.LISTS else F.col(c) for c in found.columns))
+
+
 @query
 def eval_scalar(spark, folder):
     return notes.scalar_scores(_truth(spark, folder), _merged_notes(spark, folder), "patient_id").select("field", "n", F.round("accuracy", 9).alias("accuracy"), F.round("miss_rate", 9).alias("miss_rate"))

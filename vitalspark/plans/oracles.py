@@ -222,6 +222,48 @@ num AS (SELECT avg(CASE WHEN abs(t.pdl1_tps - p.pdl1_tps) <= 0.5 OR (t.pdl1_tps
 SELECT round(avg(x), 9) AS macro_accuracy FROM (SELECT accuracy AS x FROM scs UNION ALL SELECT x FROM num UNION ALL SELECT f1 FROM f1s)""",
 }
 
+def _pick(by: str, *values: str | None) -> str:
+    """The value at by modulo the number of values."""
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][{by} % {len(values)} + 1]"
+
+
+SQL["cohort_gate"] = f"""WITH RECURSIVE {PATIENTS}, {ADMINS}, {episodes()}, {LINES},
+o AS (SELECT o_custkey AS p, o_orderkey AS k, o_orderdate::DATE AS d FROM orders),
+t AS (SELECT CASE WHEN pid % 97 <> 0 THEN pid END AS p, CASE WHEN pid % 89 <> 0 THEN idx END AS adv, idx + CASE WHEN pid % 41 = 0 THEN 5 ELSE -30 END AS ini, event = 1 AS dead,
+  CASE WHEN event = 1 AND pid % 31 <> 0 THEN last - CASE WHEN pid % 37 = 0 THEN 9000 ELSE 0 END END AS dod, {_pick("pid", "IIIB", "IIIC", "IVA", "IVB", "II")} AS stage FROM surv),
+c AS (SELECT 'non_null_ids' AS name, count(*) AS n FROM t WHERE p IS NULL OR adv IS NULL UNION ALL SELECT 'initial_before_advanced', count(*) FROM t WHERE adv < ini
+UNION ALL SELECT 'progressions_after_advanced', count(*) FROM o JOIN t ON o.p = t.p WHERE d - 40 < adv UNION ALL SELECT 'biomarker_vocab', count(*) FROM o WHERE k % 4 = 2
+UNION ALL SELECT 'stage_vocab', count(*) FROM t WHERE stage = 'II' UNION ALL SELECT 'death_date', count(*) FROM t WHERE dead AND dod IS NULL UNION ALL SELECT 'death_after_diagnosis', count(*) FROM t WHERE dod < adv
+UNION ALL SELECT 'treatment_after_diagnosis', count(*) FROM o JOIN t ON o.p = t.p WHERE d - 20 < adv UNION ALL SELECT 'biomarker_patient', count(*) FROM o WHERE p NOT IN (SELECT p FROM t WHERE p IS NOT NULL)
+UNION ALL SELECT 'survival_not_negative', count(*) FROM surv WHERE os_days < 0 UNION ALL SELECT 'lot_ordering', count(*) FROM (SELECT st, lag(st) OVER (PARTITION BY pid ORDER BY line) AS b FROM fin) WHERE st < b
+UNION ALL SELECT 'lot_numbers', count(*) FROM (SELECT count(*) AS n, max(line) AS m FROM fin GROUP BY pid) WHERE n <> m)
+SELECT name AS "check", n AS n_fail, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c"""
+
+SQL["cohort_selection"] = f"""WITH o AS (SELECT o_custkey AS p, o_orderkey AS k, o_orderkey // 4 AS r, o_orderdate::DATE AS d FROM orders),
+cond AS (SELECT p, d, {_pick("r", "C34.1", "C34.90", "C50.9", "162.5", "C39.9", "C39.1", "C340")} AS code, {_pick("r", "8140/3", "8070/3", None, "8500/3", "8046/3", "8012/3", "8140/3", "8033/3", "8255/3", "8560/3", "8041/3")} AS m, {_pick("p", "IVA", "IIIB", "II", "IB", None)} AS stage FROM o WHERE k % 4 = 1),
+ini AS (SELECT p, min(d) AS d, min(stage) AS stage FROM cond WHERE code IN ('C34.1', 'C34.90', '162.5', 'C39.9') GROUP BY p),
+conf AS (SELECT p, arg_min(m, (d, m)) AS m FROM cond WHERE m NOT IN ('8500/3', '8041/3') GROUP BY p),
+prog AS (SELECT p, d, {_pick("r", "to_advanced", "on_treatment_progression", "metastatic_recurrence")} AS kind, {_pick("r", "IVA", "IVB")} AS stage FROM o WHERE k % 4 = 2),
+lat AS (SELECT p, min(d) AS d, arg_min(stage, (d, stage)) AS stage FROM prog WHERE kind <> 'on_treatment_progression' GROUP BY p),
+adv AS (SELECT ini.p, conf.m, CASE WHEN ini.stage IN ('IVA', 'IIIB') THEN ini.d ELSE lat.d END AS d, CASE WHEN ini.stage IN ('IVA', 'IIIB') THEN ini.stage ELSE lat.stage END AS stage FROM ini JOIN conf ON ini.p = conf.p LEFT JOIN lat ON ini.p = lat.p
+  WHERE ini.p NOT IN (SELECT p FROM cond WHERE m = '8041/3') AND (ini.d >= DATE '1993-01-01' OR lat.d IS NOT NULL)),
+pat AS (SELECT c_custkey AS p, make_date(1950 + c_custkey % 40, 1 + c_custkey % 12, 1 + c_custkey % 28) AS dob FROM customer WHERE c_custkey % 50 <> 0 AND c_custkey % 6 NOT IN (2, 4)),
+aged AS (SELECT adv.*, date_sub('year', dob, adv.d) AS age FROM adv JOIN pat ON adv.p = pat.p WHERE adv.d IS NOT NULL),
+vis AS (SELECT aged.p FROM aged JOIN o ON o.p = aged.p WHERE k % 4 <> 3 AND o.d + 15 >= DATE '1993-01-01' GROUP BY aged.p HAVING count(*) >= 2 AND bool_or(o.d + 15 - aged.d BETWEEN 0 AND 90)),
+ecog AS (SELECT aged.p, arg_min(r % 5, (abs(o.d + 10 - aged.d), o.d, r % 5)) AS e FROM aged JOIN o ON o.p = aged.p WHERE abs(o.d + 10 - aged.d) <= 30 GROUP BY aged.p)
+SELECT aged.p AS patient_id, CAST(aged.d AS VARCHAR) AS advanced_diagnosis_date, m AS histology, stage AS stage_at_advanced_diagnosis, CAST(age AS INTEGER) AS age_at_advanced_diagnosis, e AS ecog_at_advanced_diagnosis
+FROM aged JOIN vis ON aged.p = vis.p LEFT JOIN ecog ON aged.p = ecog.p WHERE age >= 18"""
+
+_GENE_STATES = ", ".join(f"nullif({_pick(f'(c_custkey + {i})', 'positive', 'negative', 'not_tested')}, 'not_tested') AS {g}_status" for i, g in enumerate((*notes.GENES, "pdl1")))
+SQL["note_truth"] = f"""WITH o AS (SELECT o_custkey AS p, o_orderkey AS k, o_orderkey // 4 AS r, o_orderdate::DATE AS d FROM orders),
+given AS (SELECT p, string_agg(x, ',' ORDER BY k) AS t FROM (SELECT p, {_pick("r", *notes.TREATMENTS)} AS x, min(k) AS k FROM o GROUP BY 1, 2) GROUP BY p),
+prg AS (SELECT p, arg_max(d, (d, -k)) AS d, arg_max(r % 4, (d, -k)) AS n FROM o WHERE k % 4 <> 3 AND r % 2 = 1 GROUP BY p),
+mrk AS (SELECT p, k, {_pick("r", "egfr", "kras", "alk")} AS g, {_pick("(r // 3)", "Exon 19 deletion", "L858R", "p.G12C", "g12d and G12V", "wild type", None)} AS v FROM o WHERE k % 3 <> 2),
+var AS (SELECT p, arg_max(CASE WHEN v LIKE 'Exon%' THEN 'exon19_deletion' ELSE v END, k) FILTER (g = 'egfr' AND v IN ('Exon 19 deletion', 'L858R')) AS e, arg_max(CASE WHEN v LIKE 'p.%' THEN 'G12C' ELSE 'G12D' END, k) FILTER (g = 'kras' AND v LIKE '%12%') AS kr FROM mrk GROUP BY p)
+SELECT c_custkey AS patient_id, {_pick("c_custkey", *notes.HISTOLOGIES)} AS histology, {_pick("c_custkey", "IVA", "IIIB")} AS stage, {_GENE_STATES}, e AS egfr_mutation, kr AS kras_variant, CAST(c_custkey % 100 AS DOUBLE) AS pdl1_tps, CAST(c_custkey % 5 AS INTEGER) AS ecog,
+  prg.p IS NOT NULL AS progression_mentioned, CAST(prg.d AS VARCHAR) AS progression_date, array_to_string({notes.SITES}[1:coalesce(n, 0)], ',') AS new_metastatic_sites, coalesce(t, '') AS treatments_mentioned
+FROM customer LEFT JOIN given ON given.p = c_custkey LEFT JOIN prg ON prg.p = c_custkey LEFT JOIN var ON var.p = c_custkey"""
+
 #: Columns that are dates in the SQL above; they leave it as ISO text.
 DATES = {
     "rwos_records": ["index_date", "event_date"], "episodes_gap_islands": ["start", "end"], "lot_greedy": ["start", "end"], "lot_lines": ["start_date", "end_date"], "lot_sql_mart": ["line_start_date", "line_end_date"],

@@ -20,8 +20,8 @@ BUNDLE = {
         {"resource": {"resourceType": "MedicationAdministration", "medicationCodeableConcept": {"coding": [{"display": "Keytruda"}]}}},
     ],
 }
-HL7 = "MSH|^~\\&|a|b|c|d|ts||ADT^A01\r\nPID|1||P2||Doe^Jo||197001|M\rDG1|1||C34.11|NSCLC Squamous \\S\\ cell|20200203\nOBX|1|NM|26464-8^WBC \\F\\ count^LN||4.5|10*3/uL\nRXA|0|1|20200301|20200301|40048^Carboplatin^RXN\n"
-CSV = '﻿Patient_ID, loinc_code ,display,drug_class,ecog_at_advanced_diagnosis,histology,start_date\nP3,,"Alimta, new",chemo,,,2020-01-05\nP3,718-7,Hgb,,2.0,"a ""b""",2019-01-01\n\n,x,,,,,\nP4,,,,x,,\n'
+HL7 = "MSH|^~\\&|a|b|c|d|ts||ADT^A01\r\nPID|1||P2||Doe^Jo||197001|M\rDG1|1||C34.11|NSCLC Squamous \\S\\ cell|20200203\nMSH|^~\\&|a|b|c|d|ts||ORU^R01\nOBX|1|NM|26464-8^WBC \\F\\ count^LN||4.5|10*3/uL\nRXA|0|1|20200301|20200301|40048^Carboplatin^RXN\n"
+CSV = '﻿Patient_ID, loinc_code ,display,drug_class,ecog_at_advanced_diagnosis,histology,start_date\nP3,,"Alimta, new",chemo,,,2020-01-05\nP3,718-7,Hgb,,2.0,"a ""b""",2019-01-01\n\n,x,,,,,\nP4,,,,x,,\nP5,,,,,"adeno\ncarcinoma",2019-01-01\n'
 
 
 @pytest.fixture(scope="module")
@@ -41,8 +41,11 @@ def test_files(spark, folder):
     got = {r.pkey: (r.occurred_at, {k: v.value for k, v in r.columns.items()}) for r in files.records(found).collect()}
     assert got["P1"] == ("2020-05-06", {"lab_test_code": "718-7", "medication": "Keytruda", "diagnosis_code": "C34.2", "ecog_performance_status": "1", "tumor_histology_text": "Adeno"})
     assert got["P2"] == ("2020-02-03", {"lab_test_code": "26464-8", "medication": "Carboplatin", "diagnosis_code": "C34.11", "tumor_histology_text": "Squamous ^ cell"})
-    assert got["P3"] == ("2020-01-05", {"lab_test_code": "718-7", "medication": "Alimta, new", "ecog_performance_status": "2", "tumor_histology_text": 'a "b"'}) and set(got) == {"P1", "P2", "P3"}
-    assert files.tall(files.records(found)).count() == 13
+    assert got["P3"] == ("2020-01-05", {"lab_test_code": "718-7", "medication": "Alimta, new", "ecog_performance_status": "2", "tumor_histology_text": 'a "b"'}) and set(got) == {"P1", "P2", "P3", "P5"}
+    assert got["P5"][1] == {"tumor_histology_text": "adeno\ncarcinoma"}
+    assert files.tall(files.records(found)).count() == 14
+    table = {r.patient_id: r for r in files.read_extract(spark, f"{folder}/c.csv").collect()}
+    assert table["P5"].histology == "adeno\ncarcinoma" and table["P3"].histology == 'a "b"' and table["P4"].histology is None
 
 
 def test_staging(spark, folder):
@@ -121,7 +124,8 @@ def test_synthetic_invariants(spark, people):
     assert 0.55 <= meds.select("patient_id").distinct().count() / 200 <= 0.85
     text = meds.select("patient_id", "display", F.lit(None).cast("string").alias("drug_name"), F.lit(None).cast("string").alias("medication_code"), "start_date", "end_date", "drug_class")
     lines = therapy.lines_of_therapy(therapy.administrations(text), therapy.progressions(progs), people.where("dead").select("patient_id", F.col("date_of_death").cast("date").alias("death_date")))
-    tables = {"patients": people, "medications": meds, "biomarkers": synthetic.biomarkers(people), "lines": lines, "survival": survival.survival_records(people)}
+    first = people.withColumn("initial_nsclc_diagnosis_date", F.col("advanced_diagnosis_date"))
+    tables = {"patients": first, "progressions": progs, "medications": meds, "biomarkers": synthetic.biomarkers(people), "lines": lines, "survival": survival.survival_records(people)}
     assert all(r.status == "PASS" for r in quality_gate.run(tables, quality_gate.COHORT_CHECKS).collect())
     assert therapy.validate(lines, people.select("patient_id", F.col("dx").alias("index_date"))).count() == 0
     assert sorted(map(str, synthetic.patients(spark, 50).repartition(7).collect())) == sorted(map(str, synthetic.patients(spark, 50).collect())) and synthetic.manifest(people).first().n_patients == 200

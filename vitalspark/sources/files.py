@@ -147,19 +147,31 @@ def hl7_records(files: DataFrame) -> DataFrame:
     return _record(rows.select("name", "f.*", F.lit(None).cast("int").alias("ecog")), "hl7v2")
 
 
+_CELL = r'(?:"(?:[^"]++|"")*+"[^,\r\n]*+|"[^\r\n]*+|[^",\r\n][^,\r\n]*+)?+'
+#: A line of a flat extract: cells, of which quoted ones may hold commas, doubled quotes and line breaks.
+LINE = f"{_CELL}(?:,{_CELL})*+"
+
+
 def csv_rows(files: DataFrame) -> DataFrame:
-    """name, line (from 1), row (map of lower-case header to trimmed value) of flat extracts; a byte order mark is no part of the first header.
+    """name, line (its place), row (map of lower-case header to trimmed value) of flat extracts; a byte order mark is no part of the first header.
 
-    A file's lines are spread over tasks; quoted cells may hold commas and doubled quotes, not line breaks.
+    A file's lines are spread over tasks; a file is one value of Spark's, so of 2 GB at most: read_extract() takes larger ones.
     """
-    lines = files.where("format = 'csv'").select("name", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), r"\r\n|\r|\n")).alias("line", "text"))
-    cells = F.transform(F.regexp_extract_all("text", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
-    lines = lines.where("line = 0 OR trim(text) <> ''").withColumn("cells", F.transform(cells, lambda x: F.trim(x)))
+    text = F.regexp_replace("text", "^﻿", "")
+    lines = files.where("format = 'csv'").select("name", F.posexplode(F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: F.trim(x) != "")).alias("line", "text"))
+    cells = F.transform(F.regexp_extract_all("text", F.lit(f"(?:^|,)({_CELL})"), F.lit(1)), lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+    lines = lines.withColumn("cells", F.transform(cells, lambda x: F.trim(x)))
     head = lines.where("line = 0").select("name", F.transform("cells", F.lower).alias("head"))
     body = lines.where("line > 0").join(head, "name")
     return body.select("name", "line", F.map_from_entries(F.filter(F.arrays_zip("head", "cells"), lambda x: x["head"].isNotNull())).alias("row"))
 
 
+def read_extract(spark: SparkSession, path: str) -> DataFrame:
+    """A flat extract of any size as a table of text columns, its headers trimmed and in lower case; empty cells are null.  Only files without line breaks in cells are split over tasks by Spark."""
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
+    return rows.toDF(*(c.strip().lstrip("\ufeff").lower() for c in rows.columns))
+
+
 def csv_records(files: DataFrame) -> DataFrame:
     """One source record of each patient of a file: the first value that isn't empty of each field, in the file's order."""
     row = F.col("row")

@@ -64,9 +64,16 @@ def hl7_patients(files: DataFrame) -> DataFrame:
 
 
 def hl7_observations(files: DataFrame) -> DataFrame:
-    """name, place, code, display, value, unit, date of the observations of HL7 files."""
+    """name, place, code, display, value, unit, date of the observations in result messages (ORU) of HL7 files."""
     from vitalspark.sources.files import hl7_date, hl7_segments, unescape
 
-    rows = files.where("format = 'hl7v2'").select("name", F.posexplode(hl7_segments(F.col("text"))).alias("place", "s")).where(F.col("s")[0] == "OBX")
+    # Of the messages of a file only those of results tell observations: a segment belongs to the header before it.
+    segments = hl7_segments(F.col("text"))
+    kinds = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda done, x: F.concat(done, F.array(F.when(x[0] == "MSH", F.coalesce(F.get(x, F.lit(8)), F.lit(""))).otherwise(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))))),
+    )
+    rows = files.where("format = 'hl7v2'").select("name", F.posexplode(F.arrays_zip(segments.alias("s"), kinds.alias("kind"))).alias("place", "x"))
+    rows = rows.select("name", "place", "x.s", "x.kind").where((F.col("s")[0] == "OBX") & F.col("kind").startswith("ORU"))
     code = F.split(F.get("s", F.lit(3)), r"\^")
     return rows.select("name", "place", F.get(code, F.lit(0)).alias("code"), unescape(F.get(code, F.lit(1))).alias("display"), unescape(F.get("s", F.lit(5))).alias("value"), F.get("s", F.lit(6)).alias("unit"), hl7_date(F.coalesce(F.get("s", F.lit(14)), F.lit(""))).alias("date"))

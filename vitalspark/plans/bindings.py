@@ -82,3 +82,52 @@ def ranked_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with each one's number in its customer's order of time."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, folder, "orders").withColumn("n", F.row_number().over(order))
+
+
+def _files(rows: DataFrame, text: str) -> DataFrame:
+    """name, text, format, told from the name or the text, of texts as if they were files."""
+    from vitalspark.sources.files import detect
+
+    rows = rows.select("name", F.col(text).alias("text"))
+    return rows.withColumn("format", detect(F.col("name"), F.col("text")))
+
+
+def _chart(spark: SparkSession, folder: str, part: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Patients (customers whose number leaves `part` modulo 3), and their orders as conditions, observations and medications."""
+    who = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate").cast("string")
+    pick = lambda by, *xs: F.get(F.array(*map(F.lit, xs)), (by % len(xs)).cast("int"))
+    rank = F.floor(k / 4)
+    orders = table(spark, folder, "orders").where(F.col("o_custkey") % 3 == part)
+    people = table(spark, folder, "customer").where(F.col("c_custkey") % 3 == part)
+    patients = people.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("patient_id"), pick(F.col("c_custkey"), "male", "female").alias("sex"), F.concat(F.lit("19"), F.lpad((F.col("c_custkey") % 90 + 10).cast("string"), 2, "0"), F.lit("-03-04")).alias("date_of_birth"))
+    conditions = orders.where(k % 4 == 1).select(k.cast("string").alias("condition_id"), who.alias("patient_id"), pick(rank, "C34.1", "C34.90", "J18.9").alias("condition_code"), pick(rank, "adenocarcinoma", "squamous | cell ^ type").alias("histology"), day.alias("onset_date"))
+    observations = orders.where(k % 4 == 2).select(k.cast("string").alias("observation_id"), who.alias("patient_id"), pick(rank, "718-7", "2160-0", "99999-1").alias("loinc_code"), pick(rank, "Hemoglobin", "Creatinine", "Odd, \"new\" test").alias("display"), day.alias("observation_date"), (k % 9).cast("int").alias("value"), F.lit("g/dL").alias("unit"))
+    medications = orders.where(k % 4 == 3).select(k.cast("string").alias("medication_id"), who.alias("patient_id"), pick(rank, "40048", None).alias("rxnorm_code"), pick(rank, "Keytruda", "Unknownib").alias("display"), day.alias("start_date"), day.alias("end_date"))
+    return patients, conditions, observations, medications
+
+
+def bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a bundle for each patient of the first third."""
+    from vitalspark.sources import sinks
+
+    return _files(sinks.bundles(*_chart(spark, folder, 0)).withColumn("name", F.concat("patient_id", F.lit(".json"))), "bundle")
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of HL7 messages of the second third, told by their first characters."""
+    from vitalspark.sources import sinks
+
+    return _files(sinks.hl7_messages(*_chart(spark, folder, 1)).withColumn("name", F.concat("patient_id", F.lit(".txt"))), "message")
+
+
+def extracts(spark: SparkSession, folder: str) -> DataFrame:
+    """A flat extract for each nation of the last third: a line for each observation and medication, in order of their ids, texts in quotes."""
+    _, _, observations, medications = _chart(spark, folder, 2)
+    quoted = F.concat(F.lit('"'), F.replace("display", F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = observations.select("patient_id", F.col("observation_id").cast("long").alias("id"), F.concat_ws(",", "patient_id", "loinc_code", quoted, F.lit(""), F.lit(""), F.lit('"large\ncell"'), F.lit(""), "observation_date").alias("line"))
+    lines = lines.union(medications.select("patient_id", F.col("medication_id").cast("long"), F.concat_ws(",", "patient_id", F.lit(""), quoted, F.coalesce("rxnorm_code", F.lit("")), F.lit("C34.2"), F.lit(""), "start_date", F.lit(""))))
+    nation = table(spark, folder, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("patient_id"), "c_nationkey")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\r\n")
+    files = lines.join(nation, "patient_id").groupBy("c_nationkey").agg(F.concat(F.lit("Patient_ID,loinc_code,display,rxnorm_code,icd10_code,histology,start_date,observation_date\n"), body).alias("text"))
+    return _files(files.withColumn("name", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))), "text")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from vitalspark.functions import coerce, dates, drugs, registries, units
 from vitalspark.operators import audit, cohort, notes, quality_gate, reconcile, survival, therapy
+from vitalspark import types
 from vitalspark.plans import bindings as b
 from vitalspark.session import table
+from vitalspark.sources import files, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -283,6 +285,95 @@ def offline_hold(spark, folder):
     return kept.groupBy("source_column").agg(F.count("*").alias("n")).withColumn("held", F.lit(False)).unionByName(held.withColumns({"n": F.lit(0).cast("bigint"), "held": F.lit(True)}))
 
 
+@query
+def all_conflicts(spark, folder):
+    """All values of all sources against each other."""
+    return reconcile.conflicts(b.signals(spark, folder).where("k IS NOT NULL"), ("pkey",), value="k")
+
+
+# ---- sources
+
+
+def _tall(spark: SparkSession, folder: str) -> DataFrame:
+    found = b.bundles(spark, folder).unionByName(b.messages(spark, folder)).unionByName(b.extracts(spark, folder))
+    return files.tall(files.records(found))
+
+
+@query
+def source_records(spark, folder):
+    """Customers written as bundles, messages and flat extracts, and read back as values of source records."""
+    return _tall(spark, folder).select("pkey", "source", "external_id", "occurred_at", "source_column", "value", "source_data_type", "source_description")
+
+
+@query
+def source_formats(spark, folder):
+    """Files by the format told, and what can't be read of them with some broken ones beside."""
+    broken = spark.createDataFrame([("a.json", "{bad"), ("b.json", '{"resourceType": "Bundle"}'), ("c", "MSH|x"), ("d", "no format here")], "name string, text string")
+    found = b.bundles(spark, folder).unionByName(b.messages(spark, folder)).unionByName(b.extracts(spark, folder)).unionByName(broken.withColumn("format", files.detect(F.col("name"), F.col("text"))))
+    told = found.groupBy(F.coalesce("format", F.lit("none")).alias("what")).agg(F.count("*").alias("n"))
+    return told.unionByName(files.errors(found).groupBy(F.col("error").alias("what")).agg(F.count("*").alias("n")))
+
+
+@query
+def staged_resources(spark, folder):
+    """Bundles as variants, and the projections of their resources."""
+    raw = staging.raw_bundles(b.bundles(spark, folder))
+    parts = {"Patient": ("patient_id", "birth_date", "gender"), "Condition": ("condition_id", "onset", "code"), "Observation": ("observation_id", "effective", "code"), "MedicationAdministration": ("medication_id", "start", "display")}
+    rows = [staging.resources(raw, kind).select(F.lit(kind).alias("kind"), F.col("name"), *(F.col(c).alias(n) for c, n in zip(columns, ("id", "date", "detail"), strict=True))) for kind, columns in parts.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+@query
+def staged_messages(spark, folder):
+    """Patients and observations of HL7 files."""
+    found = b.messages(spark, folder)
+    seen = staging.hl7_observations(found).groupBy("name").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("code").alias("code"), F.max("display").alias("display"))
+    return staging.hl7_patients(found).join(seen, "name", "left").select("name", "patient_id", "birth", "sex", F.coalesce("n", F.lit(0)).alias("n_observations"), "first", "code", "display")
+
+
+@query
+def staged_extracts(spark, folder):
+    """Rows of a flat extract as variants, and their projection: empty cells and numbers that are none are null."""
+    k = F.col("l_orderkey")
+    rows = table(spark, folder, "lineitem").select(
+        F.concat_ws("-", k, "l_linenumber").alias("observation_id"), F.concat(F.lit("C"), k.cast("string")).alias("patient_id"), F.lit("718-7").alias("loinc_code"), F.when(k % 3 == 0, "").otherwise("Hemoglobin").alias("display"),
+        F.when(k % 5 == 0, "many").when(k % 5 == 1, "").otherwise(F.col("l_quantity").cast("decimal(10,1)").cast("string")).alias("value"), F.lit("g/dL").alias("unit"),
+    )
+    return staging.extract_rows(staging.raw_extract(rows, "observations"), "observations")
+
+
+@query
+def routing_decisions(spark, folder):
+    """Columns of source records routed by the registries, then by name, and the decision of each."""
+    known = spark.createDataFrame([("hemoglobin", "numeric", "", [], "g/dL", None, None, None)], types.DICTIONARY)
+    log = spark.createDataFrame([], types.DECISION)
+    found = reconcile.decide(_tall(spark, folder), log, known, reconcile.rule_router(known), F.lit("2024-01-01").cast("timestamp"))
+    return found.select("pkey", "source", "source_column", "decided_by", "verdict", "canonical_name", "similarity_score", "is_global_target", "needs_review", F.size("source_samples").alias("n_samples"))
+
+
+@query
+def note_types(spark, folder):
+    names = ("progress_note", "Initial_Consult", "my_pathology_report_2", "radiology", "odd", "pathology")
+    name = F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names)).cast("int"))
+    return table(spark, folder, "documents").select("doc_id", notes.note_type(name).alias("note_type"))
+
+
+@query
+def medication_timeline(spark, folder):
+    """Orders as administrations, some with dates that are none."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate").cast("string")
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderpriority").alias("display"), F.when(k % 11 == 0, "2020-13-01").otherwise(day).alias("start_date"), F.when(k % 3 == 0, "").when(k % 3 == 1, F.date_add("o_orderdate", 7).cast("string")).alias("end_date"))
+    return cohort.medication_timeline(rows)
+
+
+@query
+def patient_tables(spark, folder):
+    """Every table's rows of one patient."""
+    tables = {"administrations": b.administrations(spark, folder), "progressions": b.progressions(spark, folder), "deaths": b.deaths(spark, folder)}
+    found = cohort.patient_events(tables, 7)
+    return functools.reduce(DataFrame.unionByName, (rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("events"), "n") for name, rows in found.items()))
+
+
 # ---- lookup tier
 
 

@@ -264,6 +264,40 @@ SELECT c_custkey AS patient_id, {_pick("c_custkey", *notes.HISTOLOGIES)} AS hist
   prg.p IS NOT NULL AS progression_mentioned, CAST(prg.d AS VARCHAR) AS progression_date, array_to_string({notes.SITES}[1:coalesce(n, 0)], ',') AS new_metastatic_sites, coalesce(t, '') AS treatments_mentioned
 FROM customer LEFT JOIN given ON given.p = c_custkey LEFT JOIN prg ON prg.p = c_custkey LEFT JOIN var ON var.p = c_custkey"""
 
+SQL["all_conflicts"] = """WITH v AS (SELECT DISTINCT user_id AS pkey, event_type AS source, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT a.pkey, a.source AS source_a, a.k AS value_a, b.source AS source_b, b.k AS value_b FROM v a JOIN v b ON a.pkey = b.pkey AND a.source < b.source AND a.k <> b.k"""
+
+#: Patients' orders as conditions, observations and medications, by thirds of customers.
+CHART = f"""
+ord AS (SELECT o_custkey AS c, o_custkey % 3 AS third, 'C' || o_custkey AS p, o_orderkey AS k, o_orderkey % 4 AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate::DATE AS VARCHAR) AS d,
+  {_pick("(o_orderkey // 4)", "C34.1", "C34.90", "J18.9")} AS code, {_pick("(o_orderkey // 4)", "adenocarcinoma", "squamous | cell ^ type")} AS hist,
+  {_pick("(o_orderkey // 4)", "718-7", "2160-0", "99999-1")} AS loinc, {_pick("(o_orderkey // 4)", "Hemoglobin", "Creatinine", 'Odd, "new" test')} AS lab, {_pick("(o_orderkey // 4)", "Keytruda", "Unknownib")} AS drug FROM orders),
+fst AS (SELECT p, third, arg_min(code, id) FILTER (kind = 1) AS code, arg_min(hist, id) FILTER (kind = 1) AS hist, arg_min(d, id) FILTER (kind = 1) AS d, arg_min(loinc, id) FILTER (kind = 2) AS loinc, arg_min(lab, id) FILTER (kind = 2) AS lab,
+  arg_min(drug, id) FILTER (kind = 3) AS drug, arg_min(loinc, k) FILTER (kind = 2) AS cl, arg_min(lab, k) FILTER (kind = 2) AS cb, arg_min(CASE WHEN kind = 2 THEN lab ELSE drug END, k) FILTER (kind IN (2, 3)) AS cd, arg_min(d, k) FILTER (kind IN (2, 3)) AS cdate FROM ord GROUP BY p, third),
+rec AS (SELECT p, third, CASE WHEN third = 2 THEN coalesce(cdate, '') ELSE coalesce(d, '') END AS d, CASE WHEN third = 2 THEN cl ELSE loinc END AS loinc, CASE WHEN third = 2 THEN cb ELSE lab END AS lab, CASE WHEN third = 2 THEN cd ELSE drug END AS drug,
+  CASE WHEN third < 2 THEN code WHEN drug IS NOT NULL THEN 'C34.2' END AS code, CASE WHEN third < 2 THEN hist WHEN cl IS NOT NULL THEN 'large' || chr(10) || 'cell' END AS hist FROM fst),
+tll AS (SELECT p AS pkey, ['epic_fhir_r4', 'legacy_hl7v2', 'registry_csv_export'][third + 1] AS source, d, u.* FROM rec, LATERAL (SELECT * FROM (VALUES ('lab_test_code', loinc, 'coded_value', 'Coded lab result (' || lab || ')'), ('medication', drug, 'coded_value', 'Administered systemic therapy'),
+  ('diagnosis_code', code, 'coded_value', 'Primary cancer diagnosis (ICD-10-CM)'), ('tumor_histology_text', hist, 'text', 'Free-text histology from the pathology narrative')) x(source_column, value, source_data_type, source_description) WHERE value IS NOT NULL) u)"""
+
+SQL["source_records"] = f"WITH {CHART} SELECT pkey, source, source || ':' || pkey AS external_id, d AS occurred_at, source_column, value, source_data_type, source_description FROM tll"
+_KNOWN_ICD = ", ".join(f"'{c}'" for c, _ in registries.ICD10)
+SQL["routing_decisions"] = f"""WITH {CHART}, hit AS (SELECT *, CASE WHEN source_column = 'lab_test_code' AND value = '718-7' THEN 'hemoglobin' WHEN source_column = 'lab_test_code' AND value = '2160-0' THEN 'creatinine'
+  WHEN source_column = 'medication' AND value = 'Keytruda' THEN 'drug_name' WHEN source_column = 'diagnosis_code' AND value IN ({_KNOWN_ICD}) THEN 'diagnosis_code' END AS h FROM tll)
+SELECT pkey, source, source_column, CASE WHEN h IS NULL THEN 'rule' ELSE 'lookup' END AS decided_by, CASE WHEN h IS NULL THEN 'append' ELSE 'join' END AS verdict, coalesce(h, source_column) AS canonical_name,
+  CASE WHEN h IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity_score, coalesce(h = 'hemoglobin', false) AS is_global_target, false AS needs_review, CAST(1 AS INTEGER) AS n_samples FROM hit"""
+SQL["source_formats"] = f"""WITH {CHART}, n AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer JOIN ord ON c = c_custkey WHERE third = 2 AND kind IN (2, 3)), t AS (SELECT count(*) FILTER (c_custkey % 3 = 0) AS a, count(*) FILTER (c_custkey % 3 = 1) AS b FROM customer)
+SELECT 'fhir' AS what, a + 2 AS n FROM t UNION ALL SELECT 'hl7v2', b + 1 FROM t UNION ALL SELECT 'csv', n FROM n UNION ALL SELECT 'none', 1 UNION ALL SELECT 'not a bundle', 1 UNION ALL SELECT 'no patient', 2 UNION ALL SELECT 'unknown format', 1"""
+SQL["staged_resources"] = f"""WITH {CHART} SELECT 'Patient' AS kind, 'C' || c_custkey || '.json' AS name, 'C' || c_custkey AS id, '19' || lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') || '-03-04' AS date, {_pick("c_custkey", "male", "female")} AS detail FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT ['Condition', 'Observation', 'MedicationAdministration'][kind], p || '.json', id, d, CASE kind WHEN 1 THEN code WHEN 2 THEN loinc ELSE drug END FROM ord WHERE third = 0 AND kind > 0"""
+SQL["staged_messages"] = f"""WITH {CHART}, seen AS (SELECT p, count(*) AS n, min(d) AS first, max(loinc) AS code, max(lab) AS display FROM ord WHERE kind = 2 GROUP BY p)
+SELECT 'C' || c_custkey || '.txt' AS name, 'C' || c_custkey AS patient_id, '19' || lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') || '0304' AS birth, {_pick("c_custkey", "M", "F")} AS sex, coalesce(n, 0) AS n_observations, first, code, display FROM customer LEFT JOIN seen ON p = 'C' || c_custkey WHERE c_custkey % 3 = 1"""
+SQL["staged_extracts"] = """SELECT l_orderkey || '-' || l_linenumber AS observation_id, 'C' || l_orderkey AS patient_id, '718-7' AS code, CASE WHEN l_orderkey % 3 > 0 THEN 'Hemoglobin' END AS display,
+CASE WHEN l_orderkey % 5 > 1 THEN CAST(l_quantity AS DOUBLE) END AS value, 'g/dL' AS unit FROM lineitem"""
+SQL["note_types"] = f"SELECT doc_id, {_pick('doc_id', 'progress', 'consult', 'pathology', 'radiology', 'unknown', 'pathology')} AS note_type FROM documents"
+SQL["medication_timeline"] = """SELECT o_custkey AS patient_id, o_orderpriority AS drug, CAST(o_orderdate::DATE AS VARCHAR) AS start, CAST(o_orderdate::DATE + CASE WHEN o_orderkey % 3 = 1 THEN 7 ELSE 0 END AS VARCHAR) AS "end"
+FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 3 > 0 UNION ALL SELECT o_custkey, o_orderpriority, CAST(o_orderdate::DATE AS VARCHAR), CAST(o_orderdate::DATE AS VARCHAR) FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 3 = 0"""
+SQL["patient_tables"] = f"WITH {PATIENTS}, {ADMINS} SELECT 'administrations' AS events, count(*) AS n FROM adm WHERE pid = 7 UNION ALL SELECT 'progressions', count(*) FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'P' UNION ALL SELECT 'deaths', count(*) FROM surv WHERE pid = 7 AND event = 1"
+
 #: Columns that are dates in the SQL above; they leave it as ISO text.
 DATES = {
     "rwos_records": ["index_date", "event_date"], "episodes_gap_islands": ["start", "end"], "lot_greedy": ["start", "end"], "lot_lines": ["start_date", "end_date"], "lot_sql_mart": ["line_start_date", "line_end_date"],

@@ -56,7 +56,7 @@ def _segment(*fields: Column | str) -> Column:
 def hl7_messages(patients: DataFrame, conditions: DataFrame, observations: DataFrame, medications: DataFrame) -> DataFrame:
     """patient_id, message: an ADT, an ORU and an RDE block for each patient, a blank line between two."""
     digits = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
-    code = lambda c, d, s: F.concat_ws("^", F.col(c), escape(F.coalesce(F.col(d), F.lit(""))), F.lit(s))
+    code = lambda c, d, s: F.concat_ws("^", F.coalesce(F.col(c), F.lit("")), escape(F.coalesce(F.col(d), F.lit(""))), F.lit(s))
     pid = _segment("PID", "1", "", F.col("patient_id"), "", "", "", digits("date_of_birth"), F.upper(F.left("sex", F.lit(1))))
     parts = [
         patients.select("patient_id", F.lit(0).alias("o"), F.lit("").alias("i"), F.concat_ws("\r", _segment("MSH", "^~\\&", "app", "fac", "app", "fac", "", "", "ADT^A01", F.col("patient_id"), "P", "2.5.1"), pid).alias("s")),

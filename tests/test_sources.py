@@ -154,3 +154,15 @@ def test_notes_source(spark, tmp_path):
         (tmp_path / who / "notes").mkdir(parents=True, exist_ok=True)
         (tmp_path / who / "notes" / f"{name}.txt").write_text(text)
     assert [tuple(r) for r in files.notes(spark, str(tmp_path)).orderBy("note_order").collect()] == [("P1", "initial_consult", "a", 1), ("P1", "progress_note", "b", 2)]
+
+
+def test_cohort_folder(spark, people, tmp_path):
+    from vitalspark import derive
+
+    sinks.write_extracts({"patients.csv": people, "medication_administrations.csv": synthetic.medications(people)}, str(tmp_path))
+    found = derive.derive(spark, str(tmp_path))
+    one = found.summary.first()
+    assert one.n_patients == 200 and 100 < one.n_treated < 180 and found.warnings.count() == 0 and found.records.count() == 200
+    assert found.first_line_classes.agg(F.sum("n")).first()[0] == one.n_treated
+    with pytest.raises(FileNotFoundError):
+        derive.derive(spark, str(tmp_path / "nothing"))

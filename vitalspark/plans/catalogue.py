@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from vitalspark.functions import coerce, dates, drugs, registries, units
 from vitalspark.operators import audit, cohort, notes, quality_gate, reconcile, survival, therapy
 from vitalspark import types
+from vitalspark.derive import derive
 from vitalspark.plans import bindings as b
-from vitalspark.session import table
-from vitalspark.sources import files, staging
+from vitalspark.session import scratch_folder, table
+from vitalspark.sources import files, sinks, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,6 +187,16 @@ def derived_pipeline(spark, folder):
     return therapy.summary(b.patients(spark, folder), _lines(spark, folder), median)
 
 
+@query
+def derived_folder(spark, folder):
+    """The derived run over a cohort folder: the tables written as flat extracts and read back."""
+    place = scratch_folder(spark)
+    given = b.administrations(spark, folder).select("patient_id", F.col("drug").alias("display"), F.col("start").alias("start_date"), F.col("end").alias("end_date"))
+    progressed = b.progressions(spark, folder).select("patient_id", F.col("date").alias("event_date"), F.lit("on_treatment_progression").alias("progression_type"))
+    sinks.write_extracts({"patients.csv": b.patients(spark, folder), "medication_administrations.csv": given, "progression_events.csv": progressed}, f"{place}/csv")
+    return derive(spark, place).summary
+
+
 # ---- decision log and records
 
 DECISION = ("pkey", "source_column")

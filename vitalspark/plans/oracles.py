@@ -264,6 +264,8 @@ SELECT c_custkey AS patient_id, {_pick("c_custkey", *notes.HISTOLOGIES)} AS hist
   prg.p IS NOT NULL AS progression_mentioned, CAST(prg.d AS VARCHAR) AS progression_date, array_to_string({notes.SITES}[1:coalesce(n, 0)], ',') AS new_metastatic_sites, coalesce(t, '') AS treatments_mentioned
 FROM customer LEFT JOIN given ON given.p = c_custkey LEFT JOIN prg ON prg.p = c_custkey LEFT JOIN var ON var.p = c_custkey"""
 
+SQL["derived_folder"] = SQL["derived_pipeline"]
+
 SQL["all_conflicts"] = """WITH v AS (SELECT DISTINCT user_id AS pkey, event_type AS source, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT a.pkey, a.source AS source_a, a.k AS value_a, b.source AS source_b, b.k AS value_b FROM v a JOIN v b ON a.pkey = b.pkey AND a.source < b.source AND a.k <> b.k"""
 

@@ -143,3 +143,39 @@ def test_spotsigs_similar(spark, odd):
     by = {r.fingerprint: np.frombuffer(base64.b64decode(r.fingerprint.split(":")[1]), "<u4") for r in spotsigs.fingerprints(odd).collect()}
     want = sum(spotsigs.likeness(by[a], by[b]) >= 0.5 for a in by for b in by if a < b and len(by[a]) and len(by[b]))
     assert pairs.count() == want and members.count() == odd.count()
+
+
+def boilerplate_crowd(groups: int, alike: int) -> list[tuple[int, str]]:
+    """Documents that share 60 words, in groups of three of which the first two are linked at 0.75 to 0.8 and the third isn't, and `alike` copies of a long text with another last word, but for a few with changed words all through."""
+    import random
+
+    rng = random.Random(11)
+    shared = [f"b{i}" for i in range(60)]
+    out = []
+    for g in range(groups):
+        own = [f"g{g}w{i}" for i in range(50)]
+        near, far = own.copy(), own.copy()
+        near[25] = near[5] = "x"  # ten of 106 shingles: 96 of 116 shared
+        for i in range(2, 50, 8):
+            far[i] = "y"
+        out += [shared + own, shared + near + ["end"] * rng.randrange(3), shared + far]
+    long = [f"l{i}" for i in range(400)]
+    for k in range(alike):
+        out.append([*long, f"last{k}"])
+    for k in range(20):  # linked with half of its own kind, and with none of the others
+        out.append([w if i % 9 or i > 40 * (k % 10) + 90 else f"z{i}" for i, w in enumerate(long)] + [f"own{k}"])
+    rng.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("region", [near_dedup.REGION, 16])
+def test_near_duplicates_in_crowds(spark, monkeypatch, region):
+    """Regions crowded at every depth: no link is lost, however small regions are."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    docs = spark.createDataFrame(boilerplate_crowd(250, 300), "doc_id long, text string")
+    made = []
+    parts = near_dedup._dealt
+    monkeypatch.setattr(near_dedup, "_dealt", lambda rows: made.append(rows.groupBy("region").count().agg({"count": "max"}).first()[0]) or parts(rows))
+    got = near_dedup.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(docs.collect())
+    assert max(made) <= region

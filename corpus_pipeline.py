@@ -14,28 +14,28 @@ from vitalspark.llm.common import table, tokenizer_file, without, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated quality score is 0.5 or more."""
+    """Documents whose calibrated quality score is 0.5 or more.  Null and empty texts are scored like any other; equal rows stay or go together."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest doc_id, of each group of near-duplicates; rows of one doc_id stay or go together."""
+    """One document, the one of the smallest doc_id, of each group of near-duplicates; rows of one doc_id stay or go together.  Null and empty texts, and rows without doc_id, are linked with nothing and stay."""
     return without(docs, near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside an occurrence of a benchmark window."""
+    """Documents without a word inside an occurrence of a benchmark window.  Null and empty texts have no words and stay, as do rows without doc_id; rows of one doc_id stay or go together."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return decontaminate.keep_clean(docs, found)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with what the spans of secrets cover replaced, and n_chars counted anew."""
+    """All documents, with what the spans of secrets cover replaced, and n_chars counted anew where text changed.  Null texts stay null; repeated rows each have their result."""
     return secrets.redact(docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids (array<int>), same (whether they decode to the text) of all documents."""
+    """doc_id, n_ids, ids (array<int>), same (whether they decode to the text) of all documents.  A null text counts as empty; repeated rows each have their result."""
     return sentencepiece_viterbi.encode_and_check(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

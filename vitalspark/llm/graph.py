@@ -18,6 +18,15 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+#: Rows of a few longs up to which a table is broadcast (some 10 MB); a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def joined(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """salted_join(), or without a shuffle where `rows`, the most rows that small can have, are few."""
+    return big.join(F.broadcast(small), on, how) if rows <= BROADCAST_ROWS else salted_join(big, small, on, how, salts)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component: the smallest node reachable) for the nodes of undirected edges (u, v), longs.
 
@@ -27,13 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     edges = written(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    nodes = 2 * edges.count()  # at most; from the footers of the written table
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined(both.where("v > u"), least, ["u"], nodes).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: u's smaller neighbours and u itself go to the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = salted_join(large, small, ["u"])
+        pairs = joined(large, small, ["u"], nodes)
         star = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         edges = written(spark, star.where("u <> v").distinct(), "edges")
         # Done when every node has one parent and no parent has one.
@@ -49,14 +59,14 @@ def extend(known: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components `known` (node, component), or none, with more links (u, v): only the links between components are worked on."""
     if known is None:
         return written(links.sparkSession, components(links), "components")
-    comp = known.select(F.col("node"), "component")
-    ends = salted_join(links, comp.select(F.col("node").alias("u"), F.col("component").alias("a")), ["u"], "left")
-    ends = salted_join(ends, comp.select(F.col("node").alias("v"), F.col("component").alias("b")), ["v"], "left")
+    comp, rows = known.select(F.col("node"), "component"), known.count()
+    ends = joined(links, comp.select(F.col("node").alias("u"), F.col("component").alias("a")), ["u"], rows, "left")
+    ends = joined(ends, comp.select(F.col("node").alias("v"), F.col("component").alias("b")), ["v"], rows, "left")
     between = written(links.sparkSession, ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v").distinct(), "between")
     if not between.limit(1).count():
         return known
-    joined = written(links.sparkSession, components(between), "components")
+    moved = written(links.sparkSession, components(between), "components")
     # A node that no link had before is a component of its own name.
-    both = known.unionByName(joined.join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
-    to = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
-    return written(links.sparkSession, salted_join(both, to, ["component"], "left").select("node", F.coalesce("least", "component").alias("component")), "components")
+    both = known.unionByName(moved.join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return written(links.sparkSession, joined(both, to, ["component"], moved.count(), "left").select("node", F.coalesce("least", "component").alias("component")), "components")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
 from vitalspark.llm.common import partitions, scratch, sized, small_batches, written
-from vitalspark.llm.graph import extend, salted_join
+from vitalspark.llm.graph import extend, joined, salted_join
 
 SHINGLE, PERCENT = 5, 75
 SLOTS, ORDERS, DEPTHS, REGION = 128, 16, (2, 4, 8, 16, 32, 64), 256
@@ -383,7 +383,7 @@ def _near_duplicates(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
 
     def named(frame: DataFrame, known: DataFrame, c: str) -> DataFrame:
         found = known.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
-        return salted_join(frame, found, [c], "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
+        return joined(frame, found, [c], known.count(), "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
 
     # Each class's likeliest candidate; then the other candidates between the components found.
     tried = written(spark, _likeliest(pairs), "tried")
@@ -415,7 +415,7 @@ def _near_duplicates(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     # A doc_id with several texts ties their classes together.
     ties = same.join(alone, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     known = extend(known, ties)
-    classes = salted_join(classes.select("d1", "d2", "rep"), known.select(F.col("node").alias("rep"), "component"), ["rep"], "left", salts=1)
+    classes = joined(classes.select("d1", "d2", "rep"), known.select(F.col("node").alias("rep"), "component"), ["rep"], known.count(), "left", salts=1)
     names = written(spark, classes.select("d1", "d2", F.coalesce("component", "rep").alias("component")), "names", keep=True)
     out = salted_join(rows.select("doc_id", "n_shingles", "d1", "d2"), names, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component"))

@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = joined(both.where("v > u"), least, ["u"], nodes).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined(both.where("v > u"), least, ["u"], nodes).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # repeated rows go with the last distinct()
         # small-star: u's smaller neighbours and u itself go to the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = joined(large, small, ["u"], nodes)

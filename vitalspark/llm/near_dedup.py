@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm import words as W
-from vitalspark.llm.common import partitions, scratch, sized, small_batches, written
+from vitalspark.llm.common import BROADCAST_IDS, partitions, scratch, small_batches, written
 from vitalspark.llm.graph import extend, joined, salted_join
 
 SHINGLE, PERCENT = 5, 75
@@ -181,7 +181,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _trees(regions: DataFrame, least: float) -> DataFrame:
-    """u, v, alike: the spanning trees of the regions; where a region lies in a crowded one (top), also a row (centre, centre) with top and the region's size n."""
+    """u, v, alike: the spanning trees of the regions; where a region lies in a crowded one (top), also a row (centre, centre) with top, the region's size n and the centre's signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cut in _by_region(batches):
@@ -192,17 +192,19 @@ def _trees(regions: DataFrame, least: float) -> DataFrame:
                     continue
                 alike = _alike(sig[a:b])
                 if top[a].is_valid:
-                    centre = int(rep[a + int(np.argmax(alike.sum(axis=1)))])
-                    out.append((centre, centre, 1.0, top[a].as_py(), int(b - a)))
+                    at = a + int(np.argmax(alike.sum(axis=1)))
+                    out.append((int(rep[at]), int(rep[at]), 1.0, top[a].as_py(), int(b - a), sig[at].tobytes()))
                 for i, j in _spanning(alike, least):
                     x, y = int(rep[a + i]), int(rep[a + j])
                     if x != y:
-                        out.append((min(x, y), max(x, y), float(alike[i, j]), None, None))
+                        out.append((min(x, y), max(x, y), float(alike[i, j]), None, None, None))
             if out:
-                u, v, s, t, n = zip(*out, strict=True)
-                yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "alike": pa.array(s, pa.float64()), "top": pa.array(t, pa.int64()), "n": pa.array(n, pa.int64())})
+                u, v, s, t, n, c = zip(*out, strict=True)
+                yield pa.record_batch(
+                    {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "alike": pa.array(s, pa.float64()), "top": pa.array(t, pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(c, pa.binary())}
+                )
 
-    return _dealt(regions.select("region", "rep", "top", "sig")).mapInArrow(run, "u long, v long, alike double, top long, n long")
+    return _dealt(regions.select("region", "rep", "top", "sig")).mapInArrow(run, "u long, v long, alike double, top long, n long, sig binary")
 
 
 def _suspects(rows: DataFrame, least: float) -> DataFrame:
@@ -242,22 +244,23 @@ def _pair_likeness(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, alike double")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents among ids."""
-    wanted = written(docs.sparkSession, ids.distinct(), "ids")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(wanted), "doc_id", "left_semi")
+def _texts(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text of the documents among ids (doc_id, at most `rows` rows, repeated ones too)."""
+    ids = F.broadcast(ids) if rows <= BROADCAST_IDS else ids.distinct()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose full shingle sets have 100 * intersection >= percent * union.
+    """The pairs (u, v) of doc_ids whose full shingle sets have 100 * intersection >= percent * union; a pair may come again where a doc_id has several texts.
 
     The partners of one u stream past its text, which comes once for each of the GROUPS groups that they are dealt over.
     """
-    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
     pairs = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(GROUPS)).cast("int").alias("s"))
-    partners = salted_join(pairs, texts.select(F.col("doc_id").alias("v"), "text"), ["v"], salts=2).select("u", "s", F.lit(1).alias("part"), "v", "text")
-    firsts = pairs.select("u", "s").distinct().join(texts.select(F.col("doc_id").alias("u"), "text"), "u").select("u", "s", F.lit(0).alias("part"), F.col("u").alias("v"), "text")
-    rows = firsts.unionByName(partners).repartition(partitions(docs.sparkSession), "u", "s").sortWithinPartitions("u", "s", "part")
+    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")), 2 * pairs.count())
+    firsts = pairs.select("u", "s").distinct().select(F.col("u").alias("doc_id"), "u", "s", F.lit(0).alias("part"))
+    wanted = firsts.unionByName(pairs.select(F.col("v").alias("doc_id"), "u", "s", F.lit(1).alias("part")))
+    rows = salted_join(wanted, texts, ["doc_id"], salts=2).select("u", "s", "part", F.col("doc_id").alias("v"), "text")
+    rows = rows.repartition(partitions(docs.sparkSession), "u", "s").sortWithinPartitions("u", "s", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, []  # the sets of u: several if its doc_id has several texts
@@ -274,7 +277,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle:
                         own.append(found)
             yield pa.record_batch({"u": batch.column(0), "v": batch.column(3)}).filter(pa.array(good))
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -367,18 +370,22 @@ def _near_duplicates(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     classes = written(spark, nodes.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("low").alias("low")), "classes")
     regions, crowd = _regions(classes)
     short = classes.select("rep", F.col("low").alias("sig"))
-    regions = written(spark, salted_join(regions, short, ["rep"], salts=1), "regions")
+    # Rows of crowds stand in the same table, without a region.
+    both = regions.unionByName(crowd.withColumn("region", F.lit(None).cast("long")))
+    both = written(spark, salted_join(both, short, ["rep"], salts=1), "regions")
+    regions, crowd = both.where("region IS NOT NULL"), both.where("region IS NULL").select("top", "rep", "sig")
     least = percent / 100 - SLACK
 
     trees = written(spark, _trees(regions, least), "trees")
-    centres = trees.where("top IS NOT NULL").groupBy("top").agg(F.max_by("u", F.struct("n", "u")).alias("centre"))
-    around = salted_join(crowd, centres, ["top"]).where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
+    centres = trees.where("top IS NOT NULL").groupBy("top").agg(F.max_by(F.struct("u", "sig"), F.struct("n", "u")).alias("c")).select("top", F.col("c.u").alias("centre"), F.col("c.sig").alias("sv"))
+    around = salted_join(crowd, centres, ["top"]).where("rep <> centre")
+    around = around.select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v"), F.col("sig").alias("su"), "sv")
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         pairs = salted_join(pairs, short.select(F.col("rep").alias("u"), F.col("sig").alias("su")), ["u"])
         return salted_join(pairs, short.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), ["v"])
 
-    pairs = trees.where("top IS NULL").select("u", "v", "alike").union(_pair_likeness(with_signatures(around), least))
+    pairs = trees.where("top IS NULL").select("u", "v", "alike").union(_pair_likeness(around, least))
     pairs = written(spark, pairs.groupBy("u", "v").agg(F.max("alike").alias("alike")), "pairs")
 
     def named(frame: DataFrame, known: DataFrame, c: str) -> DataFrame:
@@ -398,15 +405,13 @@ def _near_duplicates(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         found = written(spark, confirm(more, docs, percent, shingle), "links")
         known, tried = extend(known, found), tried.select("u", "v").union(more)
     # Classes of regions and crowds that are still of several components: exactly, whatever region they are in or fell out of.
-    left = named(regions, known, "rep").withColumnRenamed("comp_rep", "comp")
-    mixed = left.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("region")
-    suspects = _suspects(salted_join(left, mixed, ["region"], "left_semi"), least)
-    loose = written(spark, named(crowd.distinct(), known, "rep"), "loose")
+    suspects = _suspects(named(regions, known, "rep").withColumnRenamed("comp_rep", "comp"), least)
+    loose = written(spark, named(crowd.select("top", "rep"), known, "rep"), "loose")
     mixed = loose.groupBy("top").agg(F.min("comp_rep").alias("a"), F.max("comp_rep").alias("b")).where("a <> b").select("top")
     loose = salted_join(loose, mixed, ["top"], "left_semi").select("rep").union(suspects).distinct()
     loose = written(spark, named(loose, known, "rep").select(F.col("rep").alias("doc_id"), F.col("comp_rep").alias("comp")), "loose")
     if loose.limit(1).count():
-        texts = _texts(docs, loose.select("doc_id"))
+        texts = _texts(docs, loose.select("doc_id"), loose.count())
         more = written(spark, _pair_likeness(with_signatures(_shared_rare(texts, loose, percent, shingle).join(tried, ["u", "v"], "left_anti")), least), "more")
         if more.limit(1).count():
             known = extend(known, written(spark, confirm(more.select("u", "v"), docs, percent, shingle), "links"))

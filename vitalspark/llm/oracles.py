@@ -76,6 +76,46 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS B
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
 """
 
+_TERMS11 = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+_P = "1 + (1000000000 * ({} + 1)) // ({} + {})"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_TERMS11}), []) AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c)::BIGINT AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, {_P.format("coalesce(c.c, 0)", "coalesce(n.n, 0)", "v.v")} AS p
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+l AS (SELECT t.lang, t.term, {_P.format("t.c", "s.n", "v.v")} AS q FROM (SELECT lang, term, sum(c)::BIGINT AS c FROM c GROUP BY lang, term) t
+  JOIN (SELECT lang, sum(n)::BIGINT AS n FROM n GROUP BY lang) s ON t.lang = s.lang JOIN v ON t.lang = v.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - l.q) * (p.p - l.q) // l.q FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE p.c > 0 AND p.p > l.q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+_TERMS13 = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _terms13(column: str) -> str:
+    return f"coalesce(regexp_extract_all(translate({column}, '{_UPPER}', '{_LOWER}'), {_TERMS13}), [])"
+
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_terms13('text')} AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+t AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(w) AS term FROM d) GROUP BY i, term),
+b AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest(w) AS term FROM (SELECT DISTINCT item_id, text, {_terms13('text')} AS w FROM benchmark)) GROUP BY item_id, term),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+m AS (SELECT i, doc_id, 100 - 75 + (75 * len(w) * docs) // words AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT item_id, m.i, m.doc_id, sum(r * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM b JOIN f USING (term) JOIN t USING (term) JOIN m ON t.i = m.i GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, i) AS INTEGER) AS rank FROM x WHERE score > 0) WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4, "op7_license_scan": OP7, "op9_minhash_near_dedup": OP9, "op10_decontamination": OP10}
+    return {"op4_substring_dedup": OP4, "op7_license_scan": OP7, "op9_minhash_near_dedup": OP9, "op10_decontamination": OP10, "op11_source_divergence": OP11, "op13_ranked_search": OP13}

@@ -28,6 +28,8 @@ _LOWERED = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.
 SPACE_WORDS = ~((_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D)))
 #: True at bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lower-cased.
 ALNUM_WORDS = (_ALL >= 0x80) | ((_LOWERED >= 0x61) & (_LOWERED <= 0x7A)) | ((_ALL >= 0x30) & (_ALL <= 0x39))
+#: True at bytes of [^\x00-\x40\x5B-\x60\x7B-\x7F]+, before or after A-Z are lower-cased.
+LETTER_WORDS = (_ALL >= 0x80) | ((_LOWERED >= 0x61) & (_LOWERED <= 0x7A))
 
 
 class Words(NamedTuple):
@@ -92,12 +94,13 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         low = high
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: bool) -> Words:
-    """Words of the documents whose bytes are data[offsets[i]:offsets[i + 1]]."""
-    n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(none.astype(np.uint64), none, none, none)
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWERED[data]
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of the words of the documents whose bytes are data[offsets[i]:offsets[i + 1]]."""
     inside = classes[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -105,7 +108,16 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower:
     full = offsets[1:] > offsets[:-1]
     begins, ends = offsets[:-1][full], offsets[1:][full] - 1
     first[begins], last[ends] = inside[begins], inside[ends]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def tokenize(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: bool) -> Words:
+    """Words of the documents whose bytes are data[offsets[i]:offsets[i + 1]]."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Words(none.astype(np.uint64), none, none, none)
+    start, end = spans(data, offsets, classes)
     values = (_BYTE_VALUES[_LOWERED] if lower else _BYTE_VALUES)[data]
     return Words(span_hash(prefix_sums(values), start, end), np.searchsorted(offsets, start, side="right") - 1, start, end)
 

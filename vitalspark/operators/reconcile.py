@@ -28,11 +28,15 @@ def history(log: DataFrame, **key: object) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], order: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of both, the newest by `order` for each key; columns of keep_first hold the key's least value.
+    """newest() of both."""
+    return newest(old.unionByName(new), key, order, keep_first)
+
+
+def newest(both: DataFrame, key: tuple[str, ...], order: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
+    """The newest row by `order` for each key; columns of keep_first hold the key's least value.
 
     A row with a null in the key replaces nothing and is replaced by nothing.
     """
-    both = old.unionByName(new)
     whole = F.lit(True)
     for k in key:
         whole = whole & F.col(k).isNotNull()

@@ -14,7 +14,7 @@ from vitalspark import types
 from vitalspark.derive import derive
 from vitalspark.plans import bindings as b
 from vitalspark.session import scratch_folder, table
-from vitalspark.sources import files, sinks, staging
+from vitalspark.sources import files, sinks, splits, staging, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,6 +237,39 @@ def schema_upsert(spark, folder):
     return reconcile.upsert(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ("pkey", "canonical_name"), "id", keep_first=("first_seen",)).select("pkey", "canonical_name", "id", "first_seen")
 
 
+def _event_signals(spark, folder):
+    k = F.col("k").cast("string")
+    return b.signals(spark, folder).select(
+        F.col("id").cast("string").alias("id"), F.lit("default").alias("workspace_key"), F.col("pkey").cast("string").alias("pkey"), "source", F.col("pkey").cast("string").alias("external_id"),
+        F.col("occurred_at").cast("string").alias("occurred_at"), F.create_map(F.lit("k"), k).alias("columns"), F.timestamp_seconds("id").alias("ingested_at"),
+    )
+
+
+@query
+def store_signals(spark, folder):
+    """Signals upserted into a store in three batches, the newest of each record staying, and what a subject's last record is."""
+    kept, rows = store.Store(spark, scratch_folder(spark)), _event_signals(spark, folder)
+    for part in (1, 0, 2):
+        kept.upsert("signals", rows.where(F.col("id").cast("long") % 3 == part))
+    last = kept.latest_row().select("pkey", F.col("id").alias("last_id"))
+    return kept.table("signals").join(last, "pkey").select("pkey", "source", F.col("id").cast("long").alias("id"), F.col("columns")["k"].alias("k"), F.col("last_id").cast("long").alias("last_id"))
+
+
+@query
+def store_decisions(spark, folder):
+    """A log of decisions appended week by week, compacted, and the last decision of each column in it."""
+    kept = store.Store(spark, scratch_folder(spark))
+    rows = b.decisions(spark, folder).select(
+        F.col("id").cast("string").alias("id"), "workspace_key", F.col("pkey").cast("string").alias("pkey"), "source", "source_column", F.lit("text").alias("source_data_type"), F.lit("").alias("source_description"), F.array(F.lit("x")).alias("source_samples"),
+        "verdict", "canonical_name", F.lit(False).alias("is_global_target"), "similarity_score", F.lit("").alias("reason"), (F.col("verdict") == "unclear").alias("needs_review"), "decided_by", F.col("decided_at").cast("timestamp").alias("decided_at"), F.col("id").alias("n"),
+    )
+    for week in (("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2100-01-01"), ("1900-01-01", "2024-01-01")):
+        kept.append_decisions(rows.where(F.col("decided_at").between(*map(F.lit, week)) & (F.col("decided_at") < week[1])))
+    kept.tables["decisions"].compact()
+    counts = kept.table("decisions").groupBy("pkey", "source_column").agg(F.count("*").alias("n"))
+    return kept.latest_decisions().join(counts, ["pkey", "source_column"]).select("pkey", "source_column", F.col("id").cast("long").alias("id"), "verdict", "n")
+
+
 @query
 def merged_record(spark, folder):
     rows = b.signals(spark, folder).select(
@@ -316,6 +349,16 @@ def source_records(spark, folder):
     return _tall(spark, folder).select("pkey", "source", "external_id", "occurred_at", "source_column", "value", "source_data_type", "source_description")
 
 
+@query
+def split_sources(spark, folder):
+    """Messages and flat extracts written as files of many records, and read back in parts of a file."""
+    at = scratch_folder(spark)
+    b.messages(spark, folder).select("text").write.text(f"{at}/messages")
+    b.extracts(spark, folder).select("name", "text").write.partitionBy("name").text(f"{at}/extracts")
+    found = files.hl7_records(splits.read_messages(spark, f"{at}/messages")).unionByName(files.extract_records(splits.read_extract_rows(spark, f"{at}/extracts")))
+    return files.tall(found).select("pkey", "source", "external_id", "occurred_at", "source_column", "value", "source_data_type", "source_description")
+
+
 @query
 def source_formats(spark, folder):
     """Files by the format told, and what can't be read of them with some broken ones beside."""

@@ -152,15 +152,25 @@ _CELL = r'(?:"(?:[^"]++|"")*+"[^,\r\n]*+|"[^\r\n]*+|[^",\r\n][^,\r\n]*+)?+'
 LINE = f"{_CELL}(?:,{_CELL})*+"
 
 
+def csv_cells(line: Column | str) -> Column:
+    """Array of the trimmed cells of a line of a flat extract, without their quotes."""
+    cells = F.regexp_extract_all(line, F.lit(f"(?:^|,)({_CELL})"), F.lit(1))
+    plain = F.transform(cells, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.transform(plain, lambda x: F.trim(x))
+
+
+#: Files of flat extracts up to which their headers are broadcast.
+FEW_FILES = 100_000
+
+
 def csv_rows(files: DataFrame) -> DataFrame:
     """name, line (its place), row (map of lower-case header to trimmed value) of flat extracts; a byte order mark is no part of the first header.
 
-    A file's lines are spread over tasks; a file is one value of Spark's, so of 2 GB at most: read_extract() takes larger ones.
+    A file's lines are spread over tasks; a file is one value of Spark's, so of 2 GB at most: splits.read_extract_rows() takes larger ones, in parts.
     """
     text = F.regexp_replace("text", "^﻿", "")
     lines = files.where("format = 'csv'").select("name", F.posexplode(F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: F.trim(x) != "")).alias("line", "text"))
-    cells = F.transform(F.regexp_extract_all("text", F.lit(f"(?:^|,)({_CELL})"), F.lit(1)), lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
-    lines = lines.withColumn("cells", F.transform(cells, lambda x: F.trim(x)))
+    lines = lines.withColumn("cells", csv_cells("text"))
     head = lines.where("line = 0").select("name", F.transform("cells", F.lower).alias("head"))
     body = lines.where("line > 0").join(head, "name")
     return body.select("name", "line", F.map_from_entries(F.filter(F.arrays_zip("head", "cells"), lambda x: x["head"].isNotNull())).alias("row"))
@@ -174,6 +184,11 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_records(files: DataFrame) -> DataFrame:
     """One source record of each patient of a file: the first value that isn't empty of each field, in the file's order."""
+    return extract_records(csv_rows(files))
+
+
+def extract_records(rows: DataFrame) -> DataFrame:
+    """csv_records() of rows (name, line, row)."""
     row = F.col("row")
 
     def cell(c: str) -> Column:
@@ -189,7 +204,7 @@ def csv_records(files: DataFrame) -> DataFrame:
         "histology": cell("histology"),
         "occurred_at": F.coalesce(*map(cell, DATE_HEADERS)),
     }
-    rows = csv_rows(files).select("name", "line", cell("patient_id").alias("pkey"), *(v.alias(k) for k, v in values.items())).where("pkey IS NOT NULL")
+    rows = rows.select("name", "line", cell("patient_id").alias("pkey"), *(v.alias(k) for k, v in values.items())).where("pkey IS NOT NULL")
     first = rows.groupBy("name", "pkey").agg(*(F.min_by(k, F.when(F.col(k).isNotNull(), F.col("line"))).alias(k) for k in values))
     return _record(first.select("name", "pkey", F.col("loinc.a").alias("loinc"), F.col("loinc.b").alias("lab_display"), "drug", "icd10", "ecog", "histology", F.coalesce("occurred_at", F.lit("")).alias("occurred_at")), "csv")
 

@@ -1,13 +1,13 @@
-"""The engine's tables as Parquet folders: decisions only ever grow, signals and schema rows are upserted."""
+"""The engine's tables: decisions only ever grow, signals and schema rows are upserted; all under a log of versions."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspark import types
 from vitalspark.operators import audit, reconcile
+from vitalspark.sources.versions import BUCKET, BUCKETS, VersionedTable
 
 
 class Store:
@@ -15,40 +15,31 @@ class Store:
 
     SCHEMAS = {"decisions": types.DECISION, "signals": types.SIGNAL, "schema_rows": types.SCHEMA_ROW, "dictionary": types.DICTIONARY}
     KEYS = {"signals": ("workspace_key", "source", "external_id"), "schema_rows": ("workspace_key", "pkey", "canonical_name")}
+    #: Column by which the newest row of a key is told, and columns that keep their first value.
+    ORDERS = {"signals": ("ingested_at", ()), "schema_rows": ("updated_at", ("first_seen_at",))}
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.tables = {name: VersionedTable(spark, f"{self.folder}/{name}", schema, self.KEYS.get(name, ()), buckets) for name, schema in self.SCHEMAS.items()}
 
-    def table(self, name: str) -> DataFrame:
-        """A table; empty if nothing was written."""
-        path, version = f"{self.folder}/{name}", self._version(name)
-        if version is None:
-            return self.spark.createDataFrame([], self.SCHEMAS[name])
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(path if name == "decisions" else f"{path}/v{version}")
-
-    def _version(self, name: str) -> int | None:
-        try:
-            if name == "decisions":
-                self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.folder}/{name}").limit(0).collect()
-                return 0
-            return self.spark.read.parquet(f"{self.folder}/{name}_versions").agg(F.max("version")).first()[0]
-        except AnalysisException:
-            return None
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table, or a version of it; empty if nothing was written."""
+        return self.tables[name].read(version)
 
     def append_decisions(self, rows: DataFrame) -> None:
         """The only way to write decisions."""
-        rows.select(*self.spark.createDataFrame([], types.DECISION).columns).write.mode("append").parquet(f"{self.folder}/decisions")
+        self.tables["decisions"].append(rows)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """A new version of a table; readers of the old one are not disturbed."""
-        version = (self._version(name) or 0) + 1
-        rows.select(*self.spark.createDataFrame([], self.SCHEMAS[name]).columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{self.folder}/{name}_versions")
+        """A new version of a table; readers of the old one are not disturbed.  Decisions can't be replaced."""
+        if name == "decisions":
+            raise ValueError("decisions are append-only")
+        self.tables[name].replace(rows)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        order, first = ("ingested_at", ()) if name == "signals" else ("updated_at", ("first_seen_at",))
-        old = self.table(name)
-        self.replace(name, reconcile.upsert(old, rows.select(old.columns), self.KEYS[name], order, first))
+        """Rows into the buckets of their keys, the newest of a key staying."""
+        order, first = self.ORDERS[name]
+        self.tables[name].upsert(rows, lambda rows: reconcile.newest(rows, (BUCKET, *self.KEYS[name]), order, first))
 
     def latest_decisions(self) -> DataFrame:
         return reconcile.latest(self.table("decisions"), reconcile.CACHE_KEY)
@@ -65,11 +56,14 @@ class Store:
     def merged(self) -> DataFrame:
         return reconcile.merged(self.table("signals"))
 
+    def decision_history(self, **key: object) -> DataFrame:
+        """All decisions of a key, newest first."""
+        return reconcile.history(self.table("decisions"), **key)
+
     def reset(self) -> None:
-        """Empty signals and schema rows, and start a new decision log."""
-        for name in ("signals", "schema_rows"):
-            self.replace(name, self.table(name).limit(0))
-        self.spark.createDataFrame([], types.DECISION).write.mode("overwrite").parquet(f"{self.folder}/decisions")
+        """A version without rows of signals, schema rows and decisions; the log of versions keeps what was there."""
+        for name in ("signals", "schema_rows", "decisions"):
+            self.tables[name].replace(self.table(name).limit(0))
 
 
 def ingest(store: Store, tall: DataFrame, router: reconcile.Router | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from vitalspark.derive import derive
 from vitalspark.plans import bindings as b
 from vitalspark.session import scratch_folder, table
 from vitalspark.sources import files, sinks, splits, staging, store
+from vitalspark.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,6 +336,37 @@ def all_conflicts(spark, folder):
     return reconcile.conflicts(b.signals(spark, folder).where("k IS NOT NULL"), ("pkey",), value="k")
 
 
+# ---- streams: each runs, ends, and goes on from its checkpoint with what has come meanwhile
+
+
+@query
+def stream_latest(spark, folder):
+    """The last signal of each subject, of a stream whose second part is older than its first."""
+    at, rows = scratch_folder(spark), _event_signals(spark, folder)
+    kept = store.Store(spark, f"{at}/store")
+    for late in (False, True):
+        rows.where((F.col("occurred_at") < "2024-01-16") == late).write.mode("append").parquet(f"{at}/signals")
+        run = state.start_latest(spark.readStream.schema(types.SIGNAL).parquet(f"{at}/signals"), kept, f"{at}/checkpoint")
+        run.awaitTermination()
+    return kept.table("signals").select("pkey", F.col("id").cast("long").alias("id"), F.col("columns")["k"].alias("k"))
+
+
+@query
+def stream_routing(spark, folder):
+    """Values that wait for the decision on their column: a third of the subjects have theirs at once, a third later, a third never."""
+    at = scratch_folder(spark)
+    log = b.decisions(spark, folder).select("workspace_key", F.col("pkey").cast("string").alias("pkey"), "source", "source_column", "verdict", "canonical_name", "decided_by", F.col("decided_at").cast("timestamp").alias("decided_at"), F.col("id").cast("string").alias("id"))
+    values = log.select(*reconcile.CACHE_KEY, F.col("id").alias("external_id"), F.col("decided_at").cast("string").alias("occurred_at"), F.col("id").alias("value"))
+    first = reconcile.latest(log, reconcile.CACHE_KEY)
+    for part, part_of in ((1, values["occurred_at"] < "2024-01-16"), (2, values["occurred_at"] >= "2024-01-16")):
+        values.where(part_of).write.mode("append").parquet(f"{at}/values")
+        first.where(F.col("pkey").cast("long") % 3 == part).write.mode("append").parquet(f"{at}/decisions")
+        run = state.start_routing(*(spark.readStream.schema(x.schema).parquet(f"{at}/{n}") for x, n in ((values, "values"), (first, "decisions"))), f"{at}/routed", f"{at}/checkpoint")
+        run.awaitTermination()
+    routed = spark.read.schema(state.ROUTED).parquet(f"{at}/routed")
+    return routed.groupBy("pkey", "source_column", "kind", "verdict", "canonical_name").agg(F.count("*").alias("n"), F.max(F.when(F.col("kind") == "routed", F.col("value").cast("long"))).alias("last_value"))
+
+
 # ---- sources
 
 

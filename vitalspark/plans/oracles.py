@@ -287,6 +287,10 @@ SQL["split_sources"] = f"SELECT * FROM ({SQL['source_records']}) WHERE source <>
 SQL["store_signals"] = f"""WITH {SIGNALS}, one AS (SELECT pkey, source, max(id) AS id, arg_max(k, id) AS k, arg_max(occurred_at, id) AS t FROM sig GROUP BY pkey, source)
 SELECT CAST(pkey AS VARCHAR) AS pkey, source, id, CAST(k AS VARCHAR) AS k, first_value(id) OVER (PARTITION BY pkey ORDER BY t DESC, CAST(id AS VARCHAR) DESC) AS last_id FROM one"""
 SQL["store_decisions"] = f"WITH {DECISIONS} SELECT CAST(pkey AS VARCHAR) AS pkey, source_column, arg_max(id, (decided_at, CAST(id AS VARCHAR))) AS id, arg_max(verdict, (decided_at, CAST(id AS VARCHAR))) AS verdict, count(*) AS n FROM dec GROUP BY pkey, source_column"
+SQL["stream_latest"] = f"WITH {SIGNALS} SELECT CAST(pkey AS VARCHAR) AS pkey, arg_max(id, (occurred_at, CAST(id AS VARCHAR))) AS id, arg_max(CAST(k AS VARCHAR), (occurred_at, CAST(id AS VARCHAR))) AS k FROM sig GROUP BY pkey"
+SQL["stream_routing"] = f"""WITH {DECISIONS}, per AS (SELECT CAST(pkey AS VARCHAR) AS pkey, source_column, any_value(pkey % 3) AS part, any_value(verdict) AS verdict, any_value(canonical_name) AS canonical_name, count(*) AS n, max(id) AS last_value, min(decided_at) < '2024-01-16' AS early FROM dec GROUP BY dec.pkey, source_column)
+SELECT pkey, source_column, 'routed' AS kind, verdict, canonical_name, n, last_value FROM per WHERE part > 0
+UNION ALL SELECT pkey, source_column, 'request', NULL, NULL, 1, NULL FROM per WHERE part = 0 OR part = 2 AND early"""
 SQL["routing_decisions"] = f"""WITH {CHART}, hit AS (SELECT *, CASE WHEN source_column = 'lab_test_code' AND value = '718-7' THEN 'hemoglobin' WHEN source_column = 'lab_test_code' AND value = '2160-0' THEN 'creatinine'
   WHEN source_column = 'medication' AND value = 'Keytruda' THEN 'drug_name' WHEN source_column = 'diagnosis_code' AND value IN ({_KNOWN_ICD}) THEN 'diagnosis_code' END AS h FROM tll)
 SELECT pkey, source, source_column, CASE WHEN h IS NULL THEN 'rule' ELSE 'lookup' END AS decided_by, CASE WHEN h IS NULL THEN 'append' ELSE 'join' END AS verdict, coalesce(h, source_column) AS canonical_name,

@@ -69,6 +69,7 @@ def text_to_partial_date(value: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(s, pattern, group).try_cast("int")
 
+    # The seven forms of a date.
     day, month, year = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})-(\d{1,2})$", r"^(\d{4})$"
     slash, named, quarter = r"^(\d{1,2})/(\d{4})$", r"^([A-Za-z]{3,9})\s+(\d{4})$", r"^[Qq]([1-4])\s+(\d{4})$"
     stamp = r"^(\d{4})-(\d{2})-(\d{2})[T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?$"

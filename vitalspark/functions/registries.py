@@ -9,31 +9,31 @@ from vitalspark.functions.bind import bind
 
 #: LOINC code, canonical column, unit, data type, aliases.
 LOINC = (
-    ("26464-8", "wbc_count", "10*3/uL", "quantity_with_unit", "wbc|white blood"),
-    ("718-7", "hemoglobin", "g/dL", "quantity_with_unit", "hgb|hemoglobin"),
-    ("4544-3", "hematocrit", "%", "quantity_with_unit", "hct|hematocrit"),
-    ("777-3", "platelet_count", "10*3/uL", "quantity_with_unit", "plt|platelet"),
-    ("751-8", "absolute_neutrophil_count", "10*3/uL", "quantity_with_unit", "anc|neutrophil"),
-    ("731-0", "lymphocyte_count", "10*3/uL", "quantity_with_unit", "lymphocyte"),
-    ("2345-7", "glucose", "mg/dL", "quantity_with_unit", "glucose"),
-    ("2160-0", "creatinine", "mg/dL", "quantity_with_unit", "creatinine"),
-    ("3094-0", "bun", "mg/dL", "quantity_with_unit", "bun"),
-    ("2951-2", "sodium", "mEq/L", "quantity_with_unit", "sodium|na"),
-    ("2823-3", "potassium", "mEq/L", "quantity_with_unit", "potassium"),
-    ("2075-0", "chloride", "mEq/L", "quantity_with_unit", "chloride"),
-    ("2028-9", "co2", "mEq/L", "quantity_with_unit", "co2|bicarbonate"),
-    ("17861-6", "calcium", "mg/dL", "quantity_with_unit", "calcium"),
-    ("1751-7", "albumin", "g/dL", "quantity_with_unit", "albumin"),
-    ("1742-6", "alt", "U/L", "quantity_with_unit", "alt|sgpt"),
-    ("1920-8", "ast", "U/L", "quantity_with_unit", "ast|sgot"),
-    ("1975-2", "total_bilirubin", "mg/dL", "quantity_with_unit", "bilirubin"),
-    ("85319-2", "pdl1_tps_value", "%", "quantity_with_unit", "pdl1|pd-l1|tps"),
-    ("48676-1", "egfr_status", None, "coded_value", "egfr"),
-    ("48570-6", "alk_status", None, "coded_value", "alk"),
-    ("82115-7", "ros1_status", None, "coded_value", "ros1"),
-    ("21667-1", "kras_status", None, "coded_value", "kras"),
-    ("62862-8", "braf_status", None, "coded_value", "braf"),
-    ("89243-0", "ecog_at_advanced_diagnosis", None, "integer", "ecog"),
+    ("26464-8", "wbc_count", "10*3/uL", "quantity_with_unit", ("wbc", "white blood")),
+    ("718-7", "hemoglobin", "g/dL", "quantity_with_unit", ("hgb", "hemoglobin")),
+    ("4544-3", "hematocrit", "%", "quantity_with_unit", ("hct", "hematocrit")),
+    ("777-3", "platelet_count", "10*3/uL", "quantity_with_unit", ("plt", "platelet")),
+    ("751-8", "absolute_neutrophil_count", "10*3/uL", "quantity_with_unit", ("anc", "neutrophil")),
+    ("731-0", "lymphocyte_count", "10*3/uL", "quantity_with_unit", ("lymphocyte",)),
+    ("2345-7", "glucose", "mg/dL", "quantity_with_unit", ("glucose",)),
+    ("2160-0", "creatinine", "mg/dL", "quantity_with_unit", ("creatinine",)),
+    ("3094-0", "bun", "mg/dL", "quantity_with_unit", ("bun",)),
+    ("2951-2", "sodium", "mEq/L", "quantity_with_unit", ("sodium", "na")),
+    ("2823-3", "potassium", "mEq/L", "quantity_with_unit", ("potassium",)),
+    ("2075-0", "chloride", "mEq/L", "quantity_with_unit", ("chloride",)),
+    ("2028-9", "co2", "mEq/L", "quantity_with_unit", ("co2", "bicarbonate")),
+    ("17861-6", "calcium", "mg/dL", "quantity_with_unit", ("calcium",)),
+    ("1751-7", "albumin", "g/dL", "quantity_with_unit", ("albumin",)),
+    ("1742-6", "alt", "U/L", "quantity_with_unit", ("alt", "sgpt")),
+    ("1920-8", "ast", "U/L", "quantity_with_unit", ("ast", "sgot")),
+    ("1975-2", "total_bilirubin", "mg/dL", "quantity_with_unit", ("bilirubin",)),
+    ("85319-2", "pdl1_tps_value", "%", "quantity_with_unit", ("pdl1", "pd-l1", "tps")),
+    ("48676-1", "egfr_status", None, "coded_value", ("egfr",)),
+    ("48570-6", "alk_status", None, "coded_value", ("alk",)),
+    ("82115-7", "ros1_status", None, "coded_value", ("ros1",)),
+    ("21667-1", "kras_status", None, "coded_value", ("kras",)),
+    ("62862-8", "braf_status", None, "coded_value", ("braf",)),
+    ("89243-0", "ecog_at_advanced_diagnosis", None, "integer", ("ecog",)),
 )
 
 #: RxNorm code, drug, class, brand.
@@ -72,7 +72,23 @@ RXNORM = (
 )
 
 #: ICD-10 code, canonical column.
-ICD10 = tuple((c, "diagnosis_code") for c in "C34.00 C34.01 C34.02 C34.10 C34.11 C34.12 C34.2 C34.3 C34.90 C34.91 C34.92".split()) + tuple((c, "comorbidity_code") for c in "I10 E11 J44 F32".split())
+ICD10 = (
+    ("C34.00", "diagnosis_code"),
+    ("C34.01", "diagnosis_code"),
+    ("C34.02", "diagnosis_code"),
+    ("C34.10", "diagnosis_code"),
+    ("C34.11", "diagnosis_code"),
+    ("C34.12", "diagnosis_code"),
+    ("C34.2", "diagnosis_code"),
+    ("C34.3", "diagnosis_code"),
+    ("C34.90", "diagnosis_code"),
+    ("C34.91", "diagnosis_code"),
+    ("C34.92", "diagnosis_code"),
+    ("I10", "comorbidity_code"),
+    ("E11", "comorbidity_code"),
+    ("J44", "comorbidity_code"),
+    ("F32", "comorbidity_code"),
+)
 
 #: Hints in a column's name for drugs, and patterns of whole codes.
 DRUG_HINTS = ("drug", "medication", "medicine", "treatment", "rxnorm")
@@ -98,7 +114,7 @@ def alias_codes(name: Column) -> Column:
     hits = []
     for code, _, _, _, aliases in LOINC:
         found = F.lit(False)
-        for alias in aliases.split("|"):
+        for alias in aliases:
             found = found | F.contains(name, F.lit(alias.replace("-", "_").replace(" ", "_")))
         hits.append(F.when(found, code))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
@@ -111,23 +127,54 @@ def lookup(source_column: Column, samples: Column) -> Column:
     samples one drug, by name, brand or code; an alias of exactly one laboratory entry in the name.
     """
     both = F.struct(column_name(source_column).alias("name"), clean_samples(samples).alias("samples"))
-    return bind(bind(both, lambda x: _codes(x["name"], x["samples"])), _verdict)
+    return bind(both, lambda x: lookup_evidence(source_column, _sampled(x["samples"])))
+
+
+def lookup_evidence(source_column: Column, evidence: Column) -> Column:
+    """lookup() by what evidence() tells of all values of a column."""
+    return bind(bind(F.struct(column_name(source_column).alias("name"), evidence.alias("e")), lambda x: _codes(x["name"], x["e"])), _verdict)
+
+
+def _icd() -> Column:
+    return _entries(list(ICD10))
+
+
+def _drug(value: Column) -> Column:
+    return F.try_element_at(_entries([(k, x[0]) for x in RXNORM for k in (x[1], x[3].lower())] + [(x[0], x[0]) for x in RXNORM]), F.lower(value))
+
+
+def _is_icd(value: Column) -> Column:
+    return value.rlike(ICD10_CODE) & F.map_contains_key(_icd(), F.upper(value))
+
+
+def evidence(value: Column) -> Column:
+    """Aggregate of a column's values: what lookup() asks of all of them, however many: struct(n, least, most, icd_all, icd, drug_all, drug_least, drug_most)."""
+    clean = F.nullif(F.trim(value), F.lit(""))
+    drug = _drug(clean)
+    return F.struct(
+        F.count(clean).alias("n"), F.min(clean).alias("least"), F.max(clean).alias("most"), F.bool_and(F.when(clean.isNotNull(), _is_icd(clean))).alias("icd_all"), F.min(F.upper(clean)).alias("icd"),
+        F.bool_and(F.when(clean.isNotNull(), drug.isNotNull())).alias("drug_all"), F.min(drug).alias("drug_least"), F.max(drug).alias("drug_most"),
+    )
+
+
+def _sampled(clean: Column) -> Column:
+    """evidence() of an array of clean samples."""
+    drugs = F.transform(clean, _drug)
+    return F.struct(
+        F.size(clean).cast("long").alias("n"), F.array_min(clean).alias("least"), F.array_max(clean).alias("most"), F.forall(clean, _is_icd).alias("icd_all"), F.array_min(F.transform(clean, lambda x: F.upper(x))).alias("icd"),
+        (~F.exists(drugs, lambda x: x.isNull())).alias("drug_all"), F.array_min(drugs).alias("drug_least"), F.array_max(drugs).alias("drug_most"),
+    )
 
 
-def _codes(name: Column, clean: Column) -> Column:
+def _codes(name: Column, e: Column) -> Column:
     """struct(loinc, icd, drug, alias): what each strategy finds."""
-    some = F.size(clean) > 0
-    by_code = {x[0]: x for x in LOINC}
-    loinc_code = F.when(some & (F.size(F.array_distinct(clean)) == 1) & clean[0].isin(*by_code), clean[0])
-    icd = _entries(list(ICD10))
-    upper = F.transform(clean, lambda x: F.upper(x))
-    icd_code = F.when(some & F.forall(clean, lambda x: x.rlike(ICD10_CODE)) & F.forall(upper, lambda x: F.map_contains_key(icd, x)), F.array_min(upper))
-    keys = _entries([(k, x[0]) for x in RXNORM for k in (x[1], x[3].lower())] + [(x[0], x[0]) for x in RXNORM])
-    drugs = F.transform(clean, lambda x: F.try_element_at(keys, F.lower(x)))
+    some = e["n"] > 0
+    loinc_code = F.when(some & (e["least"] == e["most"]) & e["least"].isin(*(x[0] for x in LOINC)), e["least"])
+    icd_code = F.when(some & e["icd_all"], e["icd"])
     hinted = F.lit(False)
     for hint in DRUG_HINTS:
         hinted = hinted | F.contains(name, F.lit(hint))
-    drug = F.when(some & hinted & ~F.exists(drugs, lambda x: x.isNull()) & (F.size(F.array_distinct(drugs)) == 1), F.get(drugs, F.lit(0)))
+    drug = F.when(some & hinted & e["drug_all"] & (e["drug_least"] == e["drug_most"]), e["drug_least"])
     codes = alias_codes(name)
     alias = bind(codes, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
     return F.struct(loinc_code.alias("loinc"), icd_code.alias("icd"), drug.alias("drug"), alias.alias("alias"))
@@ -154,7 +201,7 @@ def _verdict(found: Column) -> Column:
 
 def loinc_aliases(spark: SparkSession) -> DataFrame:
     """alias, code, canonical_name."""
-    return spark.createDataFrame([(a.replace("-", "_").replace(" ", "_"), x[0], x[1]) for x in LOINC for a in x[4].split("|")], "alias string, code string, canonical_name string")
+    return spark.createDataFrame([(a.replace("-", "_").replace(" ", "_"), x[0], x[1]) for x in LOINC for a in x[4]], "alias string, code string, canonical_name string")
 
 
 def drug_names(spark: SparkSession) -> DataFrame:

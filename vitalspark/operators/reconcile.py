@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,17 +64,21 @@ def sound_verdicts(verdicts: DataFrame) -> DataFrame:
 
 
 def requests(tall: DataFrame, samples: int = 20) -> DataFrame:
-    """One request for each cache key of tall values: type and description of its first value, and up to `samples` distinct values."""
+    """One request for each cache key of tall values: type and description of its first value, what all its values tell the registries (evidence), and its `samples` least distinct values, for a router to look at."""
     first = F.struct("occurred_at", "external_id")
-    return tall.groupBy(*CACHE_KEY).agg(
-        F.min_by("source_data_type", first).alias("source_data_type"), F.min_by("source_description", first).alias("source_description"), F.slice(F.array_sort(F.collect_set("value")), 1, samples).alias("source_samples")
-    )
+    asked = tall.groupBy(*CACHE_KEY).agg(F.min_by("source_data_type", first).alias("source_data_type"), F.min_by("source_description", first).alias("source_description"), registries.evidence(F.col("value")).alias("evidence"))
+    # Spark keeps the least values of each partition before it shuffles them.
+    least = F.row_number().over(Window.partitionBy(*CACHE_KEY).orderBy("value"))
+    shown = tall.where("value IS NOT NULL").select(*CACHE_KEY, "value").distinct().withColumn("_n", least).where(F.col("_n") <= samples)
+    shown = shown.groupBy(*(F.col(k).alias(f"_{k}") for k in CACHE_KEY)).agg(F.array_sort(F.collect_list("value")).alias("source_samples"))
+    same = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in CACHE_KEY))
+    return asked.join(shown, same, "left").select(*asked.columns, F.coalesce("source_samples", F.array().cast("array<string>")).alias("source_samples"))
 
 
 def offline(tall: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(values whose columns the registries know, (source_column) held back): what can be routed without a router."""
-    asked = requests(tall)
-    known = asked.where(registries.lookup(F.col("source_column"), F.col("source_samples")).isNotNull()).select(*CACHE_KEY)
+    asked = tall.groupBy(*CACHE_KEY).agg(registries.evidence(F.col("value")).alias("evidence"))
+    known = asked.where(registries.lookup_evidence(F.col("source_column"), F.col("evidence")).isNotNull()).select(*CACHE_KEY)
     return tall.join(known, list(CACHE_KEY), "left_semi"), tall.join(known, list(CACHE_KEY), "left_anti").select("source_column").distinct()
 
 
@@ -81,7 +86,7 @@ def decide(tall: DataFrame, log: DataFrame, dictionary: DataFrame, router: Route
     """New decisions for the cache keys that the log has none for: registries first, then the router."""
     now = F.current_timestamp() if now is None else now
     asked = requests(tall).join(log.select(*CACHE_KEY).distinct(), list(CACHE_KEY), "left_anti")
-    asked = asked.withColumn("hit", registries.lookup(F.col("source_column"), F.col("source_samples")))
+    asked = asked.withColumn("hit", registries.lookup_evidence(F.col("source_column"), F.col("evidence"))).drop("evidence")
     known = asked.where("hit IS NOT NULL").select(*CACHE_KEY, "source_data_type", "source_description", "source_samples", F.lit("join").alias("verdict"), F.col("hit.canonical_name").alias("canonical_name"), F.lit(1.0).alias("similarity_score"), F.concat_ws(" ", "hit.registry", "hit.code", "hit.matched_on").alias("reason"), F.lit("lookup").alias("decided_by"))
     routed = sound_verdicts(router(asked.where("hit IS NULL").drop("hit"))).select(*known.columns)
     both = known.unionByName(routed).join(dictionary.select(F.col("name").alias("canonical_name"), F.lit(True).alias("is_global")), "canonical_name", "left")

@@ -14,11 +14,13 @@ from vitalspark import types
 from vitalspark.derive import derive
 from vitalspark.plans import bindings as b
 from vitalspark.session import scratch_folder, table
-from vitalspark.sources import files, sinks, splits, staging, store
+from vitalspark.sources import files, report, sinks, splits, staging, store
 from vitalspark.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Diagnosis codes that the registries know.
+MANY_CODES = ("C34.00", "C34.10", "C34.2", "C34.90", "J44")
 SEGMENT, NATION = ("c_mktsegment",), "c_nationkey"
 
 
@@ -330,6 +332,22 @@ def offline_hold(spark, folder):
     return kept.groupBy("source_column").agg(F.count("*").alias("n")).withColumn("held", F.lit(False)).unionByName(held.withColumns({"n": F.lit(0).cast("bigint"), "held": F.lit(True)}))
 
 
+@query
+def offline_many_values(spark, folder):
+    """Columns of many values: a nation's diagnoses, padded in many ways, are held if one order of it has a text behind the codes."""
+    codes = F.array(*map(F.lit, MANY_CODES))
+    orders = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k, odd = F.col("o_orderkey"), (F.col("c_nationkey") % 3 == 0) & (F.col("o_orderkey") % 5 == 0)
+    code = F.concat(F.repeat(F.lit(" "), (k % 30).cast("int")), F.get(codes, (k % len(MANY_CODES)).cast("int")))
+    tall = orders.select(
+        F.lit("default").alias("workspace_key"), F.col("c_nationkey").cast("string").alias("pkey"), F.lit("orders").alias("source"), k.cast("string").alias("external_id"), F.lit("").alias("occurred_at"), F.lit("reason").alias("source_column"),
+        F.when(odd, F.concat(F.lit("told: "), k.cast("string"))).otherwise(code).alias("value"), F.lit("text").alias("source_data_type"), F.lit("").alias("source_description"),
+    )
+    kept, _ = reconcile.offline(tall)
+    asked = reconcile.requests(tall).select("pkey", F.size("source_samples").cast("long").alias("n_samples"), F.col("source_samples")[0].alias("first_sample"))
+    return asked.join(kept.groupBy("pkey").agg(F.count("*").alias("n_kept")), "pkey", "left")
+
+
 @query
 def all_conflicts(spark, folder):
     """All values of all sources against each other."""
@@ -391,6 +409,24 @@ def split_sources(spark, folder):
     return files.tall(found).select("pkey", "source", "external_id", "occurred_at", "source_column", "value", "source_data_type", "source_description")
 
 
+def _broken_files(spark: SparkSession) -> DataFrame:
+    lines = "patient_id,ecog_at_advanced_diagnosis,icd10_code\n,1,C34.2\nX1,2.0,C34.2\nX2,high,C34.3\n\nX3,,\n,,"
+    rows = [("a.json", "{bad"), ("b.json", '{"resourceType": "Bundle"}'), ("c", "MSH|x"), ("d", "no format here"), ("e.csv", lines)]
+    broken = spark.createDataFrame(rows, "name string, text string")
+    return broken.withColumn("format", files.detect(F.col("name"), F.col("text")))
+
+
+@query
+def ingest_report(spark, folder):
+    """What becomes of customers' files and of some broken ones beside, without a router."""
+    found = b.bundles(spark, folder).unionByName(b.messages(spark, folder)).unionByName(b.extracts(spark, folder)).unionByName(_broken_files(spark))
+    kept = store.Store(spark, scratch_folder(spark))
+    kept.replace("dictionary", spark.createDataFrame([("diagnosis_code", "coded_value", "", [], None, None, None, "icd-10")], types.DICTIONARY))
+    told = report.ingest_files(kept, found).rows()
+    # Files without an error by format: the rest is told file by file.
+    return told.groupBy("part", F.when(F.col("detail").isNotNull() | (F.col("part") != "file") | (F.col("name") == "e.csv"), F.col("name")).alias("name"), "what", "detail").agg(F.sum("n").alias("n"))
+
+
 @query
 def source_formats(spark, folder):
     """Files by the format told, and what can't be read of them with some broken ones beside."""

@@ -116,7 +116,7 @@ def _case(values: list[str | None]) -> str:
     return "CASE k " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None) + " END"
 
 
-_ALIASES = ", ".join(f"('{a.replace('-', '_').replace(' ', '_')}', '{x[0]}')" for x in registries.LOINC for a in x[4].split("|"))
+_ALIASES = ", ".join(f"('{a.replace('-', '_').replace(' ', '_')}', '{x[0]}')" for x in registries.LOINC for a in x[4])
 _KEYS = ", ".join(f"('{k}', '{x[1]}', '{x[2]}')" for x in registries.RXNORM for k in (x[0], x[1], x[3].lower()))
 _ONCOLOGY = "[" + ", ".join(f"'{d}'" for d in drugs.ONCOLOGY) + "]"
 _CLASSES = ", ".join(f"('{d}', '{c}')" for c, names in (("tki", drugs.TKI), ("io", drugs.IO), ("chemo", drugs.CHEMO)) for d in names)
@@ -291,10 +291,23 @@ SQL["stream_latest"] = f"WITH {SIGNALS} SELECT CAST(pkey AS VARCHAR) AS pkey, ar
 SQL["stream_routing"] = f"""WITH {DECISIONS}, per AS (SELECT CAST(pkey AS VARCHAR) AS pkey, source_column, any_value(pkey % 3) AS part, any_value(verdict) AS verdict, any_value(canonical_name) AS canonical_name, count(*) AS n, max(id) AS last_value, min(decided_at) < '2024-01-16' AS early FROM dec GROUP BY dec.pkey, source_column)
 SELECT pkey, source_column, 'routed' AS kind, verdict, canonical_name, n, last_value FROM per WHERE part > 0
 UNION ALL SELECT pkey, source_column, 'request', NULL, NULL, 1, NULL FROM per WHERE part = 0 OR part = 2 AND early"""
+SQL["offline_many_values"] = """WITH v AS (SELECT CAST(c_nationkey AS VARCHAR) AS pkey, c_nationkey % 3 = 0 AND o_orderkey % 5 = 0 AS odd, CASE WHEN odd THEN 'told: ' || o_orderkey ELSE repeat(' ', o_orderkey % 30) || (['C34.00', 'C34.10', 'C34.2', 'C34.90', 'J44'])[CAST(o_orderkey % 5 + 1 AS INTEGER)] END AS value
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT pkey, least(count(DISTINCT value), 20) AS n_samples, min(value) AS first_sample, CASE WHEN NOT bool_or(odd) THEN count(*) END AS n_kept FROM v GROUP BY pkey"""
 SQL["routing_decisions"] = f"""WITH {CHART}, hit AS (SELECT *, CASE WHEN source_column = 'lab_test_code' AND value = '718-7' THEN 'hemoglobin' WHEN source_column = 'lab_test_code' AND value = '2160-0' THEN 'creatinine'
   WHEN source_column = 'medication' AND value = 'Keytruda' THEN 'drug_name' WHEN source_column = 'diagnosis_code' AND value IN ({_KNOWN_ICD}) THEN 'diagnosis_code' END AS h FROM tll)
 SELECT pkey, source, source_column, CASE WHEN h IS NULL THEN 'rule' ELSE 'lookup' END AS decided_by, CASE WHEN h IS NULL THEN 'append' ELSE 'join' END AS verdict, coalesce(h, source_column) AS canonical_name,
   CASE WHEN h IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity_score, coalesce(h = 'hemoglobin', false) AS is_global_target, false AS needs_review, CAST(1 AS INTEGER) AS n_samples FROM hit"""
+_HITS = SQL["routing_decisions"].partition("SELECT pkey, source, source_column, CASE")[0]
+SQL["ingest_report"] = f"""{_HITS}, kept AS (SELECT DISTINCT source, pkey FROM hit WHERE h IS NOT NULL), two AS (SELECT count(*) + 2 AS n, count(*) FILTER (source_column <> 'diagnosis_code') AS wrong FROM hit WHERE h IS NOT NULL)
+SELECT 'file' AS part, NULL AS name, f AS what, NULL AS detail, (SELECT count(*) FROM kept WHERE source = s) AS n FROM (VALUES ('fhir', 'epic_fhir_r4'), ('hl7v2', 'legacy_hl7v2'), ('csv', 'registry_csv_export')) t(f, s)
+UNION ALL SELECT 'file', name, f, error, n FROM (VALUES ('a.json', 'fhir', 'not a bundle', 0), ('b.json', 'fhir', 'no patient', 0), ('c', 'hl7v2', 'no patient', 0), ('d', NULL, 'unknown format', 0), ('e.csv', 'csv', NULL, 2)) t(name, f, error, n)
+UNION ALL SELECT 'line', 'e.csv', error, NULL, n FROM (VALUES ('no patient', 2), ('ECOG is no number', 1)) t(error, n)
+UNION ALL SELECT 'held', source, source_column, any_value(source_data_type), count(*) FROM hit WHERE h IS NULL GROUP BY source, source_column
+UNION ALL SELECT 'held', 'registry_csv_export', 'ecog_performance_status', 'integer', 1
+UNION ALL SELECT 'value', source, source_column, 'no code system', count(*) FROM hit WHERE h IS NOT NULL AND source_column <> 'diagnosis_code' GROUP BY source, source_column
+UNION ALL SELECT 'tally', NULL, unnest(['lookup', 'normalizer', 'verdict:join']), NULL, unnest([n, wrong, n + wrong]) FROM two
+UNION ALL SELECT 'total', NULL, 'records', NULL, count(DISTINCT pkey) + 2 FROM tll UNION ALL SELECT 'total', NULL, 'file_errors', NULL, 4 UNION ALL SELECT 'total', NULL, 'line_errors', NULL, 3"""
 SQL["source_formats"] = f"""WITH {CHART}, n AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer JOIN ord ON c = c_custkey WHERE third = 2 AND kind IN (2, 3)), t AS (SELECT count(*) FILTER (c_custkey % 3 = 0) AS a, count(*) FILTER (c_custkey % 3 = 1) AS b FROM customer)
 SELECT 'fhir' AS what, a + 2 AS n FROM t UNION ALL SELECT 'hl7v2', b + 1 FROM t UNION ALL SELECT 'csv', n FROM n UNION ALL SELECT 'none', 1 UNION ALL SELECT 'not a bundle', 1 UNION ALL SELECT 'no patient', 2 UNION ALL SELECT 'unknown format', 1"""
 SQL["staged_resources"] = f"""WITH {CHART} SELECT 'Patient' AS kind, 'C' || c_custkey || '.json' AS name, 'C' || c_custkey AS id, '19' || lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') || '-03-04' AS date, {_pick("c_custkey", "male", "female")} AS detail FROM customer WHERE c_custkey % 3 = 0

@@ -223,6 +223,17 @@ def errors(files: DataFrame) -> DataFrame:
     return unknown.union(bad).union(nobody)
 
 
+def line_errors(rows: DataFrame) -> DataFrame:
+    """name, line, error of lines of flat extracts (name, line, row) of which something can't be taken; the rest of such a line is.
+
+    A line without a patient is left out whole; a cell that is no number leaves its line without the ECOG.
+    """
+    row = F.col("row")
+    ecog = F.nullif(F.try_element_at(row, F.lit("ecog_at_advanced_diagnosis")), F.lit(""))
+    error = F.when(F.coalesce(F.try_element_at(row, F.lit("patient_id")), F.lit("")) == "", "no patient").when(ecog.isNotNull() & ecog.try_cast("double").try_cast("int").isNull(), "ECOG is no number")
+    return rows.select("name", "line", error.alias("error")).where("error IS NOT NULL")
+
+
 def tall(found: DataFrame, workspace: str = "default") -> DataFrame:
     """One row for each value of source records: what routing works on."""
     return found.select(F.lit(workspace).alias("workspace_key"), "pkey", "source", "external_id", "occurred_at", F.explode("columns").alias("source_column", "x")).select("workspace_key", "pkey", "source", "external_id", "occurred_at", "source_column", "x.value", "x.source_data_type", "x.source_description")

@@ -314,3 +314,33 @@ def test_html_learns_from_labelled_pages(spark):
         same += 2 * (a & b).total() / (a.total() + b.total())
     assert same / len(held) > 0.98
     assert html_extract.learn(pages.limit(0)) == html_extract.weigh({})
+
+
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><form action=x><nav>menu</nav><article><p>{LONG}</p></article></form></body>", LONG),
+        (f"<body><form><div><p>{LONG}</p></div></form></body>", LONG),
+        (f"<body><article><p>{LONG}</p><form><p>Your name and mail</p></form></article></body>", LONG),
+        (f"<body><div><nav><a>menu</a></div><article><p>{LONG}</p></article></body>", LONG),
+        (f"<body><div class=row><aside><p>related text</div><div><p>{LONG}</p></div></body>", LONG),
+        (f"<body><article><p>five words of a teaser</p></article><div><p>{LONG}</p></div></body>", f"five words of a teaser\n{LONG}"),
+        (f"<body><article><p>{LONG}</p></article><p>eight plain words that stand between the two</p><article><p>the second article is here</p></article></body>", f"{LONG}\nthe second article is here"),
+        (f"<body><article><p>{LONG}</p><div class=comments><p>{LONG}</p></div></article></body>", LONG),
+    ],
+)
+def test_html_odd_pages(page, want):
+    """A form around the page, elements that are never closed, a mark around a teaser only, several marks."""
+    assert html_extract.extract(page, html_extract.weigh({})) == want
+
+
+def test_html_held_out_pages(spark):
+    """Marked pages that weights were not learnt from: extraction, with their marks gone, is the text of the marked element but for elements named as no content."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+    learnt, held = pages[::2], pages[1::2]
+    weights = html_extract.learn(spark.createDataFrame(learnt))
+    same = [html_extract.extract(r.html, weights) == html_extract.extract(re.sub("(</?)(?:article|main)\\b", r"\1div", r.html), weights) for r in held]
+    assert sum(same) > 0.9 * len(same)

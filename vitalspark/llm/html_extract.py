@@ -4,12 +4,16 @@ A page is a sequence of words and tags.  Each word scores positive and each tag
 linear scan finds the contiguous region of the greatest sum.  The weights are log ratios learnt from
 labelled pages, pages that mark their content by an article or main element: how much more often than
 elsewhere a word right inside a tag, or a tag itself, occurs in content.  Where a page marks its
-content, that is known of a word or tag in advance: inside the mark tags cost next to nothing, outside it
-words score what labelled pages say of such words, and are left out between two marks.
+content, that is known of a word or tag in advance: inside the mark words keep their learnt weight and
+tags cost next to nothing, outside it words score what labelled pages say of such words and are left out:
+as nothing of them is taken, they cost no more than a tag, so that the region holds all marks of the page.
+A mark with few words beside many paragraphs outside it (a teaser in an article element, and the text itself
+in another) is not believed: such a page is scored as one without.
 
 An element that its class, id or role, or a tag that says what it is (PRIOR_TAGS), shows to be no
 content has words that score nothing and are left out wherever it stands: menus, adverts, forms and
-comments stand inside marked content, too, so that marks alone can't teach them.  This is weighed the same way,
+comments stand inside marked content, too, so that marks alone can't teach them.  It ends with its close or that of an element around it.
+A form around the whole page is a wrapper: one that holds a mark, or most of the page's words.  Names are weighed the same way,
 by the words inside elements of that name that are content or not, on top of a prior count for names that say what they are.
 
 Character references are decoded, white space in a block is one space, blocks are trimmed and
@@ -47,6 +51,8 @@ PRIOR_NAMES = frozenset(
 #: Parts that a compound name may have beside these.
 PRIOR_PARTS = frozenset("area bar block bottom box button buttons container content desktop global group icons inner item items left link links list main mobile module outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
 CONTENT_TAGS = ("article", "main")
+#: Tags of elements that may be around a whole page, and the share of its words from which they are; the share of the words of marks and of paragraphs outside them that marks must have.
+WRAPPERS, WRAPPED_SHARE, MARKED_SHARE = ("form",), 0.7, 0.15
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
@@ -184,24 +190,50 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return first, last
 
 
+def wrappers(found: list[tuple[str, str, str]]) -> set[int]:
+    """Places of the opening tags, among a page's tokens, of elements that are around the page."""
+    opened: list[tuple[str, int, int]] = []  # tag, place, words before it
+    words, sizes, holds = 0, {}, set()
+    for i, (kind, value, _) in enumerate(found):
+        if kind == "text":
+            words += len(value.split())
+        elif kind == "open":
+            if value in CONTENT_TAGS:
+                holds |= {at for _, at, _ in opened}
+            if value in WRAPPERS:
+                opened.append((value, i, words))
+        elif any(tag == value for tag, _, _ in opened):
+            while True:
+                tag, at, before = opened.pop()
+                sizes[at] = words - before
+                if tag == value:
+                    break
+    sizes |= {at: words - before for _, at, before in opened}
+    return {at for at, n in sizes.items() if at in holds or n >= WRAPPED_SHARE * words}
+
+
 def extract(page: str, weights: Weights) -> str:
     """Main text of a page."""
     scores: list[float] = []
     pieces: list[str | None] = []  # text, or None for a block's end; inline tags are empty text
     around: list[tuple[int, int, bool]] = []  # places of words and tags, how many words, whether a mark is around
-    skipped, depth, marks, marked = "", 0, 0, False  # the element whose words are not content, how many of its name are open; marks around; whether a mark holds words
-    cached: dict[tuple[str, str], bool] = {}
     stack: list[str] = []
-    for kind, value, rest in tokens(page):
+    skip = 0  # how many elements are open from the one on whose words are not content; 0 outside such ones
+    marks = marked = apart = 0  # marks around; words inside marks, and in paragraphs outside them
+    cached: dict[tuple[str, str], bool] = {}
+    found = list(tokens(page))
+    wrapping = wrappers(found) if any(kind == "open" and value in WRAPPERS for kind, value, _ in found) else set()
+    for place, (kind, value, rest) in enumerate(found):
         if kind == "text":
-            n = 0 if skipped else len(value.split())
-            marked |= n > 0 and marks > 0
+            n = 0 if skip else len(value.split())
+            marked += n * (marks > 0)
+            apart += n * (not marks and "p" in stack[-1:])
             around.append((len(scores), n, marks > 0))
             scores.append(n and n * weights.words.get(stack[-1] if stack else "", WORD))
-            pieces.append("" if skipped else value)
+            pieces.append("" if skip else value)
             continue
         around.append((len(scores), 0, marks > 0))
-        scores.append(LEAST_TAG if skipped else weights.tags.get(value, TAG))
+        scores.append(LEAST_TAG if skip else weights.tags.get(value, TAG))
         pieces.append(None if value in BLOCKS else " " if value in ("td", "th") else "")
         if kind == "open":
             if value in VOID:
@@ -209,27 +241,28 @@ def extract(page: str, weights: Weights) -> str:
             key = (value, rest)
             if key not in cached:
                 cached[key] = is_other(features(value, rest), weights.elements)
-            if skipped:
-                depth += value == skipped
-            elif cached[key]:
-                skipped, depth = value, 1
+            stack.append(value)
+            if skip:
+                skip += 1
+            elif cached[key] and place not in wrapping:
+                skip = 1
             else:
                 marks += value in CONTENT_TAGS
-                stack.append(value)
-        elif skipped:
-            depth -= value == skipped
-            skipped = skipped if depth else ""
         elif value in stack:
             while True:
                 last = stack.pop()
-                marks -= last in CONTENT_TAGS
+                if skip:
+                    skip -= 1
+                else:
+                    marks -= last in CONTENT_TAGS
                 if last == value:
                     break
-    for i, n, inside in around if marked else ():
-        if inside:
-            scores[i] = n * WORD if n else LEAST_TAG
-        elif n:
-            scores[i], pieces[i] = n * weights.outside, ""
+    believed = marked > 0 and marked >= MARKED_SHARE * (marked + apart)
+    for i, n, inside in around if believed else ():
+        if not inside and n:
+            scores[i], pieces[i] = max(weights.outside, LEAST_TAG), ""
+        elif not inside or not n:
+            scores[i] = LEAST_TAG
     first, last = best_region(scores)
     blocks, block = [], []
     for i in range(first, last + 1):

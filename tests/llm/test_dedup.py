@@ -1,8 +1,10 @@
 import re
+import time
 from collections import Counter
 
 import pytest
 
+from tests.llm.conftest import words
 from vitalspark.llm import near_dedup, spotsigs, substring_dedup
 
 SPACE = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -179,3 +181,13 @@ def test_near_duplicates_in_crowds(spark, monkeypatch, region):
     got = near_dedup.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(docs.collect())
     assert max(made) <= region
+
+
+def test_substring_hot_rows(spark):
+    """A row that stands ten thousand times takes seconds: rows alike share one list of places."""
+    text = " ".join(words(31, 200))
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words(32, 60)))], "doc_id long, text string")
+    many = docs.where("doc_id = 1").crossJoin(spark.range(10_000)).select("doc_id", "text").union(docs.where("doc_id = 2"))
+    began = time.time()
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(many).collect())
+    assert got == {(1, 200, 200, ""): 10_000, (2, 60, 0, docs.where("doc_id = 2").first().text): 1} and time.time() - began < 60

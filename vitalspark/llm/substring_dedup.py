@@ -172,7 +172,8 @@ def repeated_places(docs: DataFrame, repeated: DataFrame, texts: DataFrame, wind
     twice = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w", salts.alias("salt"))
     single = windows.where("n = 1").withColumn("salt", F.pmod(F.hash("key", "start"), F.lit(SALTS))).join(twice, ["w", "salt"], "left_semi")
     places = whole.union(single.select("id0", "key", F.col("start").alias("a"), F.lit(1).cast("short").alias("m")))
-    return places.groupBy("id0", "key").agg(F.collect_list(F.struct("a", "m")).alias("places"))
+    # Rows alike have one list of places between them, however many they are.
+    return places.distinct().groupBy("id0", "key").agg(F.collect_list(F.struct("a", "m")).alias("places"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, fanout: int = 2) -> DataFrame:
@@ -188,9 +189,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
     for i in range(batches):
         found = index.add(fingerprint_counts(rows.where(F.pmod("key", F.lit(batches)) == i), window, gram))
         repeated = found if repeated is None else repeated.union(found)
-    texts = rows.repartition(partitions(spark), "id0", "key")
     # Repeated rows share a key: their stretches count twice already, so that asking for both their texts changes nothing.
-    places = repeated_places(rows, repeated.distinct(), texts, window, gram)
+    places = repeated_places(rows, repeated.distinct(), rows, window, gram)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,4 +210,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
                     out["kept"].append(b" ".join(words if stay.all() else [words[i] for i in np.flatnonzero(stay)]).decode())
                 yield pa.record_batch({"doc_id": part.column(0)} | {"n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string())})
 
-    return texts.join(places, ["id0", "key"], "left").select("doc_id", "text", "places").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.join(places, ["id0", "key"], "left").select("doc_id", "text", "places").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")

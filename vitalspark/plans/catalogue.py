@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspark.functions import coerce, dates, drugs, registries, units
-from vitalspark.operators import audit, cohort, notes, quality_gate, reconcile, survival, therapy
+from vitalspark.operators import audit, cohort, external, notes, quality_gate, reconcile, survival, therapy, write_gate
 from vitalspark import types
 from vitalspark.derive import derive
 from vitalspark.plans import bindings as b
 from vitalspark.session import scratch_folder, table
-from vitalspark.sources import files, report, sinks, splits, staging, store
+from vitalspark.sources import core, files, report, sinks, splits, staging, store
+from vitalspark.sources.versions import VersionedTable
 from vitalspark.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -354,6 +355,36 @@ def all_conflicts(spark, folder):
     return reconcile.conflicts(b.signals(spark, folder).where("k IS NOT NULL"), ("pkey",), value="k")
 
 
+@query
+def gated_decisions(spark, folder):
+    """Decisions through the gate in two batches: what is written, and why others are turned away."""
+    at = scratch_folder(spark)
+    kept = VersionedTable(spark, f"{at}/decisions", types.DECISION)
+    quarantine = VersionedTable(spark, f"{at}/quarantine", f"{types.DECISION}, reasons array<string>")
+    n = F.col("n")
+    rows = b.decisions(spark, folder).withColumn("n", F.col("id")).select(
+        F.when(n % 50 == 0, F.lit(None)).when(n % 40 == 1, n - 1).otherwise(n).cast("string").alias("id"), F.when(n % 3 == 0, F.lit(None)).otherwise(F.col("workspace_key")).alias("workspace_key"), F.col("pkey").cast("string").alias("pkey"), "source", "source_column",
+        F.lit("text").alias("source_data_type"), F.lit("").alias("source_description"), F.array().cast("array<string>").alias("source_samples"), F.when(n % 70 == 0, "perhaps").otherwise(F.col("verdict")).alias("verdict"), "canonical_name", F.lit(None).cast("boolean").alias("is_global_target"),
+        F.when(n % 90 == 0, 2.0).otherwise(0.5).alias("similarity_score"), F.lit("").alias("reason"), (F.col("verdict") == "unclear").alias("needs_review"), "decided_by", F.timestamp_seconds(n).alias("decided_at"), n,
+    )
+    for part in (0, 1):
+        write_gate.write(kept, quarantine, rows.where(n % 2 == part), write_gate.TABLES["decisions"], f"{at}/judged{part}")
+    good = kept.read().groupBy(F.lit("written").alias("what"), "workspace_key", "is_global_target").agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).alias("least"))
+    bad = quarantine.read().groupBy(F.array_join("reasons", "; ").alias("what"), "workspace_key", "is_global_target").agg(F.count("*").alias("n"), F.min(F.unix_timestamp("decided_at")).alias("least"))
+    return good.union(bad)
+
+
+@query
+def asked_notes(spark, folder):
+    """Notes answered by a service that fails at first, for some always: each different note once, and nothing again in a second run."""
+    kept = external.answers_table(spark, scratch_folder(spark), 4)
+    notes_ = table(spark, folder, "documents").select("doc_id", "text")
+    policy = external.Policy(backoff=0.0, tasks=4)
+    for _ in range(2):
+        got = external.ask(notes_, "length", external.FlakyLength(), kept, policy)
+    return got.select("doc_id", "answer", F.element_at(F.split("error", ":"), 1).alias("error"), "attempts")
+
+
 # ---- streams: each runs, ends, and goes on from its checkpoint with what has come meanwhile
 
 

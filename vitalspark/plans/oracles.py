@@ -299,6 +299,13 @@ SQL["routing_decisions"] = f"""WITH {CHART}, hit AS (SELECT *, CASE WHEN source_
 SELECT pkey, source, source_column, CASE WHEN h IS NULL THEN 'rule' ELSE 'lookup' END AS decided_by, CASE WHEN h IS NULL THEN 'append' ELSE 'join' END AS verdict, coalesce(h, source_column) AS canonical_name,
   CASE WHEN h IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity_score, coalesce(h = 'hemoglobin', false) AS is_global_target, false AS needs_review, CAST(1 AS INTEGER) AS n_samples FROM hit"""
 _HITS = SQL["routing_decisions"].partition("SELECT pkey, source, source_column, CASE")[0]
+SQL["gated_decisions"] = f"""WITH {DECISIONS}, raw AS (SELECT id AS n, CASE WHEN id % 50 = 0 THEN NULL WHEN id % 40 = 1 THEN id - 1 ELSE id END AS id, CASE WHEN id % 70 = 0 THEN 'perhaps' ELSE verdict END AS verdict, id % 90 = 0 AS odd FROM dec),
+one AS (SELECT *, list_filter([CASE WHEN id IS NULL THEN 'id is missing' END, CASE WHEN verdict = 'perhaps' THEN 'unknown verdict' END, CASE WHEN odd THEN 'score outside 0 to 1' END], lambda x: x IS NOT NULL) AS r FROM raw),
+two AS (SELECT *, CASE WHEN len(r) = 0 AND n % 2 = 0 THEN n END AS early FROM one),
+three AS (SELECT t.*, CASE WHEN t.id IS NOT NULL AND t.n % 2 = 1 AND e.early IS NOT NULL THEN list_append(t.r, 'id is taken') ELSE t.r END AS why FROM two t LEFT JOIN (SELECT early, id AS eid FROM two WHERE early IS NOT NULL) e ON t.id = e.eid AND t.n % 2 = 1)
+SELECT CASE WHEN len(why) = 0 THEN 'written' ELSE array_to_string(why, '; ') END AS what, 'default' AS workspace_key, false AS is_global_target, count(*) AS n, min(CASE WHEN len(why) = 0 THEN id ELSE n END) AS least FROM three GROUP BY 1"""
+SQL["asked_notes"] = r"""SELECT doc_id, CASE WHEN e IS NULL THEN CAST(n AS VARCHAR) END AS answer, e AS error, CASE WHEN text IS NULL THEN NULL WHEN n % 10 = 7 THEN 3 WHEN e IS NULL AND n % 3 = 0 THEN 2 WHEN text IS NOT NULL THEN 1 END AS attempts FROM
+(SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) % 10 = 7 THEN 'ConnectionError' WHEN regexp_matches(text, '^\s') THEN 'ValueError' END AS e FROM documents)"""
 SQL["ingest_report"] = f"""{_HITS}, kept AS (SELECT DISTINCT source, pkey FROM hit WHERE h IS NOT NULL), two AS (SELECT count(*) + 2 AS n, count(*) FILTER (source_column <> 'diagnosis_code') AS wrong FROM hit WHERE h IS NOT NULL)
 SELECT 'file' AS part, NULL AS name, f AS what, NULL AS detail, (SELECT count(*) FROM kept WHERE source = s) AS n FROM (VALUES ('fhir', 'epic_fhir_r4'), ('hl7v2', 'legacy_hl7v2'), ('csv', 'registry_csv_export')) t(f, s)
 UNION ALL SELECT 'file', name, f, error, n FROM (VALUES ('a.json', 'fhir', 'not a bundle', 0), ('b.json', 'fhir', 'no patient', 0), ('c', 'hl7v2', 'no patient', 0), ('d', NULL, 'unknown format', 0), ('e.csv', 'csv', NULL, 2)) t(name, f, error, n)

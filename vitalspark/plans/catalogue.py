@@ -14,7 +14,7 @@ from vitalspark import types
 from vitalspark.derive import derive
 from vitalspark.plans import bindings as b
 from vitalspark.session import scratch_folder, table
-from vitalspark.sources import core, files, report, sinks, splits, staging, store
+from vitalspark.sources import core, files, report, sinks, splits, staging, store, synthetic
 from vitalspark.sources.versions import VersionedTable
 from vitalspark.streaming import state
 
@@ -355,6 +355,34 @@ def all_conflicts(spark, folder):
     return reconcile.conflicts(b.signals(spark, folder).where("k IS NOT NULL"), ("pkey",), value="k")
 
 
+@query
+def journey_checks(spark, folder):
+    """A journey of up to three lines drawn for each customer: what must not be in journeys, and whether each line is reached by the shares that it should be."""
+    people = synthetic.patients_of(table(spark, folder, "customer").select(F.col("c_custkey").alias("id")))
+    drugs = synthetic.medications(people)
+    found = synthetic.journey_faults(people, drugs, synthetic.progressions(people))
+    reached = drugs.groupBy("patient_id").agg(F.count_distinct("regimen_id").alias("n")).agg(F.count("*").alias("one"), F.count_if(F.col("n") >= 2).alias("two"), F.count_if(F.col("n") >= 3).alias("three"))
+    total = people.agg(F.count("*").alias("all"))
+    shares = total.crossJoin(reached).select(F.lit("shares of lines").alias("check"), F.when(F.expr("one / all BETWEEN 0.6 AND 0.9 AND two / one BETWEEN 0.25 AND 0.7 AND three > 0 AND three < two"), 0).otherwise(1).cast("long").alias("n_fail"))
+    return found.union(shares).union(total.select(F.lit("patients"), F.col("all")))
+
+
+@query
+def core_load(spark, folder):
+    """Customers as nested profiles, some of them broken, loaded into the CORE tables."""
+    orders = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(
+        F.col("o_orderkey").cast("string").alias("medication_id"), F.when(F.col("o_orderkey") % 3 > 0, F.lit("40048")).alias("rxnorm_code"), F.lower(F.trim("o_orderpriority")).alias("display"), F.to_date("o_orderdate").cast("string").alias("start_date"), (F.col("o_orderkey") % 7).alias("dose_value"), F.lit("mg").alias("dose_unit"),
+    )).alias("drug_administrations"))
+    rows = table(spark, folder, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    k = F.col("c_custkey")
+    profile = F.to_json(F.struct(F.when(k % 11 > 0, F.concat(F.lit("C"), k.cast("string"))).alias("patient_id"), F.lit("fhir").alias("source_format"), F.lit("2020-01-02").alias("advanced_diagnosis_date"), F.col("c_mktsegment").alias("practice_type"), "drug_administrations"))
+    got = core.load(rows.select(F.when(k % 13 == 0, F.left(profile, F.lit(20))).otherwise(profile).alias("text")), "2024-12-31")
+    people = got.patient.groupBy(F.lit("patient").alias("what"), F.col("practice_type").alias("id"), F.col("advanced_diagnosis_date").alias("detail"), F.lit(None).cast("string").alias("dose")).agg(F.count("*").alias("n"))
+    drugs = got.medication_administration.select(F.lit("medication"), F.col("medication_id"), F.concat_ws(" ", "patient_id", "medication_code", "start_date"), "dose", F.lit(1).cast("long"))
+    none = F.lit(None).cast("string")
+    return people.union(drugs).union(got.rejected.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("rejected"), "reason", none, none, "n"))
+
+
 @query
 def gated_decisions(spark, folder):
     """Decisions through the gate in two batches: what is written, and why others are turned away."""

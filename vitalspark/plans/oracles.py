@@ -304,6 +304,13 @@ one AS (SELECT *, list_filter([CASE WHEN id IS NULL THEN 'id is missing' END, CA
 two AS (SELECT *, CASE WHEN len(r) = 0 AND n % 2 = 0 THEN n END AS early FROM one),
 three AS (SELECT t.*, CASE WHEN t.id IS NOT NULL AND t.n % 2 = 1 AND e.early IS NOT NULL THEN list_append(t.r, 'id is taken') ELSE t.r END AS why FROM two t LEFT JOIN (SELECT early, id AS eid FROM two WHERE early IS NOT NULL) e ON t.id = e.eid AND t.n % 2 = 1)
 SELECT CASE WHEN len(why) = 0 THEN 'written' ELSE array_to_string(why, '; ') END AS what, 'default' AS workspace_key, false AS is_global_target, count(*) AS n, min(CASE WHEN len(why) = 0 THEN id ELSE n END) AS least FROM three GROUP BY 1"""
+SQL["journey_checks"] = """SELECT unnest(['no drug of its own', 'begins before the end', 'no progression between', 'after the last day', 'shares of lines']) AS "check", 0 AS n_fail UNION ALL SELECT 'patients', count(*) FROM customer"""
+_DAY = """'{"value":"' || {} || '","precision":"day"}'""".replace("{", "{{").replace("}", "}}").replace("{{}}", "{}")
+SQL["core_load"] = f"""WITH c AS (SELECT * FROM customer WHERE c_custkey % 13 > 0 AND c_custkey % 11 > 0)
+SELECT 'patient' AS what, c_mktsegment AS id, {_DAY.format("'2020-01-02'")} AS detail, NULL AS dose, count(*) AS n FROM c GROUP BY c_mktsegment
+UNION ALL SELECT 'medication', CAST(o_orderkey AS VARCHAR), 'C' || o_custkey || ' ' || CASE WHEN o_orderkey % 3 > 0 THEN '{{"code":"40048","system":"rxnorm","display":"' || lower(trim(o_orderpriority)) || '"}} ' ELSE '' END || {_DAY.format("CAST(o_orderdate::DATE AS VARCHAR)")},
+  '{{"value":' || (o_orderkey % 7) || '.0,"unit":"mg"}}', 1 FROM orders JOIN c ON o_custkey = c_custkey
+UNION ALL SELECT 'rejected', CASE WHEN c_custkey % 13 = 0 THEN 'no profile' ELSE 'no patient_id' END, NULL, NULL, count(*) FROM customer WHERE c_custkey % 13 = 0 OR c_custkey % 11 = 0 GROUP BY 2"""
 SQL["asked_notes"] = r"""SELECT doc_id, CASE WHEN e IS NULL THEN CAST(n AS VARCHAR) END AS answer, e AS error, CASE WHEN text IS NULL THEN NULL WHEN n % 10 = 7 THEN 3 WHEN e IS NULL AND n % 3 = 0 THEN 2 WHEN text IS NOT NULL THEN 1 END AS attempts FROM
 (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) % 10 = 7 THEN 'ConnectionError' WHEN regexp_matches(text, '^\s') THEN 'ValueError' END AS e FROM documents)"""
 SQL["ingest_report"] = f"""{_HITS}, kept AS (SELECT DISTINCT source, pkey FROM hit WHERE h IS NOT NULL), two AS (SELECT count(*) + 2 AS n, count(*) FILTER (source_column <> 'diagnosis_code') AS wrong FROM hit WHERE h IS NOT NULL)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspark.functions import coerce, dates, drugs, registries, units
-from vitalspark.operators import audit, cohort, external, notes, quality_gate, reconcile, survival, therapy, write_gate
+from vitalspark.operators import audit, cohort, definition, external, notes, quality_gate, reconcile, survival, therapy, write_gate
 from vitalspark import types
 from vitalspark.derive import derive
 from vitalspark.plans import bindings as b
 from vitalspark.session import scratch_folder, table
-from vitalspark.sources import core, files, report, sinks, splits, staging, store, synthetic
+from vitalspark.sources import core, files, readers, report, sinks, splits, staging, store, synthetic
 from vitalspark.sources.versions import VersionedTable
 from vitalspark.streaming import state
 
@@ -383,6 +383,36 @@ def core_load(spark, folder):
     return people.union(drugs).union(got.rejected.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("rejected"), "reason", none, none, "n"))
 
 
+@query
+def saved_definition(spark, folder):
+    """Patients of a cohort definition that was stored as JSON and read back."""
+    at = scratch_folder(spark)
+    tree = {"all": [{"field": "age", "between": [30, None]}, {"any": [{"field": "vital_status", "in": ["deceased"]}, {"field": "c_nationkey", "in": [3, 4, 5]}]}, {"not": {"field": "c_mktsegment", "in": ["BUILDING"]}}, {"field": "date_of_death", "known": False}]}
+    tree["all"][-1] = {"any": [tree["all"][-1], {"field": "age", "between": [None, 60]}]}
+    definition.save(spark, tree, f"{at}/cohort.json")
+    rows = b.patients(spark, folder).withColumn("age", F.col("age_at_advanced_diagnosis").cast("int"))
+    return definition.select(rows, definition.load(spark, f"{at}/cohort.json")[0]).select("patient_id", "age", "vital_status")
+
+
+@query
+def bundle_by_patient(spark, folder):
+    """What is found of each customer's bundle: a third have one, some of these broken or empty."""
+    ids = table(spark, folder, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("patient_id"))
+    k = F.regexp_extract("name", "[0-9]+", 0).cast("long")
+    found = b.bundles(spark, folder).select("name", F.when(k % 5 == 0, "{bad").when(k % 7 == 0, " ").when(k % 11 == 0, "[]").otherwise(F.col("text")).alias("text"))
+    rows = readers.bundles_of(ids, found)
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.count("bundle").alias("n_bundles"), F.min("patient_id").alias("first"))
+
+
+@query
+def decision_snapshot(spark, folder):
+    """Decisions written as a CSV snapshot and read back."""
+    at = scratch_folder(spark)
+    readers.write_snapshot(b.decisions(spark, folder).withColumns({"reason": F.concat(F.lit('says "so", '), F.col("id").cast("string")), "decided_at": F.col("decided_at").cast("string")}), f"{at}/decisions.csv")
+    rows = readers.load_decisions(spark, f"{at}/decisions.csv", store.Store(spark, f"{at}/store")).rows
+    return rows.groupBy("source_column", "decided_by", "verdict", "canonical_name").agg(F.count("*").alias("n"), F.max("reason").alias("reason"), F.max(F.left("decided_at", F.lit(19))).alias("last"), F.round(F.sum("similarity_score"), 2).alias("score"))
+
+
 @query
 def gated_decisions(spark, folder):
     """Decisions through the gate in two batches: what is written, and why others are turned away."""

@@ -311,6 +311,11 @@ SELECT 'patient' AS what, c_mktsegment AS id, {_DAY.format("'2020-01-02'")} AS d
 UNION ALL SELECT 'medication', CAST(o_orderkey AS VARCHAR), 'C' || o_custkey || ' ' || CASE WHEN o_orderkey % 3 > 0 THEN '{{"code":"40048","system":"rxnorm","display":"' || lower(trim(o_orderpriority)) || '"}} ' ELSE '' END || {_DAY.format("CAST(o_orderdate::DATE AS VARCHAR)")},
   '{{"value":' || (o_orderkey % 7) || '.0,"unit":"mg"}}', 1 FROM orders JOIN c ON o_custkey = c_custkey
 UNION ALL SELECT 'rejected', CASE WHEN c_custkey % 13 = 0 THEN 'no profile' ELSE 'no patient_id' END, NULL, NULL, count(*) FROM customer WHERE c_custkey % 13 = 0 OR c_custkey % 11 = 0 GROUP BY 2"""
+SQL["saved_definition"] = f"""WITH {PATIENTS} SELECT pid AS patient_id, CAST(20 + pid % 60 AS INTEGER) AS age, CASE WHEN event = 1 THEN 'deceased' ELSE 'alive' END AS vital_status FROM surv
+WHERE 20 + pid % 60 >= 30 AND (event = 1 OR nation IN (3, 4, 5)) AND coalesce(seg, '') <> 'BUILDING' AND (event = 0 OR 20 + pid % 60 <= 60)"""
+SQL["bundle_by_patient"] = """WITH s AS (SELECT 'C' || c_custkey AS p, CASE WHEN c_custkey % 3 > 0 THEN 'missing' WHEN c_custkey % 5 = 0 THEN 'malformed' WHEN c_custkey % 7 = 0 THEN 'empty' WHEN c_custkey % 11 = 0 THEN 'no bundle' ELSE 'found' END AS status FROM customer)
+SELECT status, count(*) AS n, CASE WHEN status = 'found' THEN count(*) ELSE 0 END AS n_bundles, min(p) AS first FROM s GROUP BY status"""
+SQL["decision_snapshot"] = f"""WITH {DECISIONS} SELECT d.source_column, d.decided_by, d.verdict, d.canonical_name, count(*) AS n, max('says "so", ' || d.id) AS reason, max(strftime(d.decided_at, '%Y-%m-%d %H:%M:%S')) AS last, round(sum(e.value), 2) AS score FROM dec d JOIN events e ON d.id = e.event_id GROUP BY ALL"""
 SQL["asked_notes"] = r"""SELECT doc_id, CASE WHEN e IS NULL THEN CAST(n AS VARCHAR) END AS answer, e AS error, CASE WHEN text IS NULL THEN NULL WHEN n % 10 = 7 THEN 3 WHEN e IS NULL AND n % 3 = 0 THEN 2 WHEN text IS NOT NULL THEN 1 END AS attempts FROM
 (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) % 10 = 7 THEN 'ConnectionError' WHEN regexp_matches(text, '^\s') THEN 'ValueError' END AS e FROM documents)"""
 SQL["ingest_report"] = f"""{_HITS}, kept AS (SELECT DISTINCT source, pkey FROM hit WHERE h IS NOT NULL), two AS (SELECT count(*) + 2 AS n, count(*) FILTER (source_column <> 'diagnosis_code') AS wrong FROM hit WHERE h IS NOT NULL)

@@ -87,17 +87,20 @@ def abstract(notes: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("_f", extract(F.col("_t"), F.col("_l"), F.col("_s"))).select(*(c for c in notes.columns if c != text), "_f.*")
 
 
-def merge_notes(found: DataFrame, patient: str = "patient_id", order: str = "note_order") -> DataFrame:
-    """One row for each patient: of scalars the first that isn't null in note order, of flags any, of sites the sorted and of treatments the ordered union."""
+def merge_notes(found: DataFrame, patient: str = "patient_id", order: str = "note_order", treatments: tuple[str, ...] = tuple(TREATMENTS), sites: tuple[str, ...] = tuple(SITES)) -> DataFrame:
+    """One row for each patient: of scalars the first that isn't null in note order, of flags any, of sites the sorted and of treatments the ordered union.
+
+    One grouping, so that notes are read once: each word of the two vocabularies is an aggregate of its own, and nothing
+    that a patient gathers grows with the notes.  Words that are in neither vocabulary are left out.
+    """
     scalars = [c for c in SCALARS if c != "progression_mentioned"] + [NUMERIC]
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
-    out = found.groupBy(patient).agg(*first, F.bool_or("progression_mentioned").alias("progression_mentioned"))
-    # Words of the vocabularies are merged before they are gathered: what a patient gathers doesn't grow with the notes.
-    sites = found.select(patient, F.explode("new_metastatic_sites").alias("site")).groupBy(patient).agg(F.array_sort(F.collect_set("site")).alias("new_metastatic_sites"))
-    given = found.select(patient, order, F.posexplode("treatments_mentioned").alias("place", "drug")).groupBy(patient, "drug").agg(F.min(F.struct(order, "place")).alias("at"))
-    given = given.groupBy(patient).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "drug"))), lambda x: x["drug"]).alias("treatments_mentioned"))
-    out = out.join(sites, patient, "left").join(given, patient, "left")
-    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in LISTS})
+    at = [F.min(F.when(F.array_contains("treatments_mentioned", w), F.struct(F.col(order).alias("note"), F.array_position("treatments_mentioned", w).alias("place")))).alias(f"_t{i}") for i, w in enumerate(treatments)]
+    seen = [F.bool_or(F.array_contains("new_metastatic_sites", w)).alias(f"_s{i}") for i, w in enumerate(sorted(sites))]
+    rows = found.groupBy(patient).agg(*first, F.bool_or("progression_mentioned").alias("progression_mentioned"), *at, *seen)
+    given = F.array_sort(F.filter(F.array(*(F.struct(F.col(f"_t{i}").alias("at"), F.lit(w).alias("drug")) for i, w in enumerate(treatments))), lambda x: x["at"].isNotNull()))
+    told = F.filter(F.array(*(F.when(F.col(f"_s{i}"), F.lit(w)) for i, w in enumerate(sorted(sites)))), lambda x: x.isNotNull())
+    return rows.select(patient, *scalars, "progression_mentioned", told.alias("new_metastatic_sites"), F.transform(given, lambda x: x["drug"]).alias("treatments_mentioned"))
 
 
 #: Variants of a gene that are told apart, in the order of search.

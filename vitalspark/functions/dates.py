@@ -65,29 +65,28 @@ def resolve_date_by_length(value: Column) -> Column:
 def text_to_partial_date(value: Column) -> Column:
     """struct(year, month, day, precision, error) of seven textual forms; months are 1-12 and days 1-31, not checked against a calendar."""
     s = F.trim(value)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(s, pattern, group).try_cast("int")
-
-    # The seven forms of a date.
-    day, month, year = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})-(\d{1,2})$", r"^(\d{4})$"
-    slash, named, quarter = r"^(\d{1,2})/(\d{4})$", r"^([A-Za-z]{3,9})\s+(\d{4})$", r"^[Qq]([1-4])\s+(\d{4})$"
-    stamp = r"^(\d{4})-(\d{2})-(\d{2})[T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
-    names = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
-    none = F.lit(None).cast("int")
-
-    def made(y: Column, m: Column, d: Column) -> Column:
-        return F.struct(y.alias("year"), m.alias("month"), d.alias("day"))
-
-    found = (
-        F.when(s.rlike(day), made(part(day, 1), part(day, 2), part(day, 3)))
-        .when(s.rlike(month), made(part(month, 1), part(month, 2), none))
-        .when(s.rlike(year), made(part(year, 1), none, none))
-        .when(s.rlike(slash), made(part(slash, 2), part(slash, 1), none))
-        .when(s.rlike(named) & F.map_contains_key(names, F.lower(F.regexp_extract(s, named, 1))), made(part(named, 2), F.try_element_at(names, F.lower(F.regexp_extract(s, named, 1))), none))
-        .when(s.rlike(quarter), made(part(quarter, 2), part(quarter, 1) * 3, none))
-        .when(s.rlike(stamp) & calendar_date(part(stamp, 1), part(stamp, 2), part(stamp, 3)).isNotNull(), made(part(stamp, 1), part(stamp, 2), part(stamp, 3)))
-    )
+    # The seven forms of a date, those with hyphens and those with a word as one pattern each; a word is a month or a quarter, which stands for its last month.
+    plain, slash, named = r"^\d{4}(-\d{1,2}){0,2}$", r"^\d{1,2}/\d{4}$", r"^[A-Za-z]{1,9}[1-4]?\s+\d{4}$"
+    stamp = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
+    words = F.create_map(*(F.lit(x) for pair in {**{k: str(m) for k, m in MONTHS.items()}, **{f"q{q}": str(3 * q) for q in range(1, 5)}}.items() for x in pair))
+
+    def number(parts: Column, i: int) -> Column:
+        return F.get(parts, F.lit(i)).try_cast("int")
+
+    def worded(x: Column) -> Column:
+        """[year, month] of a word and a year; null if the word says nothing."""
+        month = F.try_element_at(words, F.lower(x[0]))
+        return F.when(month.isNotNull(), F.array(x[1], month))
+
+    def dated(x: Column) -> Column:
+        """[year, month, day], if the calendar has the day."""
+        return F.when(calendar_date(number(x, 0), number(x, 1), number(x, 2)).isNotNull(), x)
+
+    parts = (
+        F.when(s.rlike(plain), F.split(s, "-")).when(s.rlike(slash), F.reverse(F.split(s, "/"))).when(s.rlike(named), bind(F.split(s, r"\s+"), worded))
+        .when(s.rlike(stamp), bind(F.split(F.left(s, F.lit(10)), "-"), dated))
+    )
+    found = bind(parts, lambda x: F.when(x.isNotNull(), F.struct(number(x, 0).alias("year"), number(x, 1).alias("month"), number(x, 2).alias("day"))))
 
     def checked(x: Column) -> Column:
         month, day = (F.coalesce(x[c].between(1, top), F.lit(True)) for c, top in (("month", 12), ("day", 31)))

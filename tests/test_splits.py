@@ -21,8 +21,8 @@ def write(path, text):
 
 
 def message(i):
-    segments = ["MSH|^~\\&|a", f"PID|1||P{i}", f"DG1|1||C34.{i % 9}|NSCLC x", "MSH|^~\\&|oru", f"OBX|1|NM|718-7^Hb||{i}", "MSH|^~\\&|rde", "RXA|0|1|||1^Drug"]
-    return ["\r", "\n", "\r\n"][i % 3].join(segments[: 2 if i % 5 == 0 else 7])
+    segments = ["MSH|^~\\&|a", f"PID|1||P{i}", f"DG1|1||C34.{i % 9}|NSCLC x", "MSH|^~\\&|oru", *([f"PID|1||P{i}"] if i % 2 else []), f"OBX|1|NM|718-7^Hb||{i}", "MSH|^~\\&|rde", "RXA|0|1|||1^Drug"]
+    return ["\r", "\n", "\r\n"][i % 3].join(segments[: 2 if i % 5 == 0 else 8])
 
 
 @pytest.mark.parametrize("size", [97, 700, 10_000])
@@ -42,13 +42,14 @@ def test_messages_over_borders(spark, tmp_path, small_parts, size):
 
 
 def test_a_patient_named_past_a_border(spark, tmp_path, small_parts):
-    """Header and PID in different ranges, and a record longer than several ranges."""
+    """Header and PID in different ranges, a record longer than several ranges, and one of several messages that each name the patient."""
+    again = [x for i in range(6) for x in (f"MSH|{i}", "PID|1||C", f"OBX|{i}|{'v' * 20}")]
     long = "\r".join(["MSH|x", "PID|1||A"] + [f"NTE|{i}|{'y' * 50}" for i in range(40)])
-    write(tmp_path / "in" / "a.hl7", "\r".join([long, "MSH|" + "z" * 95, "PID|1||B", "MSH|oru", "OBX|1|NM|718-7"]))
+    write(tmp_path / "in" / "a.hl7", "\r".join([long, "MSH|" + "z" * 95, "PID|1||B", "MSH|oru", "OBX|1|NM|718-7", *again]))
     for size in (60, 101, 333):
         small_parts(size)
         got = sorted(r.text for r in splits.read_messages(spark, str(tmp_path / "in")).collect())
-        assert got == sorted([long, "MSH|" + "z" * 95 + "\rPID|1||B\rMSH|oru\rOBX|1|NM|718-7"])
+        assert got == sorted([long, "MSH|" + "z" * 95 + "\rPID|1||B\rMSH|oru\rOBX|1|NM|718-7", "\r".join(again)])
 
 
 @pytest.mark.parametrize("size", [50, 131, 20_000])

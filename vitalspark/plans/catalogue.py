@@ -500,7 +500,9 @@ def split_sources(spark, folder):
 
 def _broken_files(spark: SparkSession) -> DataFrame:
     lines = "patient_id,ecog_at_advanced_diagnosis,icd10_code\n,1,C34.2\nX1,2.0,C34.2\nX2,high,C34.3\n\nX3,,\n,,"
-    rows = [("a.json", "{bad"), ("b.json", '{"resourceType": "Bundle"}'), ("c", "MSH|x"), ("d", "no format here"), ("e.csv", lines)]
+    score = '{"resourceType": "Observation", "code": {"coding": [{"system": "http://loinc.org", "code": "89247-1"}]}, "valueInteger": 2}'
+    ecog = '{"resourceType": "Bundle", "entry": [{"resource": {"resourceType": "Patient", "id": "X9"}}, {"resource": ' + score + "}]}"
+    rows = [("a.json", "{bad"), ("b.json", '{"resourceType": "Bundle"}'), ("c", "MSH|x"), ("d", "no format here"), ("e.csv", lines), ("f.json", ecog)]
     broken = spark.createDataFrame(rows, "name string, text string")
     return broken.withColumn("format", files.detect(F.col("name"), F.col("text")))
 

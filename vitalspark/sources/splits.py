@@ -5,8 +5,8 @@ records; what stands before its first cut goes on a record of a range before it,
 go on in the next one.  Only these edges, two of a range, are shuffled, put together in the order of
 the file and cut again.  Whole records never leave their task.
 
-- HL7: a record begins at a message that names a patient (PID); messages without one belong to the record
-  before them, as in a file of one patient's messages.
+- HL7: a record is the messages of one patient that follow each other, as in a file of one patient: it begins
+  at a message that names another patient (PID-3) than the one before; messages without a patient go on.
 - Flat extracts: a record ends with its line, unless the line ends inside a quoted cell.  Whether a range
   begins inside one depends on all ranges before it: a first pass tells, for either beginning, how each
   range ends, and a fold over a file's ranges settles which it is.  A quote that is never closed takes
@@ -18,6 +18,7 @@ patient.  Compressed files can't be split, and are one range.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from vitalspark.sources import files
 
+#: line: the first byte of a range and the lines before the record in it: grows through a file, as no line is without a byte.
 RECORD = "name string, line long, edge boolean, opens boolean, lines array<string>"
 
 
@@ -52,9 +54,14 @@ class Cutter(Protocol):
 
 
 class MessageCutter:
-    """A record begins at a message header that is followed by a PID segment before the next header."""
+    """A record begins at a message that names another patient than the record before it.
+
+    Lines that begin inside a record may be of its patient: their first patient makes no cut, and it is for whoever
+    puts them together with the lines before to tell.
+    """
 
     def __init__(self, inside: bool = True):
+        self.inside, self.patient = inside, None
         self.record: list[str] = []
         self.pending: list[str] = []
 
@@ -69,7 +76,13 @@ class MessageCutter:
             self.record.append(line)
             return None
         self.pending.append(line)
-        if not line.startswith("PID|"):
+        patient = line.split("|")[3].strip() if line.startswith("PID|") and line.count("|") > 2 else ""
+        if not patient:
+            return None
+        before, self.patient = self.patient, patient
+        if before == patient or (before is None and (self.inside or not self.record)):
+            self.record += self.pending
+            self.pending = []
             return None
         done, self.record, self.pending = self.record, self.pending, []
         return done
@@ -144,24 +157,24 @@ def _cut(lines: DataFrame, cutter: Callable[[bool], Cutter], inside: dict[tuple[
     sent = lines.sparkSession.sparkContext.broadcast(inside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cut, n, continues = None, None, 0, False
+        key, cut, fed, begin, continues = None, None, 0, 0, False  # lines given to the cutter, and before the record that is open
 
         def last() -> list[tuple]:
             rest = cut.rest() if cut is not None else []
-            return [(key[0], key[1] + n, True, not continues, rest)] if rest else []
+            return [(key[0], key[1] + begin, True, not continues, rest)] if rest else []
 
         for at, new, values in _ranges(batches):
             out = []
             if new:
                 out += last()
                 continues = sent.value.get(at, default)
-                key, cut, n = at, cutter(continues), 0
+                key, cut, fed, begin = at, cutter(continues), 0, 0
             for line in values:
-                done = cut.feed(line)
+                done, fed = cut.feed(line), fed + 1
                 if done is not None:
                     if done:
-                        out.append((key[0], key[1] + n, continues, not continues, done))
-                    n, continues = n + 1, False
+                        out.append((key[0], key[1] + begin, continues, not continues, done))
+                    begin, continues = fed - len(cut.rest()), False
             if out:
                 yield _rows(out)
         yield _rows(last())
@@ -182,7 +195,8 @@ def _joined(cut: DataFrame, cutter: Callable[[bool], Cutter]) -> DataFrame:
             for name, line, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 again = cutter(False)
                 found = [x for x in (*map(again.feed, lines), again.rest()) if x]
-                out += [(name, line + i, False, True, x) for i, x in enumerate(found)]
+                begins = itertools.accumulate(map(len, found[:-1]), initial=0)
+                out += [(name, line + i, False, True, x) for i, x in zip(begins, found, strict=True)]
             yield _rows(out)
 
     return cut.where("NOT edge").unionByName(grouped.mapInArrow(run, RECORD)).select("name", "line", "lines")

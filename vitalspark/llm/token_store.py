@@ -19,6 +19,7 @@ import functools
 import hashlib
 import io
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, FILE_ROWS, LEVEL = 64 << 10, 400, 2
 
 @functools.cache
 def _tokenizer(path: str):
+    # Spark runs a task a core: threads of the library's own take CPU from other tasks, and memory for each thread.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)

@@ -2,10 +2,10 @@
 
 - latest_signals() is Spark's own streaming aggregation: rows may come in any order and late, as what counts is
   when they happened, not when they came.
-- route() joins values with decisions that come on a stream of their own, before or after them.  The state of a
-  cache key is its last decision and, until there is one, the values that wait for it; each value leaves once.
-  A key whose first value has no decision leaves a request, once.  Waiting values are a list in the state
-  store, added to and read piece by piece, so that a key with many of them needs no memory for all.
+- start_routing() joins values with decisions that come on a stream of their own, before or after them.  Its state
+  is two tables: the last decision of each cache key, and the values that wait for one; each value leaves once.
+  A key whose first value has no decision leaves a request, once.  A batch is a few joins of all its keys, so
+  that a key costs a row, not calls of its own, and one with many waiting values needs no memory for all.
 
 State is in the checkpoint: after a restart a stream goes on as if it had never ended.  Nulls in a key are a
 key of their own.
@@ -13,24 +13,21 @@ key of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from vitalspark.operators.reconcile import CACHE_KEY
 from vitalspark.sources.store import Store
 
-#: The state store that route() needs; a setting of the session.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
 DECISION = ("verdict", "canonical_name", "decided_by", "decided_at", "id")
 VALUE = ("external_id", "occurred_at", "value")
 ROUTED = "workspace_key string, pkey string, source string, source_column string, external_id string, occurred_at string, value string, verdict string, canonical_name string, decided_by string, kind string"
-#: Waiting values that are handed on at once.
-PIECE = 10_000
+#: State of start_routing(); batch: the one that a waiting value came with.
+KNOWN = "workspace_key string, pkey string, source string, source_column string, verdict string, canonical_name string, decided_by string, decided_at timestamp, id string"
+WAITING = "workspace_key string, pkey string, source string, source_column string, external_id string, occurred_at string, value string, batch long"
 
 
 def latest_signals(signals: DataFrame, key: tuple[str, ...] = ("workspace_key", "pkey"), time: str = "occurred_at", tie: str = "id") -> DataFrame:
@@ -40,78 +37,47 @@ def latest_signals(signals: DataFrame, key: tuple[str, ...] = ("workspace_key",
     return last.select(*key, "last.*")
 
 
-class _Router(StatefulProcessor):
-    """State of a cache key: its last decision, whether it was asked for, and waiting values."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.decision = handle.getValueState("decision", "verdict string, canonical_name string, decided_by string, decided_at timestamp, id string")
-        self.asked = handle.getValueState("asked", "yes boolean")
-        self.waiting = handle.getListState("waiting", "external_id string, occurred_at string, value string")
-
-    def _out(self, key: tuple, rows: list[tuple], decision: tuple | None, kind: str) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=list(VALUE))
-        for i, (c, v) in enumerate(zip(CACHE_KEY, key, strict=True)):
-            out.insert(i, c, v)
-        out["verdict"], out["canonical_name"], out["decided_by"] = decision[:3] if decision else (None, None, None)
-        return out.assign(kind=kind)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = self.decision.get() if self.decision.exists() else None
-        had, new = now is not None, []
-        for batch in rows:
-            decided = batch[batch["is_decision"]]
-            for row in decided[list(DECISION)].itertuples(index=False, name=None):
-                if now is None or (row[3], row[4]) > (now[3], now[4]):
-                    now = row
-            new += list(batch.loc[~batch["is_decision"], list(VALUE)].itertuples(index=False, name=None))
-        if now is None:
-            if new:
-                self.waiting.appendList(new)
-                if not self.asked.exists():
-                    self.asked.update((True,))
-                    yield self._out(key, [min(new, key=str)], None, "request")
-            return
-        self.decision.update(now)
-        if not had:
-            piece = []
-            for row in self.waiting.get():
-                piece.append(tuple(row))
-                if len(piece) == PIECE:
-                    yield self._out(key, piece, now, "routed")
-                    piece = []
-            new = piece + new
-            self.waiting.clear()
-        if new:
-            yield self._out(key, new, now, "routed")
-
-    def close(self) -> None:
-        pass
-
-
-def route(values: DataFrame, decisions: DataFrame) -> DataFrame:
-    """ROUTED rows: each value with the decision on its column (kind 'routed'), and a request for each column that has none when its first value comes (kind 'request').
-
-    values: TALL columns; decisions: those of the log.  Both may be streams; later decisions on a column count for
-    the values after them.
+def route(values: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values that wait, ROUTED values): by whether a decision on their column is known (KNOWN, a row for each key)."""
+    last = known.select(*(F.col(k).alias(f"_{k}") for k in CACHE_KEY), *DECISION[:3])
+    same = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in CACHE_KEY))
+    return values.join(last, same, "left_anti"), values.join(last, same).select(*CACHE_KEY, *VALUE, *DECISION[:3], F.lit("routed").alias("kind"))
+
+
+def asked(waiting: DataFrame, batch: int) -> DataFrame:
+    """A request (ROUTED, with the least value) for each key whose values wait since a batch."""
+    first = waiting.groupBy(*CACHE_KEY).agg(F.min("batch").alias("since"), F.min(F.struct(*VALUE)).alias("least")).where(F.col("since") == batch)
+    return first.select(*CACHE_KEY, "least.*", *(F.lit(None).cast("string").alias(c) for c in DECISION[:3]), F.lit("request").alias("kind"))
+
+
+def _route_batch(rows: DataFrame, batch: int, out: str, state: str) -> None:
+    """Route a batch, and what waits, on the state that the batch before it left; run again after a failure it makes the same files.
+
+    rows: values and decisions, told apart by is_decision.  Values are routed by the last decision that came before them or with them.
     """
-    empty = lambda columns: [F.lit(None).cast("timestamp" if c == "decided_at" else "string").alias(c) for c in columns]
-    left = values.select(*CACHE_KEY, *VALUE, *empty(DECISION), F.lit(False).alias("is_decision"))
-    right = decisions.select(*CACHE_KEY, *empty(VALUE), *DECISION, F.lit(True).alias("is_decision"))
-    return left.unionByName(right).groupBy(*CACHE_KEY).transformWithStateInPandas(_Router(), ROUTED, "Append", "None")
+    spark = rows.sparkSession
+    load = lambda name, n, schema: spark.read.schema(schema).parquet(f"{state}/{n}/{name}") if n >= 0 else spark.createDataFrame([], schema)
+    decisions = load("known", batch - 1, KNOWN).unionByName(rows.where("is_decision").select(*CACHE_KEY, *DECISION))
+    known = decisions.groupBy(*CACHE_KEY).agg(F.max_by(F.struct(*DECISION), F.struct("decided_at", "id")).alias("last")).select(*CACHE_KEY, "last.*")
+    known.write.mode("overwrite").parquet(f"{state}/{batch}/known")
+    values = load("waiting", batch - 1, WAITING).unionByName(rows.where("NOT is_decision").select(*CACHE_KEY, *VALUE, F.lit(batch).cast("long").alias("batch")))
+    waiting, routed = route(values, load("known", batch, KNOWN))
+    waiting.write.mode("overwrite").parquet(f"{state}/{batch}/waiting")
+    routed.unionByName(asked(load("waiting", batch, WAITING), batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{batch - 2}")  # this batch may run again, the one before it can't
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def start_routing(values: DataFrame, decisions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """route() of what streams have now, added to a Parquet folder; run again to go on with what has come since."""
-    spark = values.sparkSession
-    old = spark.conf.get(STATE_STORE[0], None)
-    spark.conf.set(*STATE_STORE)
-    try:  # a query keeps the settings that it began with
-        return route(values, decisions).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        if old is None:
-            spark.conf.unset(STATE_STORE[0])
-        else:
-            spark.conf.set(STATE_STORE[0], old)
+    """Add ROUTED rows of what streams have now to a Parquet folder, a partition for each batch: each value with the decision on its column (kind 'routed'), and a request for each column that has none when its first value comes (kind 'request').
+
+    values: TALL columns; decisions: those of the log.  Run again to go on with what has come since.
+    """
+    empty = lambda columns: [F.lit(None).cast("timestamp" if c == "decided_at" else "string").alias(c) for c in columns]
+    left = values.select(*CACHE_KEY, *VALUE, *empty(DECISION), F.lit(False).alias("is_decision"))
+    right = decisions.select(*CACHE_KEY, *empty(VALUE), *DECISION, F.lit(True).alias("is_decision"))
+    write = left.unionByName(right).writeStream.foreachBatch(lambda rows, n: _route_batch(rows, n, out, f"{checkpoint}/routing"))
+    return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def start_latest(signals: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:

@@ -23,6 +23,8 @@ SQUAMOUS = "squamous_cell_carcinoma"
 #: Shares of treated patients, and of those that go on to a second and a third line; cycles of a line, days between two lines.
 TREATED, GOES_ON, CYCLES, GAP = 0.75, (0.55, 0.5), (3, 6), (20, 60)
 CYCLE_DAYS, CUTOFF = 21, "2024-12-31"
+#: Patients that a task draws, on average.
+TASK_PATIENTS = 20_000
 
 
 def uniform(seed: int, *key: Column | str) -> Column:
@@ -43,9 +45,10 @@ def patients(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 
 def patients_of(ids: DataFrame, seed: int = 42) -> DataFrame:
-    """A patient for each id (long)."""
+    """A patient for each id (long), TASK_PATIENTS to a task whatever the files of the ids: the journeys of a patient are many times the id, and all that is grouped or joined by patient stays in its task."""
     i = F.col("id")
     rows = ids.select("id").withColumn("patient_id", F.concat(F.lit("P"), F.lpad(i.cast("string"), 8, "0")))
+    rows = rows.repartition(max(ids.sparkSession.sparkContext.defaultParallelism, -(-ids.count() // TASK_PATIENTS)), "patient_id")
     draw = lambda name: uniform(seed, i, name)
     diagnosed = F.date_add(F.lit("2018-01-01").cast("date"), (draw("dx") * 1800).cast("int"))
     last = F.date_add(diagnosed, (90 + draw("follow") * 900).cast("int"))

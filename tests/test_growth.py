@@ -1,6 +1,6 @@
 """What a task holds, and how often a row is worked on, as tables grow."""
 
-from vitalspark.sources import synthetic
+from vitalspark.sources import files, synthetic
 
 
 def test_patients_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
@@ -11,3 +11,14 @@ def test_patients_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
     # What is grouped by patient stays there: the one shuffle is that of the ids.
     plan = people.groupBy("patient_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_what_is_read_of_a_file_is_read_once(spark):
+    """Filters for files without a patient, or values, aren't pushed below what reads these."""
+    found = spark.createDataFrame([("a.json", "{}", "fhir"), ("b.csv", "patient_id,icd10_code\nP1,C34.2\n\nP2,\n", "csv"), ("c.csv", "\n\n", "csv")], "name string, text string, format string")
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(files.tall(files.fhir_records(found))).count("$.resourceType, StringType") <= 3  # of the bundle and of its resources
+    rows = files.csv_rows(found)
+    assert "Join" not in plan(rows) and plan(rows).count("regexp_extract_all") <= 3  # of the file's lines, the header's and a line's cells
+    assert sorted((r.name, r.line, r.row["patient_id"], r.row["icd10_code"]) for r in rows.collect()) == [("b.csv", 1, "P1", "C34.2"), ("b.csv", 2, "P2", "")]
+    assert sorted(map(tuple, files.staged(found).collect())) == sorted(map(tuple, found.collect()))

@@ -479,7 +479,7 @@ def stream_routing(spark, folder):
 
 def _tall(spark: SparkSession, folder: str) -> DataFrame:
     found = b.bundles(spark, folder).unionByName(b.messages(spark, folder)).unionByName(b.extracts(spark, folder))
-    return files.tall(files.records(found))
+    return files.tall(files.records(files.staged(found)))
 
 
 @query

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vitalspark.session import scratch_folder
+
 #: Formats, the labels of their sources, and code systems and codes that are looked for.
 LABELS = {"fhir": "epic_fhir_r4", "hl7v2": "legacy_hl7v2", "csv": "registry_csv_export"}
 LOINC_SYSTEM, ECOG_CODE, HISTOLOGY_PREFIX = "http://loinc.org", "89247-1", "NSCLC "
@@ -37,6 +39,18 @@ def detect(name: Column, text: Column) -> Column:
     )
 
 
+def staged(files: DataFrame) -> DataFrame:
+    """name, text, format as written to a scratch folder: files are read, or made, once, however many formats and errors are looked for in them; of other formats little more is read than the format."""
+    folder = scratch_folder(files.sparkSession)
+    files.select("name", "text", "format").write.parquet(folder)
+    return files.sparkSession.read.schema("name string, text string, format string").parquet(folder)
+
+
+def _kept(rows: DataFrame, test: Column) -> DataFrame:
+    """rows.where(test) with each column made once: a filter is pushed below what makes the columns, and makes there again what it asks for."""
+    return rows.select(F.inline(F.when(test, F.array(F.struct(*rows.columns)))))
+
+
 def _record(rows: DataFrame, label: str) -> DataFrame:
     """Rows (name, pkey, occurred_at, loinc, lab_display, drug, icd10, ecog, histology) as source records with their columns."""
     values = {"lab_test_code": "loinc", "medication": "drug", "diagnosis_code": "icd10", "ecog_performance_status": "ecog", "tumor_histology_text": "histology"}
@@ -44,12 +58,17 @@ def _record(rows: DataFrame, label: str) -> DataFrame:
     entries = [F.struct(F.lit(c).alias("key"), F.struct(F.nullif(F.col(v).cast("string"), F.lit("")).alias("value"), F.lit(COLUMNS[c][0]).alias("source_data_type"), described(c).alias("source_description")).alias("value")) for c, v in values.items()]
     columns = F.map_from_entries(F.filter(F.array(*entries), lambda x: x["value"]["value"].isNotNull()))
     source = F.lit(LABELS[label])
-    return rows.select("name", "pkey", source.alias("source"), F.concat(source, F.lit(":"), "pkey").alias("external_id"), "occurred_at", columns.alias("columns")).where(F.size("columns") > 0)
+    return _kept(rows.select("name", "pkey", source.alias("source"), F.concat(source, F.lit(":"), "pkey").alias("external_id"), "occurred_at", columns.alias("columns")), F.size("columns") > 0)
 
 
-def _resources(of: str) -> Column:
-    """Array of a bundle's resources of a type, in order, as variants."""
-    return F.expr(f"filter(transform(coalesce(try_variant_get(bundle, '$.entry', 'array<variant>'), array()), e -> try_variant_get(e, '$.resource', 'variant')), r -> try_variant_get(r, '$.resourceType', 'string') = '{of}')")
+#: SQL: a bundle's resources in order, as variants with their types.
+_RESOURCES = "transform(transform(coalesce(try_variant_get(bundle, '$.entry', 'array<variant>'), array()), e -> try_variant_get(e, '$.resource', 'variant')), r -> named_struct('kind', try_variant_get(r, '$.resourceType', 'string'), 'x', r))"
+
+
+def _resources(of: str, **fields: str) -> Column:
+    """Array of the fields, SQL over the variant x, of a bundle's resources of a type, in order."""
+    made = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+    return F.expr(f"transform(transform(filter(resources, r -> r.kind = '{of}'), r -> r.x), x -> named_struct({made}))")
 
 
 def _first(rows: str, test: str, value: str) -> Column:
@@ -65,30 +84,34 @@ def _coding(concept: str, system: str, field: str) -> str:
 
 def fhir_records(files: DataFrame) -> DataFrame:
     """At most one source record of each bundle; files that aren't bundles, or name no patient, give none (see errors())."""
-    rows = _bundles(files).where("is_bundle AND pkey IS NOT NULL")
-    rows = rows.withColumns({"conditions": _resources("Condition"), "observations": _resources("Observation"), "medications": _resources("MedicationAdministration")})
+    rows = _kept(_bundles(files), F.expr("is_bundle AND pkey IS NOT NULL"))
     icd, icdo = _coding("$.code", "icd-10", "code"), f"coalesce(nullif({_coding('$.code', 'icd-o-3', 'display')}, ''), try_variant_get(x, '$.code.text', 'string'))"
-    known = f"coalesce(nullif({icd}, ''), nullif({icdo}, '')) IS NOT NULL"
-    loinc = _coding("$.code", LOINC_SYSTEM, "code")
-    lab = f"try_variant_get(x, '$.valueQuantity', 'variant') IS NOT NULL AND nullif({loinc}, '') IS NOT NULL"
+    loinc = f"get(filter(coalesce(try_variant_get(x, '$.code.coding', 'array<struct<system:string,code:string,display:string>>'), array()), c -> contains(coalesce(c.system, ''), '{LOINC_SYSTEM}')), 0)"
     codings = "coalesce(try_variant_get(x, '$.medicationCodeableConcept.coding', 'array<struct<display:string>>'), array())"
     drug = f"coalesce(nullif(try_variant_get(x, '$.medicationCodeableConcept.text', 'string'), ''), get(filter(transform({codings}, c -> c.display), d -> d <> ''), 0))"
-    onset = "try_variant_get(x, '$.onsetDateTime', 'string')"
-    stamp = F.try_variant_get("bundle", "$.timestamp", "string")
+    # What is looked at of each resource is read from its variant once.
+    rows = rows.select(
+        "name", "pkey", F.try_variant_get("bundle", "$.timestamp", "string").alias("stamp"),
+        _resources("Condition", onset="try_variant_get(x, '$.onsetDateTime', 'string')", icd=icd, icdo=icdo).alias("conditions"),
+        _resources("Observation", loinc=loinc, measured="try_variant_get(x, '$.valueQuantity', 'variant') IS NOT NULL", n="try_variant_get(x, '$.valueInteger', 'int')").alias("observations"),
+        _resources("MedicationAdministration", drug=drug).alias("medications"),
+    )
+    known, lab = "coalesce(nullif(x.icd, ''), nullif(x.icdo, '')) IS NOT NULL", "x.measured AND nullif(x.loinc.code, '') IS NOT NULL"
     rows = rows.select(
-        "name", "pkey", F.coalesce(F.left(_first("conditions", f"{onset} <> ''", onset), F.lit(10)), F.left(stamp, F.lit(10)), F.lit("")).alias("occurred_at"),
-        _first("observations", lab, loinc).alias("loinc"), _first("observations", lab, _coding("$.code", LOINC_SYSTEM, "display")).alias("lab_display"), _first("medications", f"{drug} IS NOT NULL", drug).alias("drug"),
-        _first("conditions", known, icd).alias("icd10"), _first("conditions", known, icdo).alias("histology"),
-        _first("observations", f"{loinc} = '{ECOG_CODE}' AND try_variant_get(x, '$.valueInteger', 'int') IS NOT NULL", "try_variant_get(x, '$.valueInteger', 'int')").alias("ecog"),
+        "name", "pkey", F.coalesce(F.left(_first("conditions", "x.onset <> ''", "x.onset"), F.lit(10)), F.left("stamp", F.lit(10)), F.lit("")).alias("occurred_at"),
+        _first("observations", lab, "x.loinc.code").alias("loinc"), _first("observations", lab, "x.loinc.display").alias("lab_display"), _first("medications", "x.drug IS NOT NULL", "x.drug").alias("drug"),
+        _first("conditions", known, "x.icd").alias("icd10"), _first("conditions", known, "x.icdo").alias("histology"),
+        _first("observations", f"x.loinc.code = '{ECOG_CODE}' AND x.n IS NOT NULL", "x.n").alias("ecog"),
     )
     return _record(rows, "fhir")
 
 
 def _bundles(files: DataFrame) -> DataFrame:
     rows = files.where("format = 'fhir'").select("name", F.try_parse_json("text").alias("bundle"))
-    rows = rows.withColumn("patient", F.get(_resources("Patient"), F.lit(0)))
-    ids = "coalesce(try_variant_get(patient, '$.identifier', 'array<struct<system:string,value:string>>'), array())"
-    pkey = F.expr(f"coalesce(get(transform(filter({ids}, i -> contains(coalesce(i.system, ''), 'patient-id') AND i.value <> ''), i -> i.value), 0), nullif(try_variant_get(patient, '$.id', 'string'), ''))")
+    rows = rows.withColumn("resources", F.expr(_RESOURCES))
+    ids = "coalesce(try_variant_get(x, '$.identifier', 'array<struct<system:string,value:string>>'), array())"
+    rows = rows.withColumn("patient", F.get(_resources("Patient", ids=ids, id="try_variant_get(x, '$.id', 'string')"), F.lit(0)))
+    pkey = F.expr("coalesce(get(transform(filter(patient.ids, i -> contains(coalesce(i.system, ''), 'patient-id') AND i.value <> ''), i -> i.value), 0), nullif(patient.id, ''))")
     return rows.withColumns({"pkey": pkey, "is_bundle": F.coalesce(F.try_variant_get("bundle", "$.resourceType", "string") == "Bundle", F.lit(False))})
 
 
@@ -143,7 +166,8 @@ def hl7_fields(segments: Column) -> Column:
 
 
 def hl7_records(files: DataFrame) -> DataFrame:
-    rows = files.where("format = 'hl7v2'").select("name", hl7_fields(hl7_segments(F.col("text"))).alias("f")).where("f.pkey IS NOT NULL")
+    rows = files.where("format = 'hl7v2'").select("name", hl7_segments(F.col("text")).alias("segments"))
+    rows = _kept(rows.select("name", hl7_fields(F.col("segments")).alias("f")), F.col("f.pkey").isNotNull())
     return _record(rows.select("name", "f.*", F.lit(None).cast("int").alias("ecog")), "hl7v2")
 
 
@@ -166,13 +190,14 @@ FEW_FILES = 100_000
 def csv_rows(files: DataFrame) -> DataFrame:
     """name, line (its place), row (map of lower-case header to trimmed value) of flat extracts; a byte order mark is no part of the first header.
 
-    A file's lines are spread over tasks; a file is one value of Spark's, so of 2 GB at most: splits.read_extract_rows() takes larger ones, in parts.
+    A file's lines are dealt over tasks, each with its file's header; a file is one value of Spark's, so of 2 GB at most: splits.read_extract_rows() takes larger ones, in parts.
     """
-    text = F.regexp_replace("text", "^﻿", "")
-    lines = files.where("format = 'csv'").select("name", F.posexplode(F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: F.trim(x) != "")).alias("line", "text"))
-    lines = lines.withColumn("cells", csv_cells("text"))
-    head = lines.where("line = 0").select("name", F.transform("cells", F.lower).alias("head"))
-    body = lines.where("line > 0").join(head, "name")
+    text = F.regexp_replace("text", "^\ufeff", "")
+    lines = files.where("format = 'csv'").select("name", "text").repartition("name")
+    lines = _kept(lines.select("name", F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: F.trim(x) != "").alias("lines")), F.size("lines") > 0)
+    lines = lines.select("name", F.transform(csv_cells(F.get("lines", F.lit(0))), F.lower).alias("head"), "lines")  # made before lines are rows: once for a file
+    lines = lines.select("name", "head", F.posexplode("lines").alias("line", "text")).where("line > 0")
+    body = lines.repartition("name", "line").withColumn("cells", csv_cells("text"))
     return body.select("name", "line", F.map_from_entries(F.filter(F.arrays_zip("head", "cells"), lambda x: x["head"].isNotNull())).alias("row"))
 
 

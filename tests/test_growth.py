@@ -1,6 +1,7 @@
 """What a task holds, and how often a row is worked on, as tables grow."""
 
-from vitalspark.sources import files, synthetic
+from vitalspark import types
+from vitalspark.sources import files, report, store, synthetic
 
 
 def test_patients_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
@@ -22,3 +23,18 @@ def test_what_is_read_of_a_file_is_read_once(spark):
     assert "Join" not in plan(rows) and plan(rows).count("regexp_extract_all") <= 3  # of the file's lines, the header's and a line's cells
     assert sorted((r.name, r.line, r.row["patient_id"], r.row["icd10_code"]) for r in rows.collect()) == [("b.csv", 1, "P1", "C34.2"), ("b.csv", 2, "P2", "")]
     assert sorted(map(tuple, files.staged(found).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_ingest_makes_its_files_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    found = spark.createDataFrame([("b.csv", "patient_id,icd10_code\nP1,C34.2", "csv")], "name string, text string, format string")
+    kept = store.Store(spark, str(tmp_path), 2)
+    kept.replace("dictionary", spark.createDataFrame([], types.DICTIONARY))
+    told = report.ingest_files(kept, found.mapInArrow(count, found.schema))
+    assert [r.n_records for r in told.files.collect()] == [1] and made.value == 1

@@ -1,7 +1,7 @@
 """Ingest of files with a report: what became of each file, line and column.
 
 A file that can't be read, a line that can't be taken and a value that can't be coerced are told, and the
-others go on.  Records and errors are made in one pass, written once, and counted as they are written; the
+others go on.  Files are staged once; records and errors are made in one pass over them, written once, and counted as they are written; the
 report is made from what was written, not from the files again.
 """
 
@@ -62,7 +62,7 @@ def ingest_files(store: Store, found: DataFrame, router: reconcile.Router | None
 
     Without a router columns that no registry knows are held back, not stored.
     """
-    spark = found.sparkSession
+    spark, found = found.sparkSession, files.staged(found)
     folder, seen = scratch_folder(spark), Observation("parsed")
     bad, whole = F.col("error").isNotNull(), F.col("line").isNull()
     outcome = parsed(found).observe(seen, F.count_if(~bad).alias("records"), F.count_if(bad & whole).alias("file_errors"), F.count_if(bad & ~whole).alias("line_errors"))

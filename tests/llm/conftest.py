@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 #: Columns whose names the operators use themselves.
@@ -29,6 +30,12 @@ def rows() -> list[tuple]:
     return out
 
 
+def row_groups(written) -> list[int]:
+    """Rows of each row group of a written table."""
+    files = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in written.inputFiles()]
+    return [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     return spark.createDataFrame([(*r, *CLASHES.values()) for r in rows()], SCHEMA).repartition(3)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 
+from tests.llm.conftest import row_groups
 from vitalspark.llm import decontaminate, html_extract, licenses, secrets
 
 ALNUM = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
@@ -65,6 +66,15 @@ def test_decontaminate_empty(odd, empty, items, spark):
     assert Counter(r.doc_id for r in decontaminate.keep_clean(odd, decontaminate.decontaminate(odd, items)).collect())[None] == 2
 
 
+def test_postings_row_groups(spark):
+    """A reader decodes a row group's blocks together: however many blocks a task makes, a row group holds few."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('w', id, ' x '), 100) AS text").coalesce(1)
+    index = decontaminate.build_index(docs, block_bytes=2000)
+    groups = row_groups(index)
+    assert sum(groups) == index.count() > 100
+    assert max(groups) <= 8
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha x x x x x x x beta gamma"), (3, "gamma beta alpha"), (4, "alpha beta")], "doc_id long, text string")
     phrases = decontaminate.windows(spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string"))

@@ -60,13 +60,17 @@ def scratch() -> Iterator[None]:
         _scratch.reset(token)
 
 
-def written(spark: SparkSession, frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read from there: lineage ends, and lost executors lose nothing."""
+def written(spark: SparkSession, frame: DataFrame, name: str, keep: bool = False, group_rows: int | None = None) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read from there: lineage ends, and lost executors lose nothing.
+
+    group_rows: most rows of a row group.  A writer holds a row group, and a reader decodes up to 4096 of its rows at
+    once, whatever their size: where one row is long arrays, only few of them fit in memory.
+    """
     small_batches(spark)
     path = new_folder(spark, name)
     if not keep and (open_ := _scratch.get()) is not None:
         open_.append((spark, path.rsplit("/", 1)[0]))
-    frame.write.parquet(path)
+    (frame.write if group_rows is None else frame.write.option("parquet.block.row.count.limit", group_rows)).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -27,8 +27,8 @@ from vitalspark.llm.common import without, written
 from vitalspark.llm.graph import salted_join
 
 WINDOW = 10
-#: Bytes of text in a block, and words of phrases that are sent to the executors at once (8 bytes each).
-BLOCK_BYTES, PHRASE_WORDS = 1 << 19, 4_000_000
+#: Bytes of text in a block, blocks in a row group of the index, and words of phrases that are sent to the executors at once (8 bytes each).
+BLOCK_BYTES, GROUP_BLOCKS, PHRASE_WORDS = 1 << 19, 8, 4_000_000
 
 INDEX = "block string, doc_ids array<long>, first array<int>, terms array<long>, starts array<int>, positions array<int>"
 
@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 )
                 made += 1
 
-    return written(docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "postings")
+    return written(docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "postings", group_rows=GROUP_BLOCKS)
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -3,9 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tests.llm.conftest import row_groups
 from vitalspark.llm import ranked_search
+from vitalspark.llm import words as W
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -73,3 +76,26 @@ def test_non_essential_postings_are_left_alone():
     scores, places, read = ranked_search.best(ranked_search.Lists(bounds, np.cumsum(bounds), [10, 5000], docs, times), factor, np.arange(n))
     assert places.tolist() == rare[:10].tolist() and len(set(scores.tolist())) == 1
     assert read < 0.2 * n
+
+
+def test_shard_row_groups(spark):
+    """A reader decodes a row group's shards together: however many shards a task makes, each has a row group of its own."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('w', id, ' x '), 100) AS text").coalesce(1)
+    index = ranked_search.build_index(docs, 20_000)
+    groups = row_groups(index)
+    assert sum(groups) == index.count() > 5
+    assert max(groups) == 1
+
+
+def test_shards_are_tokenized_in_slices(spark, monkeypatch):
+    """A shard of many slices: no call of the tokenizer gets more than a slice of its text, and words are those of one call."""
+    texts = pa.array([None if i % 50 == 3 else f"Word{i} the\u00e9 x " * 300 for i in range(900)])
+    ((_, _, data, offsets),) = W.slices(texts, 1 << 30)
+    want = W.tokenize(data, offsets, W.ALNUM_WORDS, lower=True)
+    sizes, tokenize = [], W.tokenize
+    monkeypatch.setattr(W, "tokenize", lambda data, *a, **b: sizes.append(len(data)) or tokenize(data, *a, **b))
+    hashes, of = W.word_hashes(texts[5:], W.ALNUM_WORDS, lower=True)
+    late = want.doc >= 5
+    assert (hashes == want.hash[late]).all() and (of + 5 == want.doc[late]).all()
+    assert len(sizes) > 5 and max(sizes) <= W.SLICE_BYTES
+    assert [len(x) for x in W.word_hashes(texts[:0], W.ALNUM_WORDS, lower=True)] == [0, 0]

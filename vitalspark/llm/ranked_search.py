@@ -36,8 +36,8 @@ from vitalspark.llm.common import small_batches, written
 TOP = 10
 #: Share of the document length in a score, in hundredths.
 LENGTH_SHARE = 75
-#: Bytes of text in a shard; documents in a stretch; terms of items that are sent to the shards at once (16 bytes each).
-SHARD_BYTES, STRETCH, ITEM_TERMS = 1 << 22, 512, 2_000_000
+#: Bytes of text in a shard; shards in a row group of the index; documents in a stretch; terms of items that are sent to the shards at once (16 bytes each).
+SHARD_BYTES, GROUP_SHARDS, STRETCH, ITEM_TERMS = 1 << 22, 1, 512, 2_000_000
 
 SHARD = "doc_ids array<long>, lengths array<int>, n_docs long, n_words long, terms array<long>, starts array<int>, most array<int>, shortest array<int>, docs array<int>, times array<int>"
 
@@ -56,11 +56,11 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in W.slices(batch.column(1), shard_bytes):
-                words = W.tokenize(data, offsets, W.ALNUM_WORDS, lower=True)
-                lengths = np.diff(W.bounds(words.doc, high - low))
-                terms, which = np.unique(words.hash, return_inverse=True)
-                each, times = np.unique(which * (high - low) + words.doc, return_counts=True)
+            for low, high, _, _ in W.slices(batch.column(1), shard_bytes):
+                hashes, of = W.word_hashes(batch.column(1).slice(low, high - low), W.ALNUM_WORDS, lower=True)
+                lengths = np.diff(W.bounds(of, high - low))
+                terms, which = np.unique(hashes, return_inverse=True)
+                each, times = np.unique(which * (high - low) + of, return_counts=True)
                 term, doc = np.divmod(each, high - low)
                 starts = np.searchsorted(term, np.arange(len(terms) + 1))
                 bounds = starts[:-1]
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 )
 
     small_batches(docs.sparkSession)
-    return written(docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SHARD), "shards")
+    return written(docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SHARD), "shards", group_rows=GROUP_SHARDS)
 
 
 def item_terms(items: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from tests.llm.conftest import row_groups
 from tests.llm.test_dedup import brute_near
 from tests.llm.test_scans import brute_decontaminate
-from vitalspark.llm import quality, secrets
+from vitalspark.llm import decontaminate, quality, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +87,13 @@ def test_stages_take_odd_rows(spark, odd, empty):
     for start in (docs, empty.select(docs.columns)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, start, SF).count() <= start.count()
+
+
+def test_decontamination_stage_holds_few_blocks(spark, monkeypatch):
+    """A task of many blocks, as of a large file split: what the stage writes of them can be read a few blocks at a time."""
+    tables, write = {}, decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda spark, frame, name, **b: tables.setdefault(name, write(spark, frame, name, **b)))
+    docs = spark.range(24).selectExpr("id AS doc_id", "repeat(concat('w', id, ' x '), 60000) AS text").coalesce(1)
+    assert corpus_pipeline.decontamination_stage(spark, docs, SF).count() == 24
+    groups = row_groups(tables["postings"])
+    assert sum(groups) == 24 and max(groups) <= 8
